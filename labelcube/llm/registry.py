@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, packing, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_simhash": simhash.query,
+    "op4_mixing": mixing.query,
+    "op7_packing": packing.query,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_mixing": mixing.sql(),
 }
