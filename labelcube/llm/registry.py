@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, simhash
+from . import exact_dedup, media, mixing, packing, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_simhash": simhash.query,
     "op4_mixing": mixing.query,
+    "op5_media": media.query,
     "op7_packing": packing.query,
 }
 
