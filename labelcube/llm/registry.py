@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, packing, simhash
+from . import exact_dedup, media, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_simhash": simhash.query,
     "op4_mixing": mixing.query,
     "op5_media": media.query,
+    "op6_toxicity": toxicity.query,
     "op7_packing": packing.query,
+    "op9_quality": quality.query,
 }
 
 ORACLE_SQL = {
