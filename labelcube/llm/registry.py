@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, packing, quality, simhash, toxicity
+from . import exact_dedup, html, media, mixing, packing, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_simhash": simhash.query,
+    "op3_html": html.query,
     "op4_mixing": mixing.query,
     "op5_media": media.query,
     "op6_toxicity": toxicity.query,
     "op7_packing": packing.query,
+    "op8_substring": substring.query,
     "op9_quality": quality.query,
 }
 
