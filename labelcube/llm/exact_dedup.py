@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, SPACE, documents, salted
+from .common import SALTS, SPACE, Scratch, documents, salted
 
 
 def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", salts: int = SALTS) -> DataFrame:
@@ -36,13 +36,16 @@ def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", salts
 def exact_dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and its text, one.
 
-    Takes one row per id: an id with several texts is kept for the texts whose group it leads.
+    An id with several texts stays with those whose group it leads. A group without any id leaves nothing. The
+    rows meet the list of what stays by id and digest; of equal ones one is taken where they have met already.
     """
-    clash = "__digest"
-    kept = exact_groups(docs, text, id_).where("kept").select(F.col(id_).alias("__id"), F.col("text_sha256").alias(clash)).distinct()
+    scratch = Scratch(docs.sparkSession, "exact")
+    kept = exact_groups(docs, text, id_).where("kept").select(F.col(id_).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    kept = scratch.write(kept, "kept")
+    scratch.drop()  # the groups' texts need not lie on disk any longer
     own = docs.withColumn("__own", F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " "), 256))
-    cond = (F.col(id_) == F.col("__id")) & (F.col("__own") == F.col(clash))
-    return own.join(kept, cond, "left_semi").dropDuplicates([id_, "__own"]).drop("__own")
+    met = own.join(kept, (F.col(id_) == F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    return met.dropDuplicates([id_, "__own"]).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

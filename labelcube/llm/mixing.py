@@ -83,6 +83,14 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", id_
     return drawn.select(F.col("id").alias(id_), "source", F.col("epoch").cast("int").alias("epoch"), F.conv(F.concat(*block), 16, 10).cast("long").alias("block"), "start", "n_tokens", "weight")
 
 
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", id_: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs that are drawn, with all their columns, as often as they are drawn. Ids are taken to be unique."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    drawn = scratch.write(mix_sources(docs, text, source, id_, **how).select(F.col(id_).alias("__id"), F.col("epoch").alias("__epoch")).distinct(), "drawn")
+    scratch.drop()
+    return docs.join(drawn, F.col(id_).eqNullSafe(F.col("__id"))).select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 

@@ -196,3 +196,23 @@ def score(docs: DataFrame, model: CoTrained, text: str = "text", id_: str = "doc
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, co_train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).withColumnRenamed("id", "doc_id")
+
+
+def keep_good(docs: DataFrame, model: CoTrained, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that the model keeps. Nothing is shuffled."""
+    facts = _columns(docs, text, id_)
+    names = {c: f"__quality_{c}" for c in facts.columns}
+    whole = docs.withColumns({names["text"]: F.col(text).cast("string")})
+    columns, has = docs.columns, {c.lower() for c in docs.columns}
+    for c in ("lang", "source"):
+        slot = F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(BUCKETS)).cast("int") if c in has else F.lit(0)
+        whole = whole.withColumn(names[c], slot)
+    whole = whole.withColumn(names["n_chars"], F.col("n_chars").cast("double") if "n_chars" in has else F.lit(None).cast("double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, names["text"]):
+            own = pa.RecordBatch.from_arrays([batch.column(names[c]) for c in ("text", "lang", "source", "n_chars")], names=["text", "lang", "source", "n_chars"])
+            views = model.views(model.text.logits(*text_view(own.column("text")), own.num_rows), metadata_view(own))
+            yield batch.select(columns).filter(pa.array(model.combine(views) >= KEEP))
+
+    return whole.mapInArrow(run, docs.schema) if model.usable else docs

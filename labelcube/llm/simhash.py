@@ -181,5 +181,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", ra
     return rows.join(labels, ["fp", "salt"]).select(F.col("id").alias(id_), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_per_group(docs: DataFrame, text: str = "text", id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of its group; all rows of groups without ids."""
+    scratch = Scratch(docs.sparkSession, "near")
+    found = near_duplicates(docs, text, id_, radius)
+    stay = scratch.write(found.where(F.col("component_id").isNull() | (F.col(id_) == F.col("component_id"))).select(F.col(id_).alias("__stay")).distinct(), "stay")
+    scratch.drop()
+    return docs.join(stay, F.col(id_).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
