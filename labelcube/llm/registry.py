@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html, media, mixing, packing, quality, simhash, substring, toxicity
+from . import exact_dedup, html, media, mixing, packing, pitman_yor, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_packing": packing.query,
     "op8_substring": substring.query,
     "op9_quality": quality.query,
+    "op10_pitman_yor": pitman_yor.query,
 }
 
 ORACLE_SQL = {
