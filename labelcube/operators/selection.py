@@ -125,6 +125,14 @@ def span(text: str) -> tuple[datetime, datetime]:
     return first, after - timedelta(microseconds=1)
 
 
+def precision(own: list[datetime]) -> timedelta:
+    """The span of the finest unit that the labels use."""
+    for unit, length in (("microsecond", timedelta(0)), ("second", timedelta(seconds=1)), ("minute", timedelta(minutes=1)), ("hour", timedelta(hours=1))):
+        if any(getattr(x, unit) for x in own):
+            return length
+    return timedelta(days=1)
+
+
 def by_label(axis: Axis, value: Any, method: str | None = None, tolerance: Any = None) -> Any:
     """The positional index that a label index means on this axis."""
     own = labels(axis)
@@ -136,7 +144,10 @@ def by_label(axis: Axis, value: Any, method: str | None = None, tolerance: Any =
         return Positions(tuple(_find(axis, own, _like(x, first), method, tolerance) for x in value))
     if isinstance(first, datetime) and isinstance(value, str) and method is None:
         lo, hi = span(value)
-        if lo not in own and (found := Slice(bisect_left(own, lo), bisect_right(own, hi))).start < found.stop:
+        if hi - lo > precision(own):  # a part of a date, coarser than the labels, means all that fall in it
+            found = Slice(bisect_left(own, lo), bisect_right(own, hi))
+            if found.start == found.stop:
+                raise KeyError(f"no label of {axis.dim!r} is in {value!r}")
             return found
     return Scalar(_find(axis, own, _like(value, first), method, tolerance))
 
