@@ -151,7 +151,7 @@ class Cube:
         variables = {c: (d,) for d, a in self.axes.items() for c in a.coords}
         variables |= {v: g.dims for g in self.groups for v in g.vars} | {c: () for c in self.scalars}
         coords = self.coords | {c for a in self.axes.values() for c in a.coords} | set(self.scalars)
-        return Shape(variables, frozenset(coords), self.sizes, self.array)
+        return Shape(variables, frozenset(c for c in coords if c in variables), self.sizes, self.array)
 
     @property
     def plan(self) -> Any:

@@ -33,8 +33,10 @@ def run(cube: Cube, step: Scan) -> Cube:
 
 def _cumulate(cube: Cube, g: Group, dim: str, op: str) -> Group:
     """Missing cells count as nothing, and get the running value too. Along its one dimension, blocks are added up first."""
-    g = cube.densify(g)
     own = [v for v in g.vars if v not in cube.coords]
+    if not own:
+        return g
+    g = cube.densify(g)
     total = (lambda c: F.sum(c)) if op == "cumsum" else (lambda c: F.product(c.cast("double")))
     zero = {v: F.lit(0).cast("double" if isinstance(g.type_of(v), (T.DoubleType, T.FloatType)) else "long") if op == "cumsum" else F.lit(1.0) for v in own}
     value = {v: F.coalesce(number(F.col(f"`{v}`"), g.type_of(v)), zero[v]) for v in own}
