@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from .common import Scratch, documents, slices, texts
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 def tokenizer_path() -> str:
@@ -25,47 +27,53 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
+class WordIds:
     """The ids of white-space separated words as little-endian 32-bit bytes, remembered up to a number of words.
 
     The tokenizer drops white space, and no token crosses it, so a text's ids are those of its words in turn.
-    Case is folded first (the tokenizer does so itself), and one comma or stop after an ASCII letter or digit
-    is a token of its own, which keeps the number of distinct words down.
+    Case is folded first (the tokenizer does so itself). Marks that end a word after a letter or digit are tokens
+    of their own, so what is before them and they are looked up apart: there are far fewer distinct parts than words.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, at_once: int = 20_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.remembered, self.spare = remembered, {}
-
-    def learn(self, words: list[bytes]) -> None:
-        """Look up all new words of a slice in one call."""
-        self.spare = {}
-        new = {w for w in set(words) if w not in self}
-        cores = {self.core(w) for w in new} | {b",", b"."}
-        cores = [w for w in cores if w not in self]
-        found = {}
-        for w, e in zip(cores, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in cores], add_special_tokens=False)):
-            found[w] = np.array(e.ids, "<u4").tobytes()
-        for w in new:
-            if (c := self.core(w)) != w:
-                found[w] = (found.get(c) or self[c]) + (found.get(w[-1:]) or self[w[-1:]])
-        room = self.remembered - len(self)
-        if room >= len(found):
-            self.update(found)
-        else:
-            self.update({w: found[w] for w in (b",", b".") if w in found})
-            self.spare = found
-
-    @staticmethod
-    def core(w: bytes) -> bytes:
-        return w[:-1] if len(w) > 1 and w[-1] in b",." and w[-2:-1].isalnum() else w
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.spare[word]
+        self.remembered, self.at_once = remembered, at_once
+        self.ids: dict[bytes, bytes] = {}
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Have the ids of all these words; of the words known before, the older half stays when there are too many."""
+        if len(self.ids) > self.remembered:
+            self.ids = dict(islice(self.ids.items(), self.remembered // 2))  # frequent words come first
+        known = self.ids
+        new = {w: split_marks(w) for w in set().union(*texts).difference(known)}
+        parts = list({p for pair in new.values() for p in pair if p}.difference(known))
+        for i in range(0, len(parts), self.at_once):
+            some = parts[i : i + self.at_once]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
+                ids = found.ids
+                known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, (core, marks) in new.items():
+            if marks:
+                known[w] = known[core] + known[marks]
+
+    def of(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.ids.__getitem__, words))
+
+
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+def split_marks(word: bytes) -> tuple[bytes, bytes]:
+    """A word without the ASCII marks that it ends on, and these; the word alone if no letter or digit is before them."""
+    core = word.rstrip(_MARKS)
+    if len(core) == len(word) or not core:
+        return word, b""
+    if core[-1] < 128 or (core.decode("utf-8", "replace")[-1]).isalpha():
+        return core, word[len(core) :]
+    return word, b""
 
 
 def token_pieces(docs: DataFrame, path: str, text: str = "text", id_: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -75,10 +83,10 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", id_: str = "doc
         words = WordIds(path)
         for batch in slices(batches, "text"):
             split = [t.lower().split() for t in texts(batch.column("text"))]
-            words.learn([w for s in split for w in s])
+            words.learn(split)
             ids, out = batch.column("id").to_pylist(), [[] for _ in range(5)]
             for id_, s in zip(ids, split):
-                own = memoryview(b"".join(map(words.__getitem__, s)) + b"\0\0\0\0")
+                own = memoryview(words.of(s) + b"\0\0\0\0")
                 for k, at in enumerate(range(0, len(own), 4 * capacity)):
                     part = own[at : at + 4 * capacity]
                     for column, value in zip(out, (id_, k, at // 4, len(part) // 4, zlib.crc32(part))):
