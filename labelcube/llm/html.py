@@ -189,7 +189,7 @@ def _nearness(a: str, b: str) -> int:
 
 
 def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
-    """(key, page_id, url, host, path, digests, body): lines as packed digests, and their texts compressed. key is a hash of the row."""
+    """(key, page_id, url, host, path, digests, body): lines as packed digests, and their texts compressed. key is a hash of host and lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "page_id", "url", "host", "path", "digests", "body"]
@@ -198,9 +198,10 @@ def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", id_: st
             for id_, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 lines = page_lines(html or "")
                 host, path = _address(url or "")
-                key = hashlib.blake2b(json.dumps([id_, url, html]).encode(), digest_size=16).digest()
+                digests = b"".join(_digest(x.text) for x in lines)
+                key = hashlib.blake2b(host.encode("utf-8", "replace") + b"\0" + digests, digest_size=16).digest()
                 body = json.dumps([[x.text, x.inside, x.outside] for x in lines], ensure_ascii=False).encode("utf-8", "replace")
-                out.append((key, id_, url, host, path, b"".join(_digest(x.text) for x in lines), zlib.compress(body, 6)))
+                out.append((key, id_, url, host, path, digests, zlib.compress(body, 6)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()))], names=names)
 
     rows = pages.select(F.col(id_).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
@@ -210,13 +211,13 @@ def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", id_: st
 def shared_lines(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, shared): positions of the lines that a page shares, in order, with its nearest page by URL path on the host.
 
-    Distinct pages are numbered in order of host, path and URL: by range, then by the ranges' counts. 64 pages in turn and the
-    neighbour at either end make a group, so a host of any size is spread. Of its two neighbours a page takes the one
-    with more leading path segments in common, the earlier if they tie, and passes over one whose lines are all its own,
-    a copy, which tells nothing about the template.
+    Pages of the same lines on a host are one, under the first of their paths: a copy tells nothing about the template. They are
+    numbered in order of host, path and URL: by range, then by the ranges' counts. 64 in turn and the neighbour at
+    either end make a group, so a host of any size is spread. Of its two neighbours a page takes the one with more
+    leading path segments in common, the earlier if they tie.
     """
     spark = rows.sparkSession
-    light = rows.select("key", "host", "path", "url", "page_id", "digests").dropDuplicates(["key"])
+    light = rows.groupBy("key").agg(F.min(F.struct("host", "path", "url", "page_id")).alias("at"), F.min("digests").alias("digests")).select("key", "at.*", "digests")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -243,7 +244,7 @@ def shared_lines(rows: DataFrame, scratch: Scratch) -> DataFrame:
         for i, at in enumerate(ats):
             if at // GROUP != groups[i]:
                 continue
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(ats) and abs(ats[j] - at) == 1 and hosts[j] == hosts[i] and own[j] != own[i]]
+            near = [j for j in (i - 1, i + 1) if 0 <= j < len(ats) and abs(ats[j] - at) == 1 and hosts[j] == hosts[i]]
             near.sort(key=lambda j: -_nearness(paths[i], paths[j]))
             if near:
                 out.append((keys[i], common_lines(own[i], own[near[0]])))
