@@ -171,16 +171,17 @@ class Cube:
     # Making
 
     @classmethod
-    def from_frame(cls, df: DataFrame, dims: Sequence[str], variables: Sequence[str], coords: Mapping[str, Sequence[str]] | None = None, dense: bool = False) -> Cube:
+    def from_frame(cls, df: DataFrame, dims: Sequence[str], variables: Sequence[str], coords: Mapping[str, Sequence[str]] | None = None, dense: bool = False, labels: Mapping[str, DataFrame] | None = None) -> Cube:
         """Cells in long form, a column for each dimension's labels, unique together, and one for each variable.
 
         coords names, by dimension, further columns that follow from its label. An axis is the labels that occur, in order; it is numbered from
-        that small table alone. NaN becomes null.
+        that small table alone. labels gives an axis's table (label and coords, one row a label) where there is one, which saves reading the
+        cells for it; cells with other labels are left out. NaN becomes null. Over large tables, write the cube once and open() it.
         """
-        axes, cells = {}, df
+        axes, cells, given = {}, df, labels or {}
         for d in dims:
             own = list((coords or {}).get(d, ()))
-            labels = df.groupBy(d).agg(*[F.any_value(c, True).alias(c) for c in own]) if own else df.select(d).distinct()
+            labels = given[d] if d in given else df.groupBy(d).agg(*[F.any_value(c, True).alias(c) for c in own]) if own else df.select(d).distinct()
             labels = labels.where(F.col(f"`{d}`").isNotNull())
             labels = labels.withColumn(key(d), F.row_number().over(Window.orderBy(f"`{d}`")).cast("long") - 1)
             axes[d] = Axis(d, labels, (d, *own))
@@ -223,6 +224,39 @@ class Cube:
                 made.append(Group(df.select(*(f"`{key(x)}`" for x in d), *(f"`{n}`" for n in left)), d, left, True))
         return cls(spark, axes, tuple(made), frozenset(c for c in given if len(arrays[c][0]) > 1), scalars)
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Cube:
+        """A cube that to_parquet wrote. Selections reach the scans of its cells, and unused variables aren't read."""
+        axes, groups, about = {}, [], spark.read.parquet(f"{path}/about").collect()  # a row an axis and a set of dimensions
+        for r in about:
+            frame = spark.read.parquet(f"{path}/{r['name']}")
+            if r["kind"] == "axis":
+                axes[r["dims"][0]] = Axis(r["dims"][0], frame, tuple(r["vars"]), r["size"])
+            else:
+                groups.append(Group(frame, tuple(r["dims"]), tuple(r["vars"]), r["dense"]))
+        return cls(spark, axes, tuple(groups), frozenset(c for r in about for c in r["coords"]))
+
+    def write(self, path: str) -> None:
+        """A table for each set of dimensions, dealt out and sorted by its keys, and one for each axis, numbered from 0."""
+        from .operators.variables import partitioned
+        from .operators.windowed import in_place
+
+        cube = self
+        for d in self.axes:
+            cube = in_place(cube, d)
+        about = []
+        for g in partitioned(cube).merged():
+            name = "_".join(("cells", *map(str, g.dims)))
+            df = g.df.sortWithinPartitions(*(f"`{k}`" for k in g.keys())) if g.dims else g.df
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            about.append(("cells", name, list(g.dims), list(g.vars), [v for v in g.vars if v in cube.coords], None, g.dense))
+        for d, a in cube.axes.items():
+            a = a.known()
+            a.frame().write.mode("overwrite").parquet(f"{path}/axis_{d}")
+            about.append(("axis", f"axis_{d}", [d], list(a.coords), [], a.size, True))
+        shape = "kind string, name string, dims array<string>, vars array<string>, coords array<string>, size long, dense boolean"
+        self.spark.createDataFrame(about, shape).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
     # Grids
 
     def grid(self, dims: Sequence[str]) -> DataFrame:

@@ -219,14 +219,8 @@ class Result:
         return pd.Index(labels(self.cube.axes[dims[0]]), name=dims[0])
 
     def to_parquet(self, path: str) -> None:
-        """A table for each set of dimensions and one for each axis, partitioned as chunk() said."""
-        from ..operators.variables import partitioned
-
-        cube = partitioned(self.cube)
-        for g in cube.merged():
-            g.df.write.mode("overwrite").parquet(f"{path}/{'_'.join(('cells', *map(str, g.dims)))}")
-        for d, a in cube.axes.items():
-            a.frame().write.mode("overwrite").parquet(f"{path}/axis_{d}")
+        """Write the cube, dealt out as chunk() said; Cube.open(spark, path) reads it."""
+        self.cube.write(path)
 
     def to_netcdf(self, *_: Any, **__: Any) -> None:
         raise UnsupportedError("Spark writes no NetCDF; to_parquet(path) writes the cells and axes")

@@ -238,6 +238,24 @@ def test_results(cube, tmp_path):
     assert cube.plan.sizes == {"time": 4, "lat": 3, "lon": 5}
 
 
+def test_written_cubes_open_and_prune(cube, spark, tmp_path):
+    path = str(tmp_path / "cube")
+    cube.plan.chunk({"time": 2}).isel(time=slice(1, None)).to_parquet(path)
+    back = Cube.open(spark, path)
+    same(back.plan["temperature"].to_numpy(), T[1:])
+    assert back.sizes == {"time": 3, "lat": 3, "lon": 5} and set(back.plan.coords) == set(cube.plan.coords)
+    df = back.plan.mean("lat").mean("lon").isel(time=2)[["temperature"]].collect().groups[0].df
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(`@time`,2)" in text and "elevation" not in text
+    assert back.plan.rolling(lat=2).mean().isel(time=0)["elevation"].to_numpy().shape == (3, 5)
+
+
+def test_axes_can_be_given(spark):
+    cells = spark.createDataFrame([("b", 1.0), ("z", 9.0)], "k string, v double")
+    cube = Cube.from_frame(cells, ["k"], ["v"], labels={"k": spark.createDataFrame([("a",), ("b",), ("c",)], "k string")})
+    same(cube.plan["v"].fillna(0).to_numpy(), [0, 1, 0])
+
+
 CALLS = st.sampled_from([
     ("isel", (), {"time": slice(0, 3)}), ("isel", (), {"lat": 1}), ("isel", (), {"lon": [0, 2, 4]}), ("isel", (), {"lon": slice(1, None, 2)}), ("isel", (), {"time": []}), ("sel", (), {"lon": slice(1, 3)}), ("mean", ("lat",), {}), ("sum", ("time",), {}),
     ("std", ("lon",), {}), ("cumsum", ("lon",), {}), ("diff", ("time",), {}), ("fillna", (0.5,), {}), ("clip", (-1, 1), {}), ("chunk", ({"lat": 2},), {}), ("groupby", ("lat",), {}), ("rolling", (), {"time": 2, "min_periods": 1}), ("coarsen", (), {"lon": 2, "boundary": "trim"}),
