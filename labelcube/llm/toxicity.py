@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import Scratch, documents, slices
 from .learning import SLOTS, sample, sigmoid, word_features
 
 #: Labelled documents the model is fitted on; labels beyond them are not read. What scores a text follows from its words alone.
@@ -40,7 +40,7 @@ def sentence_features(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 def noisy_or(logits: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """1 - product of (1 - p) over each row's sentences; 0 for rows without any."""
-    return -np.expm1(np.bincount(rows, -np.logaddexp(0, logits), n))
+    return 0.0 - np.expm1(np.bincount(rows, -np.logaddexp(0, logits), n))
 
 
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 400, rate: float = 0.3, sparse: float = 0.5, least: float = 12.0) -> tuple[np.ndarray, float]:
@@ -58,16 +58,22 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 400, rate:
     counts = np.array([int(b[2].max()) + 1 for b in bags])
     base = np.concatenate([[0], np.cumsum(counts)])
     bag_of = np.repeat(np.arange(len(bags)), counts)
-    pairs = np.concatenate([np.unique((np.repeat(b[2] + base[i], b[1].shape[1]).astype(np.int64) << 18) | b[1].ravel()) for i, b in enumerate(bags)])
-    held = np.unique((bag_of[pairs >> 18] << 18) | (pairs & (SLOTS - 1)))
-    own, of = held & (SLOTS - 1), y[held >> 18]
-    n, k = np.bincount(own, minlength=SLOTS), np.bincount(own, of, SLOTS)
+    n, k = np.zeros(SLOTS), np.zeros(SLOTS)
+    for _, slots, _ in bags:
+        own = np.unique(slots)
+        n[own] += 1
+    for _, slots, _ in (b for b in bags if b[0]):
+        k[np.unique(slots)] += 1
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
     some = np.maximum(n, 1)
     rate_of = np.clip(k / some, 1e-9, 1 - 1e-9)
     ratio = 2 * (k * np.log(rate_of / share) + (n - k) * np.log((1 - rate_of) / (1 - share)))
     chosen = (n >= 3) & (rate_of > share) & (ratio >= least)
-    pairs = pairs[chosen[pairs & (SLOTS - 1)]]
+    pairs = []
+    for i, (_, slots, sentence) in enumerate(bags):
+        word, column = np.nonzero(chosen[slots])
+        pairs.append(np.unique(((sentence[word] + base[i]) << 18) | slots[word, column]))
+    pairs = np.concatenate(pairs)
     sentence, slots = pairs >> 18, pairs & (SLOTS - 1)
     slots = (np.cumsum(chosen) - 1)[slots]
     own_weights = np.zeros(int(chosen.sum()))
@@ -101,8 +107,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "do
             out = [(slots[a:b].astype("<i4").tobytes(), (sentence[a:b] - starts[i]).astype("<i4").tobytes()) for i, (a, b) in enumerate(zip(words, words[1:]))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(pa.array(c, pa.binary()) for c in zip(*out))], names=["id", "y", "slots", "sentence"])
 
-    got = sorted(rows.mapInArrow(run, "id long, y int, slots binary, sentence binary").collect(), key=lambda r: (r["id"], bytes(r["slots"])))
-    return fit([(r["y"], np.frombuffer(r["slots"], "<i4").reshape(-1, 4), np.frombuffer(r["sentence"], "<i4")) for r in got])
+    got = Scratch(docs.sparkSession, "toxicity").write(rows.mapInArrow(run, "id long, y int, slots binary, sentence binary"), "features").toLocalIterator()  # a partition at a time
+    bags = sorted(((r["id"], r["y"], bytes(r["slots"]), bytes(r["sentence"])) for r in got), key=lambda b: (b[0], b[2]))
+    return fit([(y, np.frombuffer(slots, "<i4").reshape(-1, 4), np.frombuffer(sentence, "<i4")) for _, y, slots, sentence in bags])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", id_: str = "doc_id", top: int = 3) -> DataFrame:
