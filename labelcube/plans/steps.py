@@ -6,8 +6,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-ALL = "every dim"  # a reduction that names no dimension; not the name of one, see Dims
-
 
 @dataclass(frozen=True)
 class Dims:
