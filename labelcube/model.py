@@ -176,14 +176,15 @@ class Cube:
 
         coords names, by dimension, further columns that follow from its label. An axis is the labels that occur, in order; it is numbered from
         that small table alone. labels gives an axis's table (label and coords, one row a label) where there is one, which saves reading the
-        cells for it; cells with other labels are left out. NaN becomes null. Over large tables, write the cube once and open() it.
+        cells for it; cells with other labels are left out; a column "@dim" in it is the numbering, for axes too long to sort in one task. NaN becomes null. Over large tables, write the cube once and open() it.
         """
         axes, cells, given = {}, df, labels or {}
         for d in dims:
             own = list((coords or {}).get(d, ()))
             labels = given[d] if d in given else df.groupBy(d).agg(*[F.any_value(c, True).alias(c) for c in own]) if own else df.select(d).distinct()
             labels = labels.where(F.col(f"`{d}`").isNotNull())
-            labels = labels.withColumn(key(d), F.row_number().over(Window.orderBy(f"`{d}`")).cast("long") - 1)
+            if key(d) not in labels.columns:  # one sorted window, over distinct labels
+                labels = labels.withColumn(key(d), F.row_number().over(Window.orderBy(f"`{d}`")).cast("long") - 1)
             axes[d] = Axis(d, labels, (d, *own))
             cells = cells.join(labels.select(f"`{d}`", f"`{key(d)}`"), d)
         values = {v: clean(F.col(f"`{v}`"), df.schema[v].dataType) for v in variables}

@@ -254,6 +254,8 @@ def test_axes_can_be_given(spark):
     cells = spark.createDataFrame([("b", 1.0), ("z", 9.0)], "k string, v double")
     cube = Cube.from_frame(cells, ["k"], ["v"], labels={"k": spark.createDataFrame([("a",), ("b",), ("c",)], "k string")})
     same(cube.plan["v"].fillna(0).to_numpy(), [0, 1, 0])
+    numbered = spark.createDataFrame([("z", 0), ("b", 1)], "k string, `@k` long")
+    same(Cube.from_frame(cells, ["k"], ["v"], labels={"k": numbered}).plan["v"].to_numpy(), [9, 1])
 
 
 CALLS = st.sampled_from([
