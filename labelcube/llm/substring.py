@@ -80,7 +80,7 @@ class FingerprintIndex:
     def _run(self, rows: DataFrame, level: int) -> DataFrame:
         self.made += 1
         name = f"run{self.made}"
-        run = self.scratch.write(rows.repartition("hash").sortWithinPartitions("hash"), name)
+        run = self.scratch.write(rows.sortWithinPartitions("hash"), name)  # sorted files; a frequent hash lies in as many as it comes from
         self.runs.append((level, name, run))
         return run
 
@@ -165,14 +165,14 @@ def removals(docs: DataFrame, text: str = "text", id_: str = "doc_id", window: i
     scratch.drop(*(name for _, name, _ in index.runs))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_words", "kept_sha256", "mark", "body", "starts", "digests", "checks"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = ["id", "n_words", "kept_sha256", "body", "starts", "digests", "checks"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         for batch in slices(batches, "body", 1 << 20):
             out = []
-            for id_, mark, body, raw, at in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "body")), _unpressed(batch.column("body")), batch.column("places").to_pylist()):
+            for id_, body, raw, at in zip(*(batch.column(c).to_pylist() for c in ("id", "body")), _unpressed(batch.column("body")), batch.column("places").to_pylist()):
                 words = raw.split()
                 if not at:
-                    out.append((id_, len(words), _digest(words), mark, None, None, None, None))
+                    out.append((id_, len(words), _digest(words), None, None, None, None))
                     continue
                 joined = b" ".join(words)
                 sizes = np.array([len(w) + 1 for w in words], np.int64)
@@ -181,18 +181,17 @@ def removals(docs: DataFrame, text: str = "text", id_: str = "doc_id", window: i
                 start, anchor, _ = window_anchors(span_hashes(np.frombuffer(joined, np.uint8), begin, end), np.zeros(len(words), np.int64), window, piece)
                 start = start[np.isin(anchor, at)]
                 told = np.frombuffer(b"".join(hashlib.blake2b(joined[a:b], digest_size=12).digest() for a, b in zip(begin[start].tolist(), end[start + window - 1].tolist())), np.uint8).reshape(-1, 12)
-                out.append((id_, len(words), None, mark, body, start, np.ascontiguousarray(told[:, :8]).view(np.int64).ravel(), np.ascontiguousarray(told[:, 8:]).view(np.int32).ravel()))
+                out.append((id_, len(words), None, body, start, np.ascontiguousarray(told[:, :8]).view(np.int64).ravel(), np.ascontiguousarray(told[:, 8:]).view(np.int32).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     joined = _squeezed(own).alias("o").join(places.alias("p"), F.col("o.id").eqNullSafe(F.col("p.id")) & (F.col("o.mark") == F.col("p.mark")), "left")
-    checked = joined.select("o.id", "o.mark", "body", "places").mapInArrow(verify, "id long, n_words long, kept_sha256 string, mark long, body binary, starts array<int>, digests array<long>, checks array<int>")
-    checked = scratch.write(checked, "checked")
+    checked = joined.select("o.id", "body", "places").mapInArrow(verify, "id long, n_words long, kept_sha256 string, body binary, starts array<int>, digests array<long>, checks array<int>")
+    checked = scratch.write(checked.withColumn("doc", F.monotonically_increasing_id()), "checked")  # numbers that stay, as they are written
     scratch.drop("places")
-    windows = checked.where("body is not null").select("id", "mark", F.inline(F.arrays_zip("starts", "digests", "checks"))).withColumnsRenamed({"starts": "start", "digests": "digest", "checks": "check"})
+    windows = checked.where("body is not null").select("doc", F.inline(F.arrays_zip("starts", "digests", "checks"))).withColumnsRenamed({"starts": "start", "digests": "digest", "checks": "check"})
     twice = scratch.write(windows.groupBy("digest", "check").agg(F.count("*").alias("n")).where("n > 1").select("digest", "check"), "twice")
     scratch.drop()
-    # Rows that are equal in id and text have the same starts; each start counts once for either.
-    marked = scratch.write(windows.join(twice, ["digest", "check"], "left_semi").groupBy("id", "mark").agg(F.collect_set("start").alias("starts")), "marked")
+    marked = scratch.write(windows.join(twice, ["digest", "check"], "left_semi").groupBy("doc").agg(F.collect_list("start").alias("starts")), "marked")
     scratch.drop("twice")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +211,8 @@ def removals(docs: DataFrame, text: str = "text", id_: str = "doc_id", window: i
 
     shape = "id long, n_words long, n_removed long, kept_sha256 string, kept string"
     plain = checked.where("body is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    asked, marks = checked.where("body is not null").select("id", "mark", "n_words", "body").alias("c"), marked.alias("m")
-    rest = asked.join(marks, F.col("c.id").eqNullSafe(F.col("m.id")) & (F.col("c.mark") == F.col("m.mark")), "left")
-    rest = rest.select("c.id", "n_words", "body", F.col("m.starts").alias("found")).mapInArrow(cut, shape)
+    rest = checked.where("body is not null").select("doc", "id", "n_words", "body").join(marked.withColumnRenamed("starts", "found"), "doc", "left")
+    rest = rest.select("id", "n_words", "body", "found").mapInArrow(cut, shape)
     return plain.unionByName(rest).withColumnRenamed("id", id_)
 
 
