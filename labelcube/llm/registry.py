@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_mixing": mixing.sql(),
+    "op8_substring": substring.SQL,
 }

@@ -218,3 +218,14 @@ def removals(docs: DataFrame, text: str = "text", id_: str = "doc_id", window: i
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS s, unnest(list_transform(range(1, len(w) - 33), lambda i: sha256(array_to_string(w[i : i + 34], ' ')))) AS k FROM d WHERE len(w) >= 35),
+r AS (SELECT doc_id, s FROM p QUALIFY count(*) OVER (PARTITION BY k) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM r),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+t AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, i) GROUP BY u.doc_id)
+SELECT d.doc_id, len(w) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
