@@ -52,7 +52,8 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]
     """Slope and shift such that sigmoid(slope * z + shift) is calibrated to the labels y, by Newton's method."""
     w = np.array([1.0, 0.0])
     x = np.stack([z, np.ones_like(z)], axis=1)
-    y = (y * y.sum() + 0.5 * 0 + y) / (y.sum() + 2) + (1 - y) / (len(y) - y.sum() + 2) if len(y) else y
+    held = y > 0  # targets short of 0 and 1, by the number of labels of each kind
+    y = np.where(held, (held.sum() + 1) / (held.sum() + 2), 1 / ((~held).sum() + 2))
     for _ in range(steps if len(y) else 0):
         p = sigmoid(x @ w)
         g = x.T @ (p - y) + 1e-3 * (w - [1, 0])

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import Scratch, documents, slices
 from .learning import SLOTS, platt, sample, sigmoid, word_features
 
 #: Labelled and unlabelled documents that the two views are fitted on; every document is scored.
-TRAIN_DOCS, POOL_DOCS = 6000, 4000
+TRAIN_DOCS, POOL_DOCS = 4000, 2500
 #: Rounds of pseudo-labels, the share of the pool that each view labels in a round, and the confidence it takes.
 ROUNDS, SHARE, CONFIDENT = 3, 0.1, 0.95
 KEEP = 0.5
@@ -28,12 +28,13 @@ LAYOUT = 13
 
 
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The row, slot and share of each feature of a text: words, their beginnings and ends, and whether a word repeats the one before."""
+    """The row, slot and share of each feature of a text: words, their ends, and whether a word repeats the one before."""
     row, _, _, slots, _ = word_features(column, fold=False)
+    slots = slots[:, [0, 3]]
     count = np.bincount(row, minlength=len(column))
     same = np.concatenate([[False], (slots[1:, 0] == slots[:-1, 0]) & (row[1:] == row[:-1])]) if len(row) else np.zeros(0, bool)
     slots = np.concatenate([slots, np.where(same, 0, 1)[:, None]], axis=1).astype(np.int64)
-    return np.repeat(row, 5), slots.ravel(), np.repeat(1 / np.maximum(count, 1)[row], 5)
+    return np.repeat(row, 3), slots.ravel(), np.repeat(1 / np.maximum(count, 1)[row], 3)
 
 
 def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
@@ -168,7 +169,8 @@ def co_train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str =
                 out.append((own.astype("<i4").tobytes(), np.bincount(at, share[a:b], len(own)).astype("<f4").tobytes(), x[i].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(pa.array(c, pa.binary()) for c in zip(*out))], names=["id", "y", "slots", "shares", "facts"])
 
-    got = sorted(rows.mapInArrow(run, "id long, y int, slots binary, shares binary, facts binary").collect(), key=lambda r: (r["id"], bytes(r["slots"])))
+    got = Scratch(docs.sparkSession, "quality").write(rows.mapInArrow(run, "id long, y int, slots binary, shares binary, facts binary"), "features").toLocalIterator()  # a partition at a time
+    got = sorted(({"id": r["id"], "y": r["y"], "slots": bytes(r["slots"]), "shares": bytes(r["shares"]), "facts": bytes(r["facts"])} for r in got), key=lambda r: (r["id"], r["slots"]))
     x = np.array([np.frombuffer(r["facts"], "<f4") for r in got]).reshape(len(got), -1)
     return CoTrained([(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in got], x, np.array([r["y"] for r in got], int))
 
