@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, slices, texts
 
 CAPACITY = 2048
+#: Bytes of text that are split into words at once.
+SLICE = 2 << 20
 #: Words whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def tokenizer_path() -> str:
@@ -81,7 +83,7 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", id_: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             split = [t.lower().split() for t in texts(batch.column("text"))]
             words.learn(split)
             ids, out = batch.column("id").to_pylist(), [[] for _ in range(5)]
