@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -58,8 +59,14 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+        for pause in (0.3, 0.1):  # plans are found unused in a first collection, and their shuffles in a second
+            gc.collect()
+            jvm.System.gc()
+            time.sleep(pause)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def release() -> None:
@@ -69,10 +76,6 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the column holds about `most` bytes at once; one longer value stands alone."""
     for batch in batches:
@@ -84,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
             upto = max(at + 1, upto)
             yield batch.slice(at, upto - at)
+            release()
             at = upto
 
 
