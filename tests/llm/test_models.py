@@ -163,6 +163,28 @@ def test_seating_has_the_processs_mean():
     assert got.min() >= 1 and got.max() <= n
 
 
+def test_seating_of_many_customers_varies_as_the_process_does():
+    n, p, o, d, s = 400, 0.02, 500, 0.7, 1.0
+    got = pitman_yor.seat(np.full(4000, n), np.full(4000, p), np.full(4000, o), d, s, pitman_yor.mix(np.arange(4000, dtype=np.uint64)))
+    rng, want = np.random.default_rng(1), np.ones(4000)
+    for k in range(1, n):
+        new = (s + d * (o + want)) * p
+        want += rng.random(4000) < new / (new + k - d * want)
+    assert got.mean() == pytest.approx(want.mean(), rel=0.03) and got.std() == pytest.approx(want.std(), rel=0.08)
+
+
+def test_openings_are_binomial():
+    seeds = pitman_yor.mix(np.arange(40_000, dtype=np.uint64))
+    for n, chance in ((4, 0.3), (50, 0.97), (1000, 0.4), (7, 1.0), (7, 0.0)):
+        got = pitman_yor.openings(np.full(40_000, n), np.full(40_000, chance), seeds, 9)
+        assert got.min() >= 0 and got.max() <= n and got.mean() == pytest.approx(n * chance, rel=0.02)
+        assert got.std() == pytest.approx((n * chance * (1 - chance)) ** 0.5, rel=0.03)
+
+
+def test_the_first_sweeps_are_left_out():
+    assert pitman_yor.BURN_IN >= 1 and pitman_yor.SAMPLES > 2
+
+
 def test_features_of_words():
     row, begin, end, slots, _ = toxicity.word_features(pa.array(["Abcde fg", None, "abcdE"]), fold=True)
     assert row.tolist() == [0, 0, 2] and slots.shape == (3, 4)
