@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, slices
+from .common import Scratch, documents, release, slices
 from .learning import SLOTS, platt, sample, sigmoid, word_features
+from .pitman_yor import pack_keys, squeeze, unpack_keys, unsqueeze
 
-#: Labelled and unlabelled documents that the two views are fitted on; every document is scored.
-TRAIN_DOCS, POOL_DOCS = 4000, 2500
-#: Rounds of pseudo-labels, the share of the pool that each view labels in a round, and the confidence it takes.
+#: Labelled documents that the two views are fitted on; all others teach by pseudo-labels, and every document is scored.
+TRAIN_DOCS = 6000
+#: Rounds of pseudo-labels, the share of all unlabelled documents that each view labels more in a round, and the confidence it takes.
 ROUNDS, SHARE, CONFIDENT = 3, 0.1, 0.95
+#: Steps over all pseudo-labelled documents in a round, for the text and for the metadata view.
+STEPS, NEWTON = 5, 4
+#: Bins of a view's calibrated logits, as wide as a hundredth of the confidence's logit; the last holds all beyond.
+BINS, _BIN = 2000, float(np.log(CONFIDENT / (1 - CONFIDENT))) / 100
+#: Sums that one row carries to where they are added up.
+CHUNK = 1 << 13
 KEEP = 0.5
 #: One-hot slots for the values of lang and of source, by hash.
 BUCKETS = 64
@@ -28,13 +36,12 @@ LAYOUT = 13
 
 
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The row, slot and share of each feature of a text: words, their ends, and whether a word repeats the one before."""
+    """The row, slot and share of each feature of a text: words, their beginnings and ends, and whether a word repeats the one before."""
     row, _, _, slots, _ = word_features(column, fold=False)
-    slots = slots[:, [0, 3]]
     count = np.bincount(row, minlength=len(column))
     same = np.concatenate([[False], (slots[1:, 0] == slots[:-1, 0]) & (row[1:] == row[:-1])]) if len(row) else np.zeros(0, bool)
     slots = np.concatenate([slots, np.where(same, 0, 1)[:, None]], axis=1).astype(np.int64)
-    return np.repeat(row, 3), slots.ravel(), np.repeat(1 / np.maximum(count, 1)[row], 3)
+    return np.repeat(row, 5), slots.ravel(), np.repeat(1 / np.maximum(count, 1)[row], 5)
 
 
 def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
@@ -68,26 +75,45 @@ def _columns(docs: DataFrame, text: str, id_: str) -> DataFrame:
     return docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"), slot("lang").alias("lang"), slot("source").alias("source"), long.alias("n_chars"))
 
 
+def _weights(y: np.ndarray, more: np.ndarray = np.zeros(2)) -> np.ndarray:
+    """A weight for label 0 and one for 1, such that both kinds count alike; more: how many of each kind there are elsewhere."""
+    return 0.5 / np.maximum(np.array([(y == 0).sum(), (y == 1).sum()]) + more, 1)
+
+
 class TextModel:
     def fit(self, rows: list, y: np.ndarray, rounds: int = 80) -> TextModel:
-        row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        slot, share = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
         self.w, self.b = np.zeros(SLOTS), 0.0
-        seen, seen0 = np.full(SLOTS, 1e-8), 1e-8
-        weigh = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+        self.seen, self.seen0 = np.full(SLOTS, 1e-8), 1e-8
+        parts, weigh = flat(rows), _weights(y)
         for _ in range(rounds):
-            g = (sigmoid(self.b + np.bincount(row, self.w[slot] * share, len(rows))) - y) * weigh
-            grad = np.bincount(slot, g[row] * share, SLOTS) + 1e-6 * self.w
-            seen, seen0 = seen + grad**2, seen0 + g.sum() ** 2
-            self.w, self.b = self.w - 2.0 * grad / np.sqrt(seen), self.b - 0.1 * g.sum() / np.sqrt(seen0)
+            self.step(*self.gradient(*parts, len(rows), y, weigh[y.astype(int)]))
         return self
 
+    def gradient(self, row: np.ndarray, slot: np.ndarray, share: np.ndarray, n: int, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarray, float]:
+        g = (sigmoid(self.logits(row, slot, share, n)) - y) * weigh
+        return np.bincount(slot, g[row] * share, SLOTS), float(g.sum())
+
+    def step(self, grad: np.ndarray, g0: float) -> None:
+        grad = grad + 1e-6 * self.w
+        self.seen, self.seen0 = self.seen + grad**2, self.seen0 + g0**2
+        self.w, self.b = self.w - 2.0 * grad / np.sqrt(self.seen), self.b - 0.1 * g0 / np.sqrt(self.seen0)
+
     def logits(self, row: np.ndarray, slot: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
         return self.b + np.bincount(row, self.w[slot] * share, n)
 
     def of(self, rows: list) -> np.ndarray:
         return np.array([self.b + float((self.w[s] * x).sum()) for s, x in rows])
 
+    def frozen(self) -> TextModel:
+        """What scores a text, without the state of the fit."""
+        out = TextModel()
+        out.w, out.b = self.w.astype(np.float32), self.b
+        return out
+
+
+def flat(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+
 
 class MetadataModel:
     """Logistic regression on standardised facts and the products of the layout facts."""
@@ -99,49 +125,142 @@ class MetadataModel:
         return np.concatenate([x, a[:, i] * a[:, j], np.sqrt(np.abs(a))], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> MetadataModel:
-        x = self.spread(x)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.05
-        x = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], axis=1)
-        weigh = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-        self.w = np.zeros(x.shape[1])
+        spread, weigh = self.spread(x), _weights(y)
+        self.mean, self.scale = spread.mean(axis=0), spread.std(axis=0) + 0.05
+        self.w = np.zeros(spread.shape[1] + 1)
         for _ in range(12):  # Newton's method
-            p = sigmoid(x @ self.w)
-            h = (x * (weigh * (p * (1 - p) + 1e-6))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
-            self.w -= np.linalg.solve(h, x.T @ (weigh * (p - y)) + 1e-3 * self.w)
+            self.step(*self.sums(x, y, weigh[y.astype(int)]))
         return self
 
+    def sums(self, x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The second and the first derivatives of the loss."""
+        x = np.concatenate([(self.spread(x) - self.mean) / self.scale, np.ones((len(x), 1))], axis=1)
+        p = sigmoid(x @ self.w)
+        return (x * (weigh * (p * (1 - p) + 1e-6))[:, None]).T @ x, x.T @ (weigh * (p - y))
+
+    def step(self, h: np.ndarray, g: np.ndarray) -> None:
+        self.w = self.w - np.linalg.solve(h + 1e-3 * np.eye(len(g)), g + 1e-3 * self.w)
+
     def of(self, x: np.ndarray) -> np.ndarray:
         return ((self.spread(x) - self.mean) / self.scale) @ self.w[:-1] + self.w[-1]
 
 
+def feature_blocks(docs: DataFrame, apart: np.ndarray, text: str, id_: str) -> DataFrame:
+    """(n, keys, counts, sizes, facts): both views of the documents whose ids aren't among the sorted `apart`, a row for some MB of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 21):
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(~np.isin(ids, apart)))
+            if not batch.num_rows:
+                continue
+            row, slot, _ = text_view(batch.column("text"))
+            keys, counts = np.unique(row << 18 | slot, return_counts=True)
+            row = {"n": [len(keys)], "keys": [squeeze(np.frombuffer(pack_keys(keys.astype(np.uint64)), np.uint8))], "counts": [squeeze(counts.astype(np.int32))],
+                   "sizes": [squeeze(np.bincount(row, minlength=batch.num_rows).astype(np.int32))], "facts": [squeeze(metadata_view(batch))]}
+            yield pa.RecordBatch.from_arrays([pa.array(row["n"], pa.int64()), *(pa.array(row[c], pa.binary()) for c in list(row)[1:])], names=list(row))
+
+    return _columns(docs, text, id_).where("id is not null").mapInArrow(run, "n long, keys binary, counts binary, sizes binary, facts binary")
+
+
+def summed(blocks: DataFrame, make: Callable, scratch: Scratch) -> np.ndarray:
+    """The sum over all blocks of the vectors that make(row, slot, share, facts) gives, added up in chunks by partition; the driver gets the sum alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                keys = unpack_keys(unsqueeze(r["keys"], np.uint8).tobytes(), r["n"]).astype(np.int64)
+                sizes = unsqueeze(r["sizes"], np.int32)
+                row = keys >> 18
+                own = make(row, keys & (SLOTS - 1), 5 * unsqueeze(r["counts"], np.int32) / np.maximum(sizes, 1)[row], unsqueeze(r["facts"], np.float32).reshape(len(sizes), -1))
+                total = own if total is None else total + own
+                del r, keys, row, own
+                release()
+        if total is not None:
+            at = range(0, len(total), CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(at), pa.int64()), pa.array([squeeze(total[i : i + CHUNK]) for i in at], pa.binary())], names=["at", "part", "sums"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], squeeze(sum(unsqueeze(x, np.float64) for x in pdf.sort_values("part")["sums"])))], columns=["at", "sums"])
+
+    got = blocks.mapInArrow(run, "at long, part long, sums binary").groupBy("at").applyInPandas(add, "at long, sums binary").collect()
+    scratch.drop()
+    return np.concatenate([unsqueeze(r["sums"], np.float64) for r in sorted(got, key=lambda r: r["at"])] or [np.zeros(0)])
+
+
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.minimum(np.abs(z) / _BIN, BINS - 1).astype(np.int64)
+
+
 class CoTrained:
     """Both views after the rounds, and how their calibrated logits are weighted."""
 
-    def __init__(self, rows: list, x: np.ndarray, y: np.ndarray):
-        """rows and x: the two views of labelled (y 0 or 1) and unlabelled (y -1) documents. A fifth of the labelled calibrates."""
-        known = np.flatnonzero(y >= 0)
+    def __init__(self, rows: list, x: np.ndarray, y: np.ndarray, total: Callable):
+        """rows and x: the two views of labelled documents (y 0 or 1), a fifth of which calibrates.
+
+        total(make): the sum of make(row, slot, share, facts) over all unlabelled ones, empty if there are none. In each round both views
+        score all of them; those of the greatest confidence teach the other view by their summed gradients, on top of the labelled ones.
+        """
+        known = np.arange(len(y))
         apart, own = known[::5], np.setdiff1d(known, known[::5])
         if min((y[own] == 0).sum(), (y[own] == 1).sum(), (y[apart] == 0).sum(), (y[apart] == 1).sum()) == 0:
             apart = own = known
         self.usable = len(known) > 0 and (y == 0).any() and (y == 1).any()
+        self.taught: list[tuple[int, int, int]] = []  # of each round: documents scored, labelled for the text and for the metadata view
         if not self.usable:
             return
-        pool = np.flatnonzero(y < 0)
-        given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that the text and the metadata view learn from
+        truth, mine, aside = y[own].astype(float), [rows[i] for i in own], [rows[i] for i in apart]
+        text, meta = TextModel().fit(mine, truth), MetadataModel().fit(x[own], truth)
+        parts = flat(mine)
         for turn in range(ROUNDS + 1):
-            ids = [np.array([*own, *g], int) for g in given]
-            ys = [np.array([*y[own], *g.values()], float) for g in given]
-            self.text = TextModel().fit([rows[i] for i in ids[0]], ys[0])
-            self.meta = MetadataModel().fit(x[ids[1]], ys[1])
-            self.scale = [platt(self.text.of([rows[i] for i in apart]), y[apart].astype(float)), platt(self.meta.of(x[apart]), y[apart].astype(float))]
-            if turn == ROUNDS or not len(pool):
+            self.text, self.meta = text.frozen(), MetadataModel()
+            self.meta.__dict__.update(meta.__dict__)
+            self.scale = [platt(self.text.of(aside), y[apart].astype(float)), platt(self.meta.of(x[apart]), y[apart].astype(float))]
+            if turn == ROUNDS:
+                break
+            old, (scale_t, scale_m) = (self.text, self.meta), self.scale
+
+            def judged(row, slot, share, facts, old=old, scale=(scale_t, scale_m)):
+                return [a * z + b for (a, b), z in zip(scale, (old[0].logits(row, slot, share, len(facts)), old[1].of(facts)))]
+
+            def count(row, slot, share, facts, judged=judged):
+                return np.concatenate([np.bincount(bins(z) + BINS * (z > 0), minlength=2 * BINS) for z in judged(row, slot, share, facts)]).astype(float)
+
+            hist = total(count).reshape(-1, 2, BINS)
+            if not hist.size:
                 break
-            seen = [sigmoid(a * z + b) for (a, b), z in zip(self.scale, (self.text.of([rows[i] for i in pool]), self.meta.of(x[pool])))]
-            for mine, other in ((0, 1), (1, 0)):
-                sure = np.maximum(seen[other], 1 - seen[other])
-                best = np.argsort(-sure, kind="stable")[: int(SHARE * len(pool)) + 1]
-                given[mine] |= {int(pool[i]): float(seen[other][i] > 0.5) for i in best if sure[i] >= CONFIDENT}
-        z = self.views(self.text.of([rows[i] for i in apart]), x[apart])
+            everything = hist[0].sum()
+            above = hist.sum(axis=1)[:, ::-1].cumsum(axis=1)[:, ::-1]  # documents from each bin on
+            cuts = [max(100, int(np.flatnonzero(a >= min(SHARE * (turn + 1) * everything, a[0]))[-1])) for a in above]
+            given = [hist[k, :, cuts[k] :].sum(axis=1) for k in (0, 1)]  # by the text and by the metadata view, of label 0 and 1
+            self.taught.append((int(everything), int(given[1].sum()), int(given[0].sum())))
+            weigh = [_weights(truth, given[1]), _weights(truth, given[0])]
+            for step in range(STEPS):
+                now = text.frozen(), MetadataModel()
+                now[1].__dict__.update(meta.__dict__)
+
+                def teach(row, slot, share, facts, judged=judged, now=now, weigh=weigh, cuts=cuts, newton=step < NEWTON):
+                    by_text, by_meta = judged(row, slot, share, facts)
+                    label = (by_meta > 0).astype(int)
+                    grad, g0 = now[0].gradient(row, slot, share, len(facts), label, weigh[0][label] * (bins(by_meta) >= cuts[1]))
+                    out, sure = [grad, [g0]], bins(by_text) >= cuts[0]
+                    if newton:
+                        label = (by_text[sure] > 0).astype(int)
+                        h, g = now[1].sums(facts[sure], label, weigh[1][label])
+                        out += [h.ravel(), g]
+                    return np.concatenate(out)
+
+                sums = total(teach)
+                grad, g0 = text.gradient(*parts, len(own), truth, weigh[0][truth.astype(int)])
+                text.step(grad + sums[:SLOTS], g0 + sums[SLOTS])
+                if step < NEWTON:
+                    h, g = meta.sums(x[own], truth, weigh[1][truth.astype(int)])
+                    meta.step(h + sums[SLOTS + 1 : -len(g)].reshape(h.shape), g + sums[-len(g) :])
+        z = self.views(self.text.of(aside), x[apart])
         self.joint = platt(z.mean(axis=1), y[apart].astype(float))
 
     def views(self, text_logits: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -152,12 +271,11 @@ class CoTrained:
         return sigmoid(self.joint[0] * views.mean(axis=1) + self.joint[1])
 
 
-def co_train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", label: str = "quality", most: int = TRAIN_DOCS, pool: int = POOL_DOCS) -> CoTrained:
-    """Fit on a bounded sample of labelled and one of other documents; their features come to the driver."""
+def co_train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", label: str = "quality", most: int = TRAIN_DOCS) -> CoTrained:
+    """Fit on at most `most` labelled documents, whose features come to the driver, and on all other ones, which count as unlabelled, by sums."""
     known = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").dropDuplicates(["id"])
-    others = docs.select(F.col(id_).cast("long").alias("id")).where("id is not null").join(known, "id", "left_anti").dropDuplicates(["id"])
-    chosen = sample(known, most, "id").unionByName(sample(others, pool, "id", "pool").withColumn("y", F.lit(-1)))
-    rows = _columns(docs, text, id_).join(F.broadcast(chosen), "id")  # at most most + pool rows
+    scratch, chosen = Scratch(docs.sparkSession, "quality"), sample(known, most, "id")
+    rows = _columns(docs, text, id_).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -169,10 +287,17 @@ def co_train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str =
                 out.append((own.astype("<i4").tobytes(), np.bincount(at, share[a:b], len(own)).astype("<f4").tobytes(), x[i].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(pa.array(c, pa.binary()) for c in zip(*out))], names=["id", "y", "slots", "shares", "facts"])
 
-    got = Scratch(docs.sparkSession, "quality").write(rows.mapInArrow(run, "id long, y int, slots binary, shares binary, facts binary"), "features").toLocalIterator()  # a partition at a time
+    got = scratch.write(rows.mapInArrow(run, "id long, y int, slots binary, shares binary, facts binary"), "features").toLocalIterator()  # a partition at a time
     got = sorted(({"id": r["id"], "y": r["y"], "slots": bytes(r["slots"]), "shares": bytes(r["shares"]), "facts": bytes(r["facts"])} for r in got), key=lambda r: (r["id"], r["slots"]))
-    x = np.array([np.frombuffer(r["facts"], "<f4") for r in got]).reshape(len(got), -1)
-    return CoTrained([(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in got], x, np.array([r["y"] for r in got], int))
+    x = np.array([np.frombuffer(r["facts"], "<f4") for r in got]).reshape(len(got), LAYOUT + 2 * BUCKETS)
+    y = np.array([r["y"] for r in got], int)
+    views = [(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in got]
+    if not {0, 1} <= set(y.tolist()):
+        return CoTrained(views, x, y, lambda make: np.zeros(0))
+    blocks = scratch.write(feature_blocks(docs, np.unique(np.array([r["id"] for r in got], np.int64)), text, id_), "blocks")
+    model = CoTrained(views, x, y, lambda make: summed(blocks, make, scratch))
+    scratch.drop("blocks", "features")
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, text: str = "text", id_: str = "doc_id") -> DataFrame:

@@ -103,6 +103,14 @@ def test_co_training(spark, docs_module):
     assert quality.score(odd.drop("lang", "source", "n_chars"), model).count() == 5
 
 
+def test_every_unlabelled_document_takes_part(docs_module, spark):
+    rows = corpus(3200, 5, junk=0.3)
+    labels = spark.createDataFrame([(i, g) for i, _, _, g in rows[:200]], "doc_id long, quality int")
+    model = quality.co_train(docs_module([(i, t) for i, t, _, _ in rows]), labels)
+    assert [n for n, _, _ in model.taught] == [3000] * quality.ROUNDS
+    assert max(max(t[1:]) for t in model.taught) > 251
+
+
 def brute(rows):
     from collections import Counter
 
