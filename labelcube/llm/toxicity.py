@@ -112,8 +112,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "do
     return fit([(y, np.frombuffer(slots, "<i4").reshape(-1, 4), np.frombuffer(sentence, "<i4")) for _, y, slots, sentence in bags])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", id_: str = "doc_id", top: int = 3) -> DataFrame:
-    """One row per row of docs: id, score, offending (the `top` worst sentences of probability 0.3 or more: first byte, end, probability).
+def offending(z: np.ndarray, rows: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Sentences over the threshold, and those that carry a row's noisy-or `whole` over it: by row, worst first."""
+    order = np.lexsort([-z, rows])
+    r, left = rows[order], -np.logaddexp(0, z[order])  # logs of 1 - p
+    sums = np.cumsum(left) - left
+    first = np.searchsorted(r, r)
+    before = -np.expm1(sums - sums[first])  # noisy-or of the row's worse sentences
+    return order[(z[order] >= np.log(THRESHOLD / (1 - THRESHOLD))) | ((whole[r] >= THRESHOLD) & (before < THRESHOLD))]
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """One row per row of docs: id, score, offending (sentences, worst first: first byte, end, probability).
+
+    Offending are all sentences of probability 0.3 or more; and, where the noisy-or over those alone is below 0.3 but the
+    document's is not, as many of the next worst as carry it to 0.3.
 
     An empty or null text has score 0 and no sentences. Other columns are ignored; repeated rows score alike.
     """
@@ -125,12 +138,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
             slots, sentence, owner, begin, end = sentence_features(batch.column("text"))
             pairs = np.unique((np.repeat(sentence, slots.shape[1]).astype(np.int64) << 18) | slots.ravel())  # a feature counts once a sentence
             z = shift + np.bincount(pairs >> 18, weights[pairs & (SLOTS - 1)], len(owner))
-            bad = np.flatnonzero(z >= np.log(THRESHOLD / (1 - THRESHOLD)))
+            whole = noisy_or(z, owner, batch.num_rows)
             worst: list[list] = [[] for _ in range(batch.num_rows)]
-            for i in bad[np.argsort(-z[bad], kind="stable")]:
-                if len(worst[owner[i]]) < top:
-                    worst[owner[i]].append({"begin": int(begin[i]), "end": int(end[i]), "probability": float(sigmoid(z[i]))})
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(noisy_or(z, owner, batch.num_rows)), pa.array(worst, kind)], names=["id", "score", "offending"])
+            for i in offending(z, owner, whole):
+                worst[owner[i]].append({"begin": int(begin[i]), "end": int(end[i]), "probability": float(sigmoid(z[i]))})
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(whole), pa.array(worst, kind)], names=["id", "score", "offending"])
 
     rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, score double, offending array<struct<begin:long,end:long,probability:double>>")

@@ -67,6 +67,16 @@ def test_toxicity_of_odd_texts(toxic, docs_module):
     assert toxicity.score(docs_module([]), model).count() == 0
 
 
+def test_every_offending_sentence_is_located(docs_module):
+    weights = np.zeros(toxicity.SLOTS, np.float32)
+    slots = toxicity.word_features(pa.array(["vile", "rude"]), fold=True)[3]
+    weights[slots[0, 0]], weights[slots[1, 0]] = 8.0, 4.5  # 0.88 and 0.18 a sentence
+    texts = [(1, "vile a. " * 10 + "fine."), (2, "rude a. " * 3 + "fine."), (3, "rude a. fine."), (4, "")]
+    got = {r["id"]: r for r in toxicity.score(docs_module(texts), (weights, -6.0)).collect()}
+    assert [len(got[i]["offending"]) for i in (1, 2, 3, 4)] == [10, 2, 0, 0]
+    assert got[2]["score"] >= 0.3 > max(x["probability"] for x in got[2]["offending"])
+
+
 def test_noisy_or_is_one_minus_the_product():
     logits, rows = np.array([-1.0, 2.0, 0.5]), np.array([0, 0, 2])
     p = 1 / (1 + np.exp(-logits))
