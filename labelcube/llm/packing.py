@@ -33,8 +33,8 @@ class WordIds:
     """The ids of white-space separated words as little-endian 32-bit bytes, remembered up to a number of words.
 
     The tokenizer drops white space, and no token crosses it, so a text's ids are those of its words in turn.
-    Case is folded first (the tokenizer does so itself). Marks that end a word after a letter or digit are tokens
-    of their own, so what is before them and they are looked up apart: there are far fewer distinct parts than words.
+    Marks that end a word after a letter or an ASCII digit are tokens of their own, so what is before them and they
+    are looked up apart: there are far fewer distinct parts than words.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED, at_once: int = 20_000):
@@ -69,11 +69,11 @@ _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def split_marks(word: bytes) -> tuple[bytes, bytes]:
-    """A word without the ASCII marks that it ends on, and these; the word alone if no letter or digit is before them."""
+    """A word without the ASCII marks that it ends on, and these; the word alone if no letter or ASCII digit is before them."""
     core = word.rstrip(_MARKS)
     if len(core) == len(word) or not core:
         return word, b""
-    if core[-1] < 128 or (core.decode("utf-8", "replace")[-1]).isalpha():
+    if chr(core[-1]).isalnum() if core[-1] < 128 else core.decode("utf-8", "replace")[-1].isalpha():
         return core, word[len(core) :]
     return word, b""
 
@@ -84,7 +84,7 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", id_: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in slices(batches, "text", SLICE):
-            split = [t.lower().split() for t in texts(batch.column("text"))]
+            split = [t.split() for t in texts(batch.column("text"))]
             words.learn(split)
             ids, out = batch.column("id").to_pylist(), [[] for _ in range(5)]
             for id_, s in zip(ids, split):

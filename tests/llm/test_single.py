@@ -50,6 +50,14 @@ def test_packing(docs, tokenizer):
     assert packing.packed(docs([])).count() == 0
 
 
+def test_odd_texts_have_the_contracts_ids(docs, tokenizer):
+    odd = ["abc\x01.", "abc\x7f!", "J\u030c J\u030c. \u0130x", "a1. b2!? \u00e9. \u0663. x_.", "It's don't. DON'T!", "x\u0301. \u2167."]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.token_pieces(docs(list(enumerate(odd))), packing.tokenizer_path()).collect()}
+    for i, t in enumerate(odd):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<i4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_matching_is_best_fit_decreasing(seed):
     rng = random.Random(seed)
