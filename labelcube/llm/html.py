@@ -24,13 +24,14 @@ GROUP = 64
 CELLS = 1 << 20
 
 # Fixed values of HTML: elements whose text is no content, elements that begin a new line, and elements without an end.
-_DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "label", "fieldset", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "map", "dialog", "menu", "math", "datalist"}
+_DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "fieldset", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "map", "dialog", "menu", "datalist"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar", "toolbar"}
-#: Words in a class or id that mark what surrounds an article.
-_MARKS = regex.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|notice|notices|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|disqus|reply|replies|respond|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|pagination|pager|skip|search|widget|toc|alert|disclaimer|copyright)(?:$|[\s_-])")
+#: Class names and ids, whole ones, that mark what surrounds an article.
+_MARKS = regex.compile(r"(?i)(?:^|\s)(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|notice|notices|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|disqus|reply|replies|respond|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|pagination|pager|skip|search|widget|toc|alert|disclaimer|copyright)(?:$|\s)")
+_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _TOKEN = regex.compile(r"<!--(?:>|->|.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", regex.S)
 _ATTRIBUTE = regex.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _CLOSES_P = _BLOCKS - {"br", "body", "html", "caption", "dd", "dt", "li", "legend", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -50,7 +51,9 @@ def page_lines(html: str) -> list[Line]:
     lines: list[Line] = []
     held: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are dropped
+    marked: set[int] = set()  # depths of those that only a class or id drops
     dropped = articles = 0
+    met = False  # an article so far
 
     def flush() -> None:
         text = " ".join("".join(map(unescape, held)).split())
@@ -62,6 +65,7 @@ def page_lines(html: str) -> list[Line]:
         nonlocal dropped, articles
         while len(stack) > upto:
             tag, bad = stack.pop()
+            marked.discard(len(stack))
             dropped -= bad
             articles -= tag in ("article", "main")
 
@@ -102,10 +106,17 @@ def page_lines(html: str) -> list[Line]:
         bad = tag in _DROPPED or (tag == "header" and not articles)
         if not bad and m.group(3).strip():
             got = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(m.group(3))}
-            bad = (
-                tag not in ("article", "main", "body", "html") and any(_MARKS.search(got.get(k, "")) for k in ("class", "id"))
-                or got.get("role", "").lower() in _ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-            )
+            bad = got.get("role", "").lower() in _ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
+            if not bad and tag not in ("article", "main", "body", "html") and not (articles and tag in _TEXT):
+                names = ("class",) if articles or tag in _TEXT else ("class", "id")
+                if bad := any(_MARKS.search(got.get(k, "")) for k in names):
+                    marked.add(len(stack))
+        if tag == "main" or (tag == "article" and not met):  # what holds the article is no sidebar or notice
+            for k in marked:
+                stack[k] = (stack[k][0], False)
+                dropped -= 1
+            marked.clear()
+        met = met or tag in ("article", "main")
         stack.append((tag, bad))
         dropped += bad
         articles += tag in ("article", "main")

@@ -188,6 +188,18 @@ def test_extraction(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_marks_leave_article_text():
+    def left(page):
+        return html.main_text([[x.text, x.inside, x.outside] for x in html.page_lines(page)], set())
+
+    for name in ("layout with-sidebar", "no-sidebar", "sidebar"):
+        assert left(f"<body><div class='{name}'><div class='ad'>buy</div><article><p>text</p></article></div></body>") == "text"
+    inner = "<h2 id='social-impact'>a</h2><section id='related-work'>b</section><p class='notice'>c</p><h2 id='search'>d</h2><p>e <math><mi>x</mi></math> <label>f</label></p>"
+    assert left(f"<article>{inner}<div class='comments'>no</div><div class='big ad'>no</div></article>") == "a\nb\nc\nd\ne x f"
+    assert left("<div id='menu'>no</div><p>yes</p><div class='cookie'>no</div>") == "yes"
+    assert left("<article>text</article><div class='comments'><article>no</article></div>") == "text"
+
+
 def test_common_lines_are_a_longest_subsequence(monkeypatch):
     def longest(a, b):
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
