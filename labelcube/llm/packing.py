@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -65,6 +66,17 @@ class WordIds:
         return b"".join(map(self.ids.__getitem__, words))
 
 
+#: A capital that the tokenizer may compose with what follows before it folds case.
+_COMPOSED = re.compile(rb"[A-Z][\x80-\xff]")
+
+
+def folded(text: bytes) -> list[bytes]:
+    """The words of a text, in lower case where that gives the tokenizer's ids."""
+    if not _COMPOSED.search(text):
+        return text.lower().split()
+    return [w if _COMPOSED.search(w) else w.lower() for w in text.split()]
+
+
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -84,7 +96,7 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", id_: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in slices(batches, "text", SLICE):
-            split = [t.split() for t in texts(batch.column("text"))]
+            split = [folded(t) for t in texts(batch.column("text"))]
             words.learn(split)
             ids, out = batch.column("id").to_pylist(), [[] for _ in range(5)]
             for id_, s in zip(ids, split):
