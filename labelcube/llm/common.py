@@ -53,13 +53,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        """Delete tables, and let go of the shuffle files of plans that are written out."""
+    def drop(self, *names: str, collect: bool = True) -> None:
+        """Delete tables, and, unless told not to, let go of the shuffle files of plans that are written out."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        for pause in (0.3, 0.1):  # plans are found unused in a first collection, and their shuffles in a second
+        for pause in (0.3, 0.1) if collect else ():  # plans are found unused in a first collection, and their shuffles in a second
             gc.collect()
             jvm.System.gc()
             time.sleep(pause)

@@ -1,27 +1,28 @@
-"""Best-fit packing in bulk-synchronous rounds over sorted runs of documents and gaps."""
+"""Best-fit packing in bulk-synchronous rounds of distributed successor sweeps over range-sorted pieces and gaps."""
 
 from __future__ import annotations
 
 import re
-import struct
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, slices, texts
+from .common import Scratch, documents, lower_ascii, mix, slices, utf8, words_of
 
 CAPACITY = 2048
 #: Bytes of text that are split into words at once.
 SLICE = 2 << 20
-#: Words whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, about 100 bytes each.
+REMEMBERED = 800_000
+#: A round takes the pieces that are at least this share of the longest one left, less that share of the capacity.
+BAND, GRAIN = 2 / 3, 1 / 128
+#: Pieces and gaps that one range of a sweep holds, about.
+RANGE_ROWS = 400_000
 
 
 def tokenizer_path() -> str:
@@ -30,64 +31,135 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """The ids of white-space separated words as little-endian 32-bit bytes, remembered up to a number of words.
-
-    The tokenizer drops white space, and no token crosses it, so a text's ids are those of its words in turn.
-    Marks that end a word after a letter or an ASCII digit are tokens of their own, so what is before them and they
-    are looked up apart: there are far fewer distinct parts than words.
-    """
-
-    def __init__(self, path: str, remembered: int = REMEMBERED, at_once: int = 20_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.remembered, self.at_once = remembered, at_once
-        self.ids: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Have the ids of all these words; of the words known before, the older half stays when there are too many."""
-        if len(self.ids) > self.remembered:
-            self.ids = dict(islice(self.ids.items(), self.remembered // 2))  # frequent words come first
-        known = self.ids
-        new = {w: split_marks(w) for w in set().union(*texts).difference(known)}
-        parts = list({p for pair in new.values() for p in pair if p}.difference(known))
-        for i in range(0, len(parts), self.at_once):
-            some = parts[i : i + self.at_once]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
-                ids = found.ids
-                known[part] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, (core, marks) in new.items():
-            if marks:
-                known[w] = known[core] + known[marks]
+#: Words of up to so many bytes are compared as so many 64-bit lanes; longer ones are looked up by their bytes.
+_WIDE, _LANES = 32, 4
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Small letters, plain and of Latin-1: single pre-tokens that no normalization changes.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+#: Bytes of marks; and those that end a letter or digit of ASCII, or, after 0xC3, a small letter of Latin-1.
+_MARK, _ENDS, _ENDS_TWO = (np.zeros(256, bool) for _ in range(3))
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_ENDS[[b for b in range(128) if chr(b).isalnum()]] = True
+_ENDS_TWO[[b for b in range(0xA0, 0xC0) if b != 0xB7]] = True
 
-    def of(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.ids.__getitem__, words))
 
+def _shown() -> dict[int, int]:
+    """How byte-level BPE writes bytes as characters: printable ones as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
-#: A capital that the tokenizer may compose with what follows before it folds case.
-_COMPOSED = re.compile(rb"[A-Z][\x80-\xff]")
 
+_SHOWN = _shown()
 
-def folded(text: bytes) -> list[bytes]:
-    """The words of a text, in lower case where that gives the tokenizer's ids."""
-    if not _COMPOSED.search(text):
-        return text.lower().split()
-    return [w if _COMPOSED.search(w) else w.lower() for w in text.split()]
 
+class WordIds:
+    """The ids of texts, from those of their white-space separated words, remembered up to a number of words.
 
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+    The tokenizer drops white space, and no token crosses it, so a text's ids are those of its words in turn. Marks that end a word
+    after a letter or a digit are tokens of their own, so what is before them and they are looked up apart. Words are found by
+    a hash and compared by their bytes, in small letters but where that could change their ids: where
+    a capital may be composed with what follows it, and in words with the beginning of a special token.
+    """
 
+    def __init__(self, path: str, remembered: int = REMEMBERED, at_once: int = 20_000):
+        from tokenizers import Tokenizer
 
-def split_marks(word: bytes) -> tuple[bytes, bytes]:
-    """A word without the ASCII marks that it ends on, and these; the word alone if no letter or ASCII digit is before them."""
-    core = word.rstrip(_MARKS)
-    if len(core) == len(word) or not core:
-        return word, b""
-    if chr(core[-1]).isalnum() if core[-1] < 128 else core.decode("utf-8", "replace")[-1].isalpha():
-        return core, word[len(core) :]
-    return word, b""
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.remembered, self.at_once = self.tokenizer.model, remembered, at_once
+        self._clear()
+
+    def _clear(self) -> None:
+        """Entry 0 is the end of a text."""
+        self.keys, self.found = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their entries
+        self.other: dict[bytes, int] = {}  # words that are found by their bytes
+        self.lanes, self.counts, self.flat = np.zeros((_LANES, 1), np.uint64), np.array([1]), np.zeros(1, np.uint32)
+
+    def tokens(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        rest, plain, one = [], _LETTERS.fullmatch, self.model.tokenize
+        for k, word in enumerate(words):
+            if len(word) <= 64 and plain(word):
+                out[k] = [t.id for t in one(word.decode("latin-1").translate(_SHOWN))]
+            else:
+                rest.append(k)
+        for i in range(0, len(rest), self.at_once):
+            some = rest[i : i + self.at_once]
+            for k, got in zip(some, self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in some], add_special_tokens=False)):
+                out[k] = got.ids
+        return out
+
+    def _add(self, words: list[bytes], lanes: np.ndarray) -> np.ndarray:
+        """New entries for words; their numbers."""
+        ids = self.tokens(words)
+        first = len(self.counts)
+        self.counts = np.concatenate([self.counts, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        self.lanes = np.concatenate([self.lanes, lanes], axis=1)
+        return np.arange(first, first + len(words))
+
+    def entries(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """The entry of each word of the bytes; odd ones are found by their bytes as they are, the others in small letters."""
+        if len(self.counts) > self.remembered:
+            self._clear()
+        folded = np.concatenate([lower_ascii(data), np.zeros(_WIDE + 8, np.uint8)])
+        odd = odd | (end - begin > _WIDE)
+        plain = np.flatnonzero(~odd)
+        b, size = begin[plain], (end - begin)[plain]
+        view = np.ndarray(len(folded) - 7, "<u8", folded, strides=(1,))
+        lanes = np.zeros((_LANES, len(plain)), np.uint64)
+        h = np.zeros(len(plain), np.uint64)
+        for k in range(_LANES):
+            some = np.flatnonzero(size > 8 * k) if k else slice(None)
+            lanes[k, some] = view[b[some] + 8 * k] & _MASKS[np.minimum(size[some] - 8 * k, 8)]
+            h[some] = mix(h[some] + lanes[k, some] + np.uint64(0x9E3779B97F4A7C15))
+        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        there = np.minimum(at, max(len(self.keys) - 1, 0))
+        found = np.where(self.keys[there] == keys, self.found[there], -1) if len(self.keys) else np.full(len(keys), -1)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            low = folded.tobytes()
+            found[new] = self._add([low[i:j] for i, j in zip(b[first[new]].tolist(), (b + size)[first[new]].tolist())], lanes[:, first[new]])
+            self.keys, self.found = np.insert(self.keys, at[new], keys[new]), np.insert(self.found, at[new], found[new])
+        out = np.zeros(len(begin), np.int64)
+        out[plain] = found[which]
+        odd[plain[~(self.lanes[:, out[plain]] == lanes).all(axis=0)]] = True  # another word of the same hash
+        rest = np.flatnonzero(odd)
+        if len(rest):
+            whole = data.tobytes()
+            words = [whole[i:j] for i, j in zip(begin[rest].tolist(), end[rest].tolist())]
+            unseen = [w for w in dict.fromkeys(words) if w not in self.other]
+            self.other.update(zip(unseen, self._add(unseen, np.zeros((_LANES, len(unseen)), np.uint64)).tolist()))
+            out[rest] = [self.other[w] for w in words]
+        return out
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, each with id 0 at its end, and where each begins and the last ends."""
+        data, at = utf8(column)
+        begin, end, row = words_of(data, at)
+        if len(begin):
+            odd = np.zeros(len(begin), bool)
+            capital = (data[:-1] >= 65) & (data[:-1] <= 90)
+            beside = np.flatnonzero(capital & (data[1:] >= 128) | (data[:-1] == 60) & (data[1:] == 124))
+            own = np.searchsorted(begin, beside, "right") - 1
+            odd[own[(own >= 0) & (beside < end[own])]] = True
+            core = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[end - 1] + 1  # where the marks at its end begin
+            last = data[core - 1]
+            split = ~odd & (core < end) & (core > begin) & (_ENDS[last] | _ENDS_TWO[last] & (core - 2 >= begin) & (data[core - 2] == 0xC3))
+            after = np.flatnonzero(split) + 1
+            begin, end = np.insert(begin, after, core[split]), np.insert(np.where(split, core, end), after, end[split])
+            row, odd = np.insert(row, after, row[split]), np.insert(odd, after, False)
+        entry = self.entries(data, begin, end, odd) if len(begin) else np.zeros(0, np.int64)
+        n = np.bincount(row, minlength=len(column)) + 1
+        last = np.cumsum(n) - 1
+        turn = np.zeros(int(n.sum()), np.int64)
+        inside = np.ones(len(turn), bool)
+        inside[last] = False
+        turn[inside] = entry
+        counts, starts = self.counts[turn], (np.cumsum(self.counts) - self.counts)[turn]
+        ends = np.cumsum(counts)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)]
+        return ids.astype("<u4"), np.concatenate([[0], ends[last]])
 
 
 def token_pieces(docs: DataFrame, path: str, text: str = "text", id_: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -96,117 +168,194 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", id_: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in slices(batches, "text", SLICE):
-            split = [folded(t) for t in texts(batch.column("text"))]
-            words.learn(split)
-            ids, out = batch.column("id").to_pylist(), [[] for _ in range(5)]
-            for id_, s in zip(ids, split):
-                own = memoryview(words.of(s) + b"\0\0\0\0")
-                for k, at in enumerate(range(0, len(own), 4 * capacity)):
-                    part = own[at : at + 4 * capacity]
-                    for column, value in zip(out, (id_, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, at = words.of(batch.column("text"))
+            size = np.diff(at)
+            n = -(-size // capacity)
+            doc = np.repeat(np.arange(batch.num_rows), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(size[doc] - start, capacity)
+            first = (at[doc] + start) * 4
+            held = memoryview(ids.tobytes())
+            crc = [zlib.crc32(held[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def match_runs(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Which gap each run of equally long pieces goes to: rows (length, first rank, first sequence, offset).
+def nested(opens: np.ndarray) -> np.ndarray:
+    """Which place of each closing one opened it last, as brackets do; -1 for those without one and for opening ones. opens: whether each place opens."""
+    if not len(opens):
+        return np.zeros(0, np.int64)
+    depth = np.cumsum(np.where(opens, 1, -1))
+    level = np.where(opens, depth, depth + 1)
+    order = np.argsort(level, kind="stable")
+    before = np.concatenate([[-1], order[:-1]])
+    pairs = ~opens[order] & (before >= 0)
+    pairs &= (level[before] == level[order]) & opens[before]
+    out = np.full(len(opens), -1, np.int64)
+    out[order[pairs]] = before[pairs]
+    return out
 
-    A round takes the longest pieces left, ranked 0, 1, ...: the successor of their length among the sorted
-    gaps is found, the pieces of lowest rank win its sequences, whose gaps shrink, and the others meet the next
-    successor; where there is none, sequences are opened, just as many as those pieces need if they share them.
-    Runs stand for all equal pieces or gaps, and a length is an integer up to capacity, so the number of
-    runs and rounds follows the capacity alone and not the number of documents.
+
+def carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Pairs of what the ranges left, by (range, pieces left, gaps left), in order: (piece's range, first piece, gap's range, last gap, how many).
+
+    Ranges run from large to small; the pieces that a range leaves come before its gaps, and take the last gaps of the nearest range that has any.
+    """
+    out, stack = [], []
+    for range_, pieces, gaps in left:
+        at = 0
+        while at < pieces and stack:
+            r, n = stack.pop()
+            k = min(n, pieces - at)
+            out.append((range_, at, r, n - 1, k))
+            at += k
+            if n > k:
+                stack.append((r, n - k))
+        if gaps:
+            stack.append((range_, gaps))
+    return out
+
+
+_SWEPT = "what int, range int, at long, key long, size long, seq long"
+PLACED, PIECE, GAP = 0, 1, 2
+
+
+def sweep(items: DataFrame) -> DataFrame:
+    """Rows (what, range, at, key, size, seq) from items (kind, size, key): gaps (kind 0, key a sequence) and pieces (kind 1), sorted by range.
+
+    Within its range each piece, from the largest on, takes the smallest gap that fits and that no larger piece has taken: PLACED rows.
+    What finds nobody in its range is numbered (at) as it comes: PIECE and GAP rows.
     """
-    gaps: list[int] = []
-    held: dict[int, list[tuple[int, int]]] = defaultdict(list)
-
-    def put(gap: int, first: int, n: int) -> None:
-        if not held[gap]:
-            insort(gaps, gap)
-        held[gap].append((first, n))
-
-    out, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, n = 0, counts[length]
-        while rank < n:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                need = -(-(n - rank) // (capacity // length))
-                put(capacity, opened, need)
-                opened += need
-                continue
-            gap = gaps[at]
-            first, there = held[gap].pop()
-            if not held[gap]:
-                gaps.pop(at)
-            won = min(there, n - rank)
-            out.append((length, rank, first, capacity - gap))
-            if won < there:
-                put(gap, first + won, there - won)
-            if gap > length:
-                put(gap - length, first, won)
-            rank += won
-    return np.array(out, np.int64).reshape(-1, 4)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces (with length, up to capacity) plus sequence_id and offset, in few sequences, gapless from 0.
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        kind, size, key = (np.concatenate(c) for c in zip(*held))
+        opener = nested(kind == 0)
+        placed = np.flatnonzero(opener >= 0)
+        free = opener < 0
+        free[opener[placed]] = False
+        pieces, gaps = np.flatnonzero(free & (kind == 1)), np.flatnonzero(free & (kind == 0))
+        part, none = TaskContext.get().partitionId(), np.full(max(len(pieces), len(gaps), 1), -1, np.int64)
+        for what, at, keys, sizes, seqs in ((PLACED, np.zeros(len(placed), np.int64), key[placed], size[placed], key[opener[placed]]),
+                                            (PIECE, np.arange(len(pieces)), key[pieces], size[pieces], none[: len(pieces)]), (GAP, np.arange(len(gaps)), none[: len(gaps)], size[gaps], key[gaps])):
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), what, np.int32)), pa.array(np.full(len(keys), part, np.int32)), *(pa.array(x.astype(np.int64)) for x in (at, keys, sizes, seqs))], names=["what", "range", "at", "key", "size", "seq"])
+
+    return items.mapInArrow(run, _SWEPT)
+
+
+def numbered(swept: DataFrame, pairs: list[tuple[int, int, int, int, int]], what: int) -> DataFrame:
+    """The PIECE or GAP rows of a sweep with the number of their pair; null where they have none."""
+    p = np.array(pairs, np.int64).reshape(-1, 5)
+    base = np.cumsum(p[:, 4]) - p[:, 4]
+    range_, lo = (p[:, 0], p[:, 1]) if what == PIECE else (p[:, 2], p[:, 3] - p[:, 4] + 1)
+    order = np.lexsort([lo, range_])
+    start = range_[order] << 40 | lo[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("range").to_numpy().astype(np.int64) << 40 | b.column("at").to_numpy()
+            k = np.searchsorted(start, at, "right") - 1
+            own = order[np.maximum(k, 0)] if len(order) else np.zeros(len(at), np.int64)
+            beyond = at - (start[np.maximum(k, 0)] if len(order) else 0)
+            hit = (k >= 0) & (beyond < p[own, 4]) if len(order) else np.zeros(len(at), bool)
+            n = np.where(hit, (base[own] + (beyond if what == PIECE else p[own, 4] - 1 - beyond)) if len(order) else 0, 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64(), mask=~hit)], names=[*b.schema.names, "pair"])
+
+    return swept.where(F.col("what") == what).mapInArrow(run, f"{_SWEPT}, pair long")
+
+
+def assign(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
+    """(key, seq, offset) for pieces (key, length up to capacity): best fit, the longest first, in rounds.
 
-    The pieces are range-sorted by length, which deals a frequent length over several ranges; ranks within a
-    length come from the ranges' counts. A piece then finds its run by search. What the driver sees is a
-    count for each length of each range: with ranges by length at most (lengths + ranges) rows.
+    A round takes the pieces of about BAND of the longest length left or more, and those that found no place before. A sequence offers its gap, or as many slots as such pieces
+    fit into it. Pieces and slots are sorted by size into ranges, each of which matches its own; what ranges leave is matched by their counts,
+    one row a range on the driver, and meets in a join by the number of the pair. Where several lengths want a gap, the longest has it, and
+    the others meet the next larger one. Then gaps shrink, and the next round begins. Where no gap holds the longest piece, as many sequences
+    are opened as the pieces need that fit nowhere: one for each over half the capacity, or their sum by the capacity, if that is more.
+
+    The driver also sees how many pieces and gaps there are of each size: at most two numbers a size, up to the capacity.
     """
-    columns = pieces.columns
+    spark = scratch.spark
+    waiting = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # not in a round yet
+    tried: dict[int, int] = {}  # were in a round and have no place
+    gaps: dict[int, int] = {}
+    rest = sequences = None
+    done, opened, turn, lowest = [], 0, 0, capacity + 1  # pieces of length lowest or more have been tried
+    while waiting or tried:
+        total = {n: waiting.get(n, 0) + tried.get(n, 0) for n in {*waiting, *tried}}
+        longest = max(total)
+        least = max(1, int(longest * BAND - capacity * GRAIN))
+        homeless = {n: k for n, k in total.items() if n > max(gaps, default=0)}
+        if longest in homeless:
+            need = max(sum(k for n, k in homeless.items() if 2 * n > capacity), -(-sum(n * k for n, k in homeless.items()) // capacity))
+            fresh = spark.range(opened, opened + need).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+            sequences = fresh if sequences is None else sequences.unionByName(fresh)
+            gaps[capacity] = gaps.get(capacity, 0) + need
+            opened += need
+        slots = F.greatest(F.floor(F.col("gap") / longest), F.lit(1)).cast("int")
+        lowest, before = min(lowest, least), lowest
+        offered = sequences.where(F.col("gap") >= min([lowest, *tried])).withColumn("n", slots).withColumn("k", F.explode(F.expr("sequence(1, n)")))
+        offered = offered.select(F.lit(0).alias("kind"), F.expr(f"if(k < n, {longest}L, gap - (n - 1) * {longest}L)").alias("size"), F.col("seq").alias("key"))
+        wanted = pieces.where((F.col("length") >= lowest) & (F.col("length") < before)).select(F.lit(1).alias("kind"), F.col("length").alias("size"), "key")
+        if rest is not None:
+            wanted = wanted.unionByName(rest.select(F.lit(1).alias("kind"), "size", "key"))
+        count = sum(k for n, k in total.items() if n >= lowest or n in tried) + sum(k * max(n // longest, 1) for n, k in gaps.items())
+        sorted_ = wanted.unionByName(offered).repartitionByRange(int(count // RANGE_ROWS) + 1, F.desc("size"), "kind", F.xxhash64("key"))
+        swept = scratch.write(sweep(sorted_.sortWithinPartitions(F.desc("size"), "kind", F.xxhash64("key"))), f"swept{turn}")
+        left: dict[int, list[int]] = {}
+        for r in swept.where(F.col("what") != PLACED).groupBy("range", "what").agg(F.count("*").alias("n")).collect():
+            left.setdefault(r["range"], [0, 0])[r["what"] - 1] = r["n"]
+        pairs = carried([(k, *left[k]) for k in sorted(left)])
+        placed = swept.where(F.col("what") == PLACED).select("key", "seq", F.col("size").alias("length"))
+        if pairs:
+            met = numbered(swept, pairs, PIECE).where("pair is not null").select("pair", "key", F.col("size").alias("length"))
+            placed = placed.unionByName(met.join(numbered(swept, pairs, GAP).where("pair is not null").select("pair", "seq"), "pair").select("key", "seq", "length"))
+        both = sequences.select(F.lit(None).cast("long").alias("key"), "seq", "gap", F.lit(0).cast("long").alias("length")).unionByName(placed.withColumn("gap", F.lit(None).cast("long")))
+        whole = Window.partitionBy("seq")
+        both = both.withColumn("gap", F.max("gap").over(whole)).withColumn("taken", F.sum("length").over(whole.orderBy(F.asc_nulls_first("key")).rowsBetween(Window.unboundedPreceding, -1)))
+        both = both.withColumn("all", F.sum("length").over(whole))
+        both = scratch.write(both.select("key", "seq", F.expr(f"if(key is null, gap - all, {capacity} - gap + taken)").alias("value")), f"round{turn}")
+        done.append(both.where("key is not null").select("key", "seq", F.col("value").alias("offset")))
+        now = both.where("key is null and value > 0").select("seq", F.col("value").alias("gap"))
+        rest, sequences = numbered(swept, pairs, PIECE).where("pair is null").select("key", "size"), now
+        sizes = now.select(F.lit(0).alias("kind"), F.col("gap").alias("size")).unionByName(rest.select(F.lit(1).alias("kind"), "size")).groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
+        gaps, tried = ({r["size"]: r["n"] for r in sizes if r["kind"] == k} for k in (0, 1))
+        waiting = {n: k for n, k in waiting.items() if n < lowest}
+        if turn:
+            scratch.drop(f"swept{turn - 1}", collect=False)
+        turn += 1
+    scratch.drop()
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            order = np.argsort(length, kind="stable")
-            sorted_ = length[order]
-            local = np.empty(len(length), np.int64)
-            local[order] = np.arange(len(length)) - np.searchsorted(sorted_, sorted_) + seen[sorted_]
-            seen += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local), pa.array(np.full(len(length), part, np.int64))], names=[*batch.schema.names, "local", "range"])
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    ranked = scratch.write(pieces.repartitionByRange("length", *[c for c in columns if c != "length"]).mapInArrow(rank, f"{shape}, local long, range long"), "ranked")
-    counts = sorted((r["length"], r["range"], r["n"]) for r in ranked.groupBy("length", "range").agg(F.count("*").alias("n")).collect())
-    total: dict[int, int] = defaultdict(int)
-    before = []
-    for length, range_, n in counts:
-        before.append((length << 32 | range_, total[length]))
-        total[length] += n
-    keys, offsets = np.array(before, np.int64).reshape(-1, 2).T
-    runs = match_runs(total, capacity)
-    runs = runs[np.lexsort([runs[:, 1], runs[:, 0]])]
-    starts = runs[:, 0] << 48 | runs[:, 1]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, local, range_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "local", "range"))
-            at = local + offsets[np.searchsorted(keys, length << 32 | range_)]
-            run = runs[np.searchsorted(starts, length << 48 | at, "right") - 1]
-            own = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(run[:, 2] + at - run[:, 1]), pa.array(run[:, 3])], names=[*columns, "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, f"{shape}, sequence_id long, offset long")
+def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces (with length, from 1 to capacity) plus sequence_id and offset, in few sequences, gapless from 0."""
+    keyed = scratch.write(pieces.withColumn("piece_key", F.monotonically_increasing_id()), "keyed")
+    if keyed.isEmpty():
+        return keyed.drop("piece_key").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    places = assign(keyed.select(F.col("piece_key").alias("key"), "length"), scratch, capacity)
+    places = places.select(F.col("key").alias("piece_key"), F.col("seq").alias("sequence_id"), "offset")
+    return keyed.join(places, "piece_key").drop("piece_key")
 
 
 def packed(docs: DataFrame, path: str | None = None, text: str = "text", id_: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text is empty and leaves the one end id. Rows that repeat an id are packed each on its own. Null ids
-    are carried. Other columns are ignored. No rows in, no rows out.
+    Null text is empty and leaves the one end id. Strings of special tokens in a text give those tokens' ids, as the tokenizer has it by
+    default. Rows that repeat an id are packed each on its own. Null ids are carried. Other columns are ignored. No rows in, no rows out.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.write(token_pieces(docs, path or tokenizer_path(), text, id_, capacity), "pieces")
-    return pack(pieces, scratch, capacity)
+    return pack(token_pieces(docs, path or tokenizer_path(), text, id_, capacity), Scratch(docs.sparkSession, "packing"), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from labelcube.llm import html, media, mixing, packing
@@ -16,21 +17,27 @@ ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "it's 3.5% — naïve, don't! &&& <
 
 @pytest.fixture(scope="module")
 def tokenizer():
+    """As the contract has it: by default strings of special tokens give their ids."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.tokenizer_path())
 
 
 def test_words_give_the_tokenizers_ids(tokenizer, sample):
     known = packing.WordIds(packing.tokenizer_path(), remembered=200)  # so few that it forgets
-    texts = [t or "" for _, t in ODD] + [r["text"] for r in sample.limit(60).collect()]
+    odd = ["foo <|endoftext|> bar", "x<|startoftext|>y. <|EndOfText|>. <|z", "\u039f\u03a3 \u03a3.", "stra\u00dfe \ufb01 \u1e9e", "a\u00a0b\u2003c", "w" * 500 + ". " + "\u00e9" * 40, "\u00b5 \u00aa\u00ba. \u00f7\u00df!"]
+    texts = [t or "" for _, t in ODD] + odd + [r["text"] for r in sample.limit(60).collect()]
     for i in range(0, len(texts), 10):
-        split = [t.encode().lower().split() for t in texts[i : i + 10]]
-        known.learn(split)
-        for t, s in zip(texts[i : i + 10], split):
-            assert np.frombuffer(known.of(s), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        ids, at = known.of(pa.array(texts[i : i + 10]))
+        for k, t in enumerate(texts[i : i + 10]):
+            assert ids[at[k] : at[k + 1]].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0], t
+
+
+def test_words_of_one_hash_are_told_apart(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "mix", lambda x: x & np.uint64(7))
+    text = "one two three four five six seven eight nine ten eleven twelve one two"
+    ids, _ = packing.WordIds(packing.tokenizer_path()).of(pa.array([text]))
+    assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
 def check_packing(rows, capacity):
@@ -58,29 +65,52 @@ def test_odd_texts_have_the_contracts_ids(docs, tokenizer):
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), t
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_matching_is_best_fit_decreasing(seed):
-    rng = random.Random(seed)
-    lengths = [rng.randint(1, rng.choice([60, 100])) for _ in range(rng.randint(1, 300))]
+def best_fit_decreasing(lengths, capacity):
     gaps: list[int] = []
     for n in sorted(lengths, reverse=True):
         fit = min((g for g in gaps if g >= n), default=None)
         if fit is None:
-            gaps.append(100 - n)
+            gaps.append(capacity - n)
         else:
             gaps[gaps.index(fit)] -= n
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    runs = packing.match_runs(counts, 100)
-    used: dict[int, int] = {}
-    for n, total in counts.items():
-        own = runs[runs[:, 0] == n]
-        for rank in range(total):
-            run = own[np.searchsorted(own[:, 1], rank, "right") - 1]
-            sequence = int(run[2] + rank - run[1])
-            used.setdefault(sequence, 0)
-            used[sequence] += n
-    assert max(used.values()) <= 100 and sum(used.values()) == sum(lengths)
-    assert len(used) <= len(gaps) + 1
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_a_sweep_over_ranges_is_best_fit_of_one_piece_a_gap(seed):
+    rng = random.Random(seed)
+    items = sorted([(rng.randint(1, 12), rng.randint(0, 1)) for _ in range(rng.randint(0, 60))], key=lambda x: (-x[0], x[1]))
+    left, want = [k for k, (_, kind) in enumerate(items) if kind == 0], {}
+    for k, (size, kind) in enumerate(items):
+        fits = [g for g in left if items[g][0] >= size]
+        if kind == 1 and fits:
+            want[k] = items[min(fits, key=lambda g: items[g][0])][0]
+            left.remove(max(g for g in fits if items[g][0] == want[k]))
+    cuts = sorted(rng.choices(range(len(items) + 1), k=3))
+    got, over, names = {}, [], {}
+    for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(items)])):
+        opener = packing.nested(np.array([kind == 0 for _, kind in items[a:b]], bool))
+        got |= {a + k: items[a + o][0] for k, o in enumerate(opener) if o >= 0}
+        pieces = [a + k for k in range(b - a) if items[a + k][1] and opener[k] < 0]
+        gaps = [a + k for k in range(b - a) if not items[a + k][1] and k not in set(opener.tolist())]
+        names[r] = pieces, gaps
+        over.append((r, len(pieces), len(gaps)))
+    for r, at, other, last, n in packing.carried(over):
+        got |= {names[r][0][at + i]: items[names[other][1][last - i]][0] for i in range(n)}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_needs_hardly_more_sequences_than_best_fit(spark, seed, monkeypatch, tmp_path):
+    rng = random.Random(seed)
+    monkeypatch.setattr(packing, "RANGE_ROWS", 60)
+    lengths = [rng.choice([rng.randint(1, 100), 40, 100][: rng.choice([1, 3])]) for _ in range(rng.randint(50, 300))]
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "name long, length long")
+    got = packing.pack(pieces, packing.Scratch(spark, "test"), 100).toPandas()
+    assert sorted(got.name) == list(range(len(lengths)))
+    check_packing(got, 100)
+    assert got.sequence_id.nunique() <= 1.02 * best_fit_decreasing(lengths, 100) + 1
+    assert packing.pack(pieces.limit(0), packing.Scratch(spark, "test"), 100).count() == 0
 
 
 def test_mixing_matches_sql(docs, words):
