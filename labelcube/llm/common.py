@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 #: Rows of one key are dealt over this many salts wherever rows are gathered by a key.
 SALTS = 16
 #: Text handled at once by the vectorised code, which needs about 60 bytes of memory a byte of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -28,12 +29,14 @@ _SPACES[[32, *range(9, 14)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; where the session names none, one of our own if there is only this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="labelcube-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -69,6 +72,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of df, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker lives on between tasks, next to others."""
     pa.default_memory_pool().release_unused()

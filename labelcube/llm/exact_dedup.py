@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, SPACE, Scratch, documents, salted
+from .common import SALTS, SPACE, Scratch, documents, fresh, salted
 
 
 def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", salts: int = SALTS) -> DataFrame:
@@ -36,16 +36,18 @@ def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", salts
 def exact_dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and its text, one.
 
-    An id with several texts stays with those whose group it leads. A group without any id leaves nothing. The
+    An id with several texts stays with those whose group it leads. Of a group without any id, one row stays. The
     rows meet the list of what stays by id and digest; of equal ones one is taken where they have met already.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    kept = exact_groups(docs, text, id_).where("kept").select(F.col(id_).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    name, sha, own = fresh(docs, "id", "sha", "own")
+    leads = F.col(id_).eqNullSafe(F.col("keep_id"))
+    kept = exact_groups(docs, text, id_).where(leads).select(F.col(id_).alias(name), F.col("text_sha256").alias(sha)).distinct()
     kept = scratch.write(kept, "kept")
     scratch.drop()  # the groups' texts need not lie on disk any longer
-    own = docs.withColumn("__own", F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " "), 256))
-    met = own.join(kept, (F.col(id_) == F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return met.dropDuplicates([id_, "__own"]).select(docs.columns)
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " "), 256)
+    met = docs.withColumn(own, digest).join(kept, F.col(id_).eqNullSafe(F.col(name)) & (F.col(own) == F.col(sha)), "left_semi")
+    return met.dropDuplicates([id_, own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, documents, salted, slices, texts
+from .common import Scratch, components, documents, fresh, salted, slices, texts
 
 RADIUS = 3
 #: Fingerprints in a block, the unit that is sent around, and in a tile, the unit that is compared or skipped.
@@ -38,15 +38,15 @@ def fingerprint(text: bytes, width: int = 3, at_once: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(id, mark, fp) of every row; mark is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fp = np.array([fingerprint(t) for t in texts(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(fp)], names=["id", "mark", "fp"])
 
-    rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, mark long, fp long")
 
 
 class Forest:
@@ -112,6 +112,21 @@ def _order(fp: str):
     return sum((F.shiftleft(F.bit_count(F.shiftright(fp, 8 * i).bitwiseAND(F.lit(255))).cast("long"), 28 - 4 * i) for i in range(8)), F.lit(0).cast("long"))
 
 
+def near_blocks(ranges: DataFrame, radius: int) -> DataFrame:
+    """(block, i, j) for each pair i <= j of blocks whose ranges (low, high) of bit counts lie within the radius, once for each of its blocks.
+
+    Blocks meet where the counts of their first two bytes do: one goes by what it holds, the other by what is within the radius of that.
+    """
+    def spread(name: str, by: int) -> DataFrame:
+        cell = lambda k: F.explode(F.sequence(F.greatest(F.col("low")[k] - by, F.lit(0)), F.least(F.col("high")[k] + by, F.lit(8))))
+        return ranges.select("*", cell(0).alias("x")).select("*", cell(1).alias("y")).select("x", "y", F.struct("block", "low", "high").alias(name))
+
+    gap = "aggregate(zip_with(zip_with(a.low, b.high, (x, y) -> x - y), zip_with(b.low, a.high, (x, y) -> x - y), (x, y) -> greatest(x, y, 0)), 0, (t, x) -> t + x)"
+    near = spread("a", 0).join(spread("b", radius), ["x", "y"]).where("a.block <= b.block").where(F.expr(gap) <= radius)
+    pairs = near.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
+    return pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+
+
 def linked(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fps(fp) such that within their closure all links of radius are.
 
@@ -132,29 +147,37 @@ def linked(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, block: int =
             own = fp[i : i + block]
             box = lanes(own)
             yield pa.RecordBatch.from_pydict(
-                {"block": [part * 4096 + k], "low": [box.min(axis=0).tolist()], "high": [box.max(axis=0).tolist()], "fps": [own.tobytes()]},
+                {"block": [part << 32 | k], "low": [box.min(axis=0).tolist()], "high": [box.max(axis=0).tolist()], "fps": [own.tobytes()]},
                 schema=pa.schema([("block", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())), ("fps", pa.binary())]),
             )
 
     blocks = fps.select("fp", _order("fp").alias("o")).repartitionByRange(parts, "o", "fp").select("fp")
     blocks = scratch.write(blocks.mapInArrow(cut, "block long, low array<int>, high array<int>, fps binary"), "blocks")
-    # Block numbers and ranges: one small row per 32768 fingerprints, compared as a stated list of blocks against all blocks.
-    ranges = blocks.select("block", "low", "high").collect()
-    names = np.array([r["block"] for r in ranges], np.int64)
-    low, high = (np.array([r[c] for r in ranges], np.int64).reshape(len(ranges), 8) for c in ("low", "high"))
-    near: list[tuple[int, int, int]] = []
-    for i in range(len(names)):
-        apart = np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i])).sum(axis=1)
-        for j in np.flatnonzero(apart <= radius) + i:
-            near += [(int(names[i]), i, int(j))] + [(int(names[j]), i, int(j))] * int(i != j)
-    pairs = fps.sparkSession.createDataFrame(near or [(0, 0, 0)], "block long, i int, j int")
+    sides = near_blocks(blocks.select("block", "low", "high"), radius)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [np.frombuffer(x, np.uint64) for x in pdf["fps"]]
         a, b = tile_links(sides[0], sides[1] if len(sides) > 1 else None, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return blocks.select("block", "fps").join(pairs, "block").groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    return blocks.select("block", "fps").join(sides, "block").groupBy("i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _labelled(docs: DataFrame, text: str, id_: str, radius: int) -> DataFrame:
+    """(id, mark, fp, lead) for each row of docs: lead is the least of its group by id, nulls last, then by mark."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.write(fingerprints(docs, text, id_), "fps").withColumn("salt", salted("id"))
+    lead = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("lead")
+    dealt = rows.groupBy("fp", "salt").agg(lead)
+    nodes = scratch.write(dealt.groupBy("fp").agg(F.min("lead").alias("lead"), F.collect_set("salt").alias("salts")), "nodes")
+    edges = scratch.write(linked(nodes.select("fp"), scratch, radius), "edges")
+    groups = components(edges, scratch)
+    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "lead", "salts", F.coalesce("root", "fp").alias("root"))
+    named = scratch.write(named, "named")
+    smallest = scratch.write(named.groupBy("root").agg(F.min("lead").alias("lead")), "smallest")
+    labels = named.drop("lead").join(smallest, "root").select("fp", F.explode("salts").alias("salt"), "lead")
+    scratch.drop("blocks", "edges", "nodes")
+    return rows.join(labels, ["fp", "salt"]).select("id", "mark", "fp", "lead")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -166,28 +189,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", ra
     are ignored. Equal fingerprints are one node, gathered by partial aggregation; labels come back joined by
     fingerprint and salt, so copies in any number stay spread.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.write(fingerprints(docs, text, id_), "fps").withColumn("salt", salted("id"))
-    dealt = rows.groupBy("fp", "salt").agg(F.min("id").alias("id"))
-    nodes = scratch.write(dealt.groupBy("fp").agg(F.min("id").alias("id"), F.collect_set("salt").alias("salts")), "nodes")
-    edges = scratch.write(linked(nodes.select("fp"), scratch, radius), "edges")
-    groups = components(edges, scratch)
-    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "id", "salts", F.coalesce("root", "fp").alias("root"))
-    named = scratch.write(named, "named")
-    smallest = scratch.write(named.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
-    labels = named.join(smallest, "root").select("fp", F.explode("salts").alias("salt"), "component_id")
-    scratch.drop("blocks", "edges", "nodes")
-    # xxhash64 of a null id is a number too, so every row has a salt.
-    return rows.join(labels, ["fp", "salt"]).select(F.col("id").alias(id_), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _labelled(docs, text, id_, radius)
+    return found.select(F.col("id").alias(id_), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead.id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, text: str = "text", id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of its group; all rows of groups without ids."""
+    """Of each group one row of docs, with all its columns: that of the smallest id, or of the least hash of its text where ids are equal or null.
+
+    Of rows that repeat an id and its text, one.
+    """
     scratch = Scratch(docs.sparkSession, "near")
-    found = near_duplicates(docs, text, id_, radius)
-    stay = scratch.write(found.where(F.col("component_id").isNull() | (F.col(id_) == F.col("component_id"))).select(F.col(id_).alias("__stay")).distinct(), "stay")
+    name, hashed, own = fresh(docs, "id", "mark", "own")
+    stay = _labelled(docs, text, id_, radius).where(F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("mark") == F.col("lead.mark")))
+    stay = scratch.write(stay.select(F.col("id").alias(name), F.col("mark").alias(hashed)).distinct(), "stay")
     scratch.drop()
-    return docs.join(stay, F.col(id_).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    met = docs.withColumn(own, F.xxhash64(F.col(text).cast("string"))).join(stay, F.col(id_).cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(hashed)), "left_semi")
+    return met.dropDuplicates([id_, own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,8 +94,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 400, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", label: str = "toxic", most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
-    """Fit on at most `most` labelled documents; their features, not their texts, come to the driver."""
-    learned = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").dropDuplicates(["id"])
+    """Fit on at most `most` labelled documents; their features, not their texts, come to the driver. A document with several labels has the largest."""
+    learned = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     chosen = F.broadcast(sample(learned, most, "id"))
     rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(chosen, "id")
 
