@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents
+from .common import WORD, Scratch, documents, fresh
 
 #: Share of the largest possible entropy that the mix should not exceed, times that a source may be repeated.
 ENTROPY, REPETITION = 0.95, 2.0
 STEPS, SEED = 50, 17
-#: Sources that one row may hold; more raise an error.
-MAX_SOURCES = 100_000
+#: Exponents tried at once: 31 between the ends, which is five steps of a bisection.
+FORKS = 32
+#: Rows of the table of weights that may be broadcast; a larger one is joined by source and salt.
+BROADCAST_ROWS = 100_000
 #: Blocks of a permutation have 3 hexadecimal digits of the permutation's key; so many rows lead to one more level of them.
 DIGITS, FAN = 3, 4096
 
@@ -22,46 +26,46 @@ def source_weights(sources: DataFrame, budget: int | None = None, entropy: float
     Weights are the token shares to the power of the exponent, normalised. The exponent is the smallest in [0, 1],
     found by bisection, with an entropy of at most `entropy` times the logarithm of the number of sources and with no source taken more
     than `repetition` times; 1 if none is. budget: all tokens unless given. Sources without tokens get nothing.
-    """
-    one = sources.where("tokens > 0").agg(F.sort_array(F.collect_list(F.struct("source", "tokens"))).alias("s"), F.sum("tokens").alias("total"))
-    one = one.withColumn("p", F.expr("transform(s, x -> x.tokens / total)")).withColumn("whole", F.lit(budget).cast("long") if budget is not None else F.col("total"))
-    z = "aggregate(p, 0D, (t, x) -> t + power(x, {a}))"
-    h = f"(ln({z}) - {{a}} * aggregate(p, 0D, (t, x) -> t + power(x, {{a}}) * ln(x)) / {z})"
-    most = f"(array_max(transform(p, x -> power(x, {{a}} - 1))) / {z} * whole / total)"
-    fits = f"({h} <= {float(entropy)}D * ln(size(p)) AND {most} <= {float(repetition)}D)"
-    mid = "((b.lo + b.hi) / 2)"
-    step = f"if({fits.format(a=mid)}, named_struct('lo', b.lo, 'hi', {mid}), named_struct('lo', {mid}, 'hi', b.hi))"
-    one = one.withColumn("exponent", F.expr(f"aggregate(sequence(1, {STEPS}), named_struct('lo', 0D, 'hi', 1D), (b, i) -> {step}).hi"))
-    one = one.withColumn("z", F.expr(z.format(a="exponent")))
-    each = one.select("exponent", "z", "total", "whole", F.explode("s").alias("x")).select("x.source", "x.tokens", "exponent", "whole", F.expr("round(power(x.tokens / total, exponent) / z, 9)").alias("weight"))
-    return each.select("source", "tokens", "exponent", "weight", F.floor(F.col("weight") * F.col("whole")).cast("long").alias("budget"))
-
-
-def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", id_: str = "doc_id", budget: int | None = None,
-                entropy: float = ENTROPY, repetition: float = REPETITION, seed: int = SEED) -> DataFrame:
-    """The drawn rows: id, source, epoch, block, start, n_tokens, weight.
-
-    A source's budget is taken as whole permutations of its documents (epochs 0, 1, ...) and a last, partial one,
-    of which the documents that begin before the budget's end are taken. A permutation sorts by a hash of seed,
-    epoch and id; its blocks are the leading digits of the hash, permuted by it as their rows are. start is the
-    token at which a row begins within its source's epoch: blocks are summed, the sums added up over at
-    most 4096 blocks at a time (with a second level of blocks for sources of over 16 million rows), and rows added up
-    within their block. So no source, however large, is sorted in one task.
 
-    Null text has no tokens, a null source is the source '', a null id sorts as ''. Rows that repeat an id are drawn
-    each. Tokens are words. Other columns are ignored. No rows in, no rows out; over MAX_SOURCES sources raise.
+    There may be any number of sources: of equally large ones one row a size is kept, and the sums that the bisection needs are aggregations,
+    for 31 exponents at a time; the driver sees the sums alone.
     """
+    own = sources.where("tokens > 0")
+    total, n, least = own.agg(F.sum("tokens"), F.count("*"), F.min("tokens")).first()
+    whole = total if budget is None else budget
+    if not n:
+        return own.select("source", "tokens", F.lit(1.0).alias("exponent"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"))
+    sizes = own.groupBy((F.col("tokens") / F.lit(total)).alias("p")).agg(F.count("*").cast("double").alias("n"))
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        """For each exponent the sum of the shares' powers, and that of the powers times the shares' logarithms."""
+        power = [F.pow("p", F.lit(a)) * F.col("n") for a in exponents]
+        row = sizes.agg(*[F.sum(x).alias(f"z{k}") for k, x in enumerate(power)], *[F.sum(x * F.ln("p")).alias(f"l{k}") for k, x in enumerate(power)]).first()
+        return [(row[f"z{k}"], row[f"l{k}"]) for k in range(len(exponents))]
+
+    low, high = 0.0, 1.0
+    for _ in range(STEPS // 5):
+        tried = [low + (high - low) * k / FORKS for k in range(1, FORKS)]
+        fits = [math.log(z) - a * lz / z <= entropy * math.log(n) and (least / total) ** (a - 1) / z * whole / total <= repetition for a, (z, lz) in zip(tried, sums(tried))]
+        first = fits.index(True) if True in fits else FORKS - 1
+        low, high = [low, *tried][first], [*tried, high][first]
+    ((z, _),) = sums([high])
+    weighed = own.select("source", "tokens", F.lit(high).alias("exponent"), F.round(F.pow(F.col("tokens") / F.lit(total), F.lit(high)) / F.lit(z), 9).alias("weight"))
+    return weighed.withColumn("budget", F.floor(F.col("weight") * F.lit(whole)).cast("long"))
+
+
+def _drawn(docs: DataFrame, text: str, source: str, id_: str, budget: int | None = None, entropy: float = ENTROPY, repetition: float = REPETITION, seed: int = SEED) -> DataFrame:
+    """What mix_sources() returns, with id for the id and mark, a hash of the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
+    rows = docs.select(F.col(id_).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
     rows = scratch.write(rows, "rows")
     sources = scratch.write(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
-    n, largest = sources.agg(F.count("*"), F.max("docs")).first()
-    if n > MAX_SOURCES:
-        raise ValueError(f"{n} sources; at most {MAX_SOURCES} can be mixed")
+    largest = sources.agg(F.max("docs")).first()[0]
     weights = source_weights(sources.select("source", "tokens"), budget, entropy, repetition).where("budget > 0")
     weights = weights.withColumn("epoch", F.explode(F.expr("sequence(0L, (budget - 1) div tokens)"))).withColumn("take", F.expr("least(tokens, budget - epoch * tokens)"))
-    drawn = rows.join(F.broadcast(weights.select("source", "epoch", "take", "weight")), "source")  # at most MAX_SOURCES times the repetitions
+    weights = scratch.write(weights.select("source", "epoch", "take", "weight"), "weights")
+    drawn = rows.join(F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights, "source")  # else a hot source is split at run time
     drawn = drawn.withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     levels = 1
     while (largest or 0) > FAN ** (levels + 1):
@@ -78,17 +82,41 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", id_
         level = level.withColumn(f"at{i}", F.coalesce(F.sum("t").over(earlier), F.lit(0))).drop("t")
         drawn = drawn.join(level, [*group, *block[: i + 1]])
         before = before + F.col(f"at{i}")
-    within = Window.partitionBy(*group, *block).orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*group, *block).orderBy("key", "id", "n_tokens", "mark").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("start", before + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).where("start < take")
-    return drawn.select(F.col("id").alias(id_), "source", F.col("epoch").cast("int").alias("epoch"), F.conv(F.concat(*block), 16, 10).cast("long").alias("block"), "start", "n_tokens", "weight")
+    return drawn.select("id", "mark", "source", F.col("epoch").cast("int").alias("epoch"), F.conv(F.concat(*block), 16, 10).cast("long").alias("block"), "start", "n_tokens", "weight")
+
+
+def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", id_: str = "doc_id", budget: int | None = None,
+                entropy: float = ENTROPY, repetition: float = REPETITION, seed: int = SEED) -> DataFrame:
+    """The drawn rows: id, source, epoch, block, start, n_tokens, weight.
+
+    A source's budget is taken as whole permutations of its documents (epochs 0, 1, ...) and a last, partial one,
+    of which the documents that begin before the budget's end are taken. A permutation sorts by a hash of seed,
+    epoch and id; its blocks are the leading digits of the hash, permuted by it as their rows are. start is the
+    token at which a row begins within its source's epoch: blocks are summed, the sums added up over at
+    most 4096 blocks at a time (with a second level of blocks for sources of over 16 million rows), and rows added up
+    within their block. So no source, however large, is sorted in one task.
+
+    Null text has no tokens, a null source is the source '', a null id sorts as ''. Rows that repeat an id are drawn
+    each. Tokens are words. Other columns are ignored. No rows in, no rows out.
+    """
+    return _drawn(docs, text, source, id_, budget, entropy, repetition, seed).drop("mark").withColumnRenamed("id", id_)
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", id_: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that are drawn, with all their columns, as often as they are drawn. Ids are taken to be unique."""
+    """The rows of docs that are drawn, with all their columns, as often as they are drawn.
+
+    Rows are told apart by id, source and text; those equal in all three are drawn together.
+    """
     scratch = Scratch(docs.sparkSession, "mixed")
-    drawn = scratch.write(mix_sources(docs, text, source, id_, **how).select(F.col(id_).alias("__id"), F.col("epoch").alias("__epoch")).distinct(), "drawn")
+    name, mark, from_, epoch, own, of = fresh(docs, "id", "mark", "from", "epoch", "own", "of")
+    drawn = _drawn(docs, text, source, id_, **how).select(F.col("id").alias(name), F.col("mark").alias(mark), F.col("source").alias(from_), F.col("epoch").alias(epoch))
+    drawn = scratch.write(drawn.distinct(), "drawn")
     scratch.drop()
-    return docs.join(drawn, F.col(id_).eqNullSafe(F.col("__id"))).select(docs.columns)
+    whole = docs.withColumns({own: F.xxhash64(F.col(text).cast("string")), of: F.coalesce(F.col(source).cast("string"), F.lit(""))})
+    met = whole.join(drawn, F.col(id_).eqNullSafe(F.col(name)) & (F.col(own) == F.col(mark)) & (F.col(of) == F.col(from_)))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
