@@ -251,25 +251,30 @@ def sweep(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, _SWEPT)
 
 
-def numbered(swept: DataFrame, pairs: list[tuple[int, int, int, int, int]], what: int) -> DataFrame:
-    """The PIECE or GAP rows of a sweep with the number of their pair; null where they have none."""
+def numbered(swept: DataFrame, pairs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The rows of a sweep with the number of the pair that ranges leave each other; null for all others."""
     p = np.array(pairs, np.int64).reshape(-1, 5)
     base = np.cumsum(p[:, 4]) - p[:, 4]
-    range_, lo = (p[:, 0], p[:, 1]) if what == PIECE else (p[:, 2], p[:, 3] - p[:, 4] + 1)
-    order = np.lexsort([lo, range_])
-    start = range_[order] << 40 | lo[order]
+    sides = []  # by range and first number of each run of pairs, for pieces and for gaps, which are taken last first
+    for range_, first in ((p[:, 0], p[:, 1]), (p[:, 2], p[:, 3] - p[:, 4] + 1)):
+        order = np.lexsort([first, range_])
+        sides.append(((range_ << 40 | first)[order], p[order, 4], base[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column("range").to_numpy().astype(np.int64) << 40 | b.column("at").to_numpy()
-            k = np.searchsorted(start, at, "right") - 1
-            own = order[np.maximum(k, 0)] if len(order) else np.zeros(len(at), np.int64)
-            beyond = at - (start[np.maximum(k, 0)] if len(order) else 0)
-            hit = (k >= 0) & (beyond < p[own, 4]) if len(order) else np.zeros(len(at), bool)
-            n = np.where(hit, (base[own] + (beyond if what == PIECE else p[own, 4] - 1 - beyond)) if len(order) else 0, 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64(), mask=~hit)], names=[*b.schema.names, "pair"])
+            what, at = b.column("what").to_numpy(), b.column("range").to_numpy().astype(np.int64) << 40 | b.column("at").to_numpy()
+            pair = np.full(len(at), -1, np.int64)
+            for kind, (start, n, begin) in zip((PIECE, GAP), sides):
+                own = np.flatnonzero(what == kind) if len(start) else np.zeros(0, np.int64)
+                k = np.searchsorted(start, at[own], "right") - 1
+                own, k = own[k >= 0], k[k >= 0]
+                beyond = at[own] - start[k]
+                hit = beyond < n[k]
+                own, k, beyond = own[hit], k[hit], beyond[hit]
+                pair[own] = begin[k] + (beyond if kind == PIECE else n[k] - 1 - beyond)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pair, pa.int64(), mask=pair < 0)], names=[*b.schema.names, "pair"])
 
-    return swept.where(F.col("what") == what).mapInArrow(run, f"{_SWEPT}, pair long")
+    return swept.mapInArrow(run, f"{_SWEPT}, pair long")
 
 
 def assign(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
@@ -314,10 +319,11 @@ def assign(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> Dat
         for r in swept.where(F.col("what") != PLACED).groupBy("range", "what").agg(F.count("*").alias("n")).collect():
             left.setdefault(r["range"], [0, 0])[r["what"] - 1] = r["n"]
         pairs = carried([(k, *left[k]) for k in sorted(left)])
+        named = numbered(swept, pairs)
         placed = swept.where(F.col("what") == PLACED).select("key", "seq", F.col("size").alias("length"))
         if pairs:
-            met = numbered(swept, pairs, PIECE).where("pair is not null").select("pair", "key", F.col("size").alias("length"))
-            placed = placed.unionByName(met.join(numbered(swept, pairs, GAP).where("pair is not null").select("pair", "seq"), "pair").select("key", "seq", "length"))
+            met = named.where((F.col("what") == PIECE) & F.col("pair").isNotNull()).select("pair", "key", F.col("size").alias("length"))
+            placed = placed.unionByName(met.join(named.where((F.col("what") == GAP) & F.col("pair").isNotNull()).select("pair", "seq"), "pair").select("key", "seq", "length"))
         both = sequences.select(F.lit(None).cast("long").alias("key"), "seq", "gap", F.lit(0).cast("long").alias("length")).unionByName(placed.withColumn("gap", F.lit(None).cast("long")))
         whole = Window.partitionBy("seq")
         both = both.withColumn("gap", F.max("gap").over(whole)).withColumn("taken", F.sum("length").over(whole.orderBy(F.asc_nulls_first("key")).rowsBetween(Window.unboundedPreceding, -1)))
@@ -325,7 +331,7 @@ def assign(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> Dat
         both = scratch.write(both.select("key", "seq", F.expr(f"if(key is null, gap - all, {capacity} - gap + taken)").alias("value")), f"round{turn}")
         done.append(both.where("key is not null").select("key", "seq", F.col("value").alias("offset")))
         now = both.where("key is null and value > 0").select("seq", F.col("value").alias("gap"))
-        rest, sequences = numbered(swept, pairs, PIECE).where("pair is null").select("key", "size"), now
+        rest, sequences = named.where((F.col("what") == PIECE) & F.col("pair").isNull()).select("key", "size"), now
         sizes = now.select(F.lit(0).alias("kind"), F.col("gap").alias("size")).unionByName(rest.select(F.lit(1).alias("kind"), "size")).groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
         gaps, tried = ({r["size"]: r["n"] for r in sizes if r["kind"] == k} for k in (0, 1))
         waiting = {n: k for n, k in waiting.items() if n < lowest}
