@@ -18,13 +18,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 
-#: Pages of a host-and-path order that one group holds, besides one neighbour at either end.
-GROUP = 64
+#: Pages of a host-and-path order that one group holds, and neighbours on either side that a page is compared with.
+GROUP, BESIDE = 64, 2
+#: A neighbour that shares more of a page's article is a reprint of it; one that shares more of all its lines, a copy.
+REPRINT, COPY = 0.5, 0.9
+#: Neighbours that have to share a line at an end of an article before it counts as the template's.
+AGREE = 2
 #: Cells of one table of an alignment; longer pages are split until their tables are as small.
 CELLS = 1 << 20
 
 # Fixed values of HTML: elements whose text is no content, elements that begin a new line, and elements without an end.
-_DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "fieldset", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "map", "dialog", "menu", "datalist"}
+_DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "fieldset", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "dialog", "menu", "datalist"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -32,8 +36,9 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 #: Class names and ids, whole ones, that mark what surrounds an article.
 _MARKS = regex.compile(r"(?i)(?:^|\s)(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|notice|notices|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|disqus|reply|replies|respond|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|pagination|pager|skip|search|widget|toc|alert|disclaimer|copyright)(?:$|\s)")
 _TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-_TOKEN = regex.compile(r"<!--(?:>|->|.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", regex.S)
-_ATTRIBUTE = regex.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: A quote opens a value only after "="; elsewhere it is part of a name, as browsers have it.
+_TOKEN = regex.compile(r"<!--(?:>|->|.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|))*+)(?:>|\Z)", regex.S)
+_ATTRIBUTE = regex.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _CLOSES_P = _BLOCKS - {"br", "body", "html", "caption", "dd", "dt", "li", "legend", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
 
@@ -200,7 +205,7 @@ def _nearness(a: str, b: str) -> int:
 
 
 def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
-    """(key, page_id, url, host, path, digests, body): lines as packed digests, and their texts compressed. key is a hash of host and lines."""
+    """(key, page_id, url, host, path, digests, body): lines as packed digests, each with whether it is the article's, and their texts compressed. key is a hash of host and lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "page_id", "url", "host", "path", "digests", "body"]
@@ -209,7 +214,7 @@ def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", id_: st
             for id_, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 lines = page_lines(html or "")
                 host, path = _address(url or "")
-                digests = b"".join(_digest(x.text) for x in lines)
+                digests = b"".join(_digest(x.text) + (b"\1" if x.inside and not x.outside else b"\0") for x in lines)
                 key = hashlib.blake2b(host.encode("utf-8", "replace") + b"\0" + digests, digest_size=16).digest()
                 body = json.dumps([[x.text, x.inside, x.outside] for x in lines], ensure_ascii=False).encode("utf-8", "replace")
                 out.append((key, id_, url, host, path, digests, zlib.compress(body, 6)))
@@ -219,13 +224,49 @@ def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", id_: st
     return rows.mapInArrow(run, "key binary, page_id long, url string, host string, path string, digests binary, body binary")
 
 
+_LINE = 13
+
+
+def _alike(a: list, b: list) -> int:
+    """How many elements from the beginning on are the same."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def template_lines(own: list[bytes], near: list[list[bytes]]) -> list[int]:
+    """Positions of a page's lines that are the template's, from its neighbours' lines, the nearest first.
+
+    A page that shares nearly all lines is a copy and tells nothing unless there are only such. Of the others, the nearest one's common subsequence
+    with the page is the template. Within an article, where a line may be a quotation, more is asked: that AGREE neighbours
+    that are no reprints share the line, and all lines between it and the article's beginning or end.
+    """
+    if not near:
+        return []
+    article = [i for i, x in enumerate(own) if x[-1]]
+    place = {i: k for k, i in enumerate(article)}
+    text, found, votes = [x[:-1] for x in own], None, np.zeros(len(own), int)
+    for other in near:
+        common = common_lines(text, [x[:-1] for x in other])
+        if len(common) <= COPY * len(own) and found is None:
+            found = common
+        if not article or sum(i in place for i in common) > REPRINT * len(article):
+            continue
+        theirs = [x[:-1] for x in other if x[-1]]
+        mine = [text[i] for i in article]
+        top, low = _alike(mine, theirs), _alike(mine[::-1], theirs[::-1])
+        for i in common:
+            if i in place and (place[i] < top or place[i] >= len(article) - low):
+                votes[i] += 1
+    found = common_lines(text, [x[:-1] for x in near[0]]) if found is None else found
+    return sorted({i for i in found if i not in place} | {i for i in article if votes[i] >= AGREE})
+
+
 def shared_lines(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, shared): positions of the lines that a page shares, in order, with its nearest page by URL path on the host.
+    """(key, shared): positions of a page's lines that template_lines() finds from its nearest pages by URL path on the host.
 
     Pages of the same lines on a host are one, under the first of their paths: a copy tells nothing about the template. They are
-    numbered in order of host, path and URL: by range, then by the ranges' counts. 64 in turn and the neighbour at
-    either end make a group, so a host of any size is spread. Of its two neighbours a page takes the one with more
-    leading path segments in common, the earlier if they tie.
+    numbered in order of host, path and URL: by range, then by the ranges' counts. 64 in turn and BESIDE neighbours at
+    either end make a group, so a host of any size is spread. Of its neighbours a page takes those with more
+    leading path segments in common first, then the closer ones, then the earlier.
     """
     spark = rows.sparkSession
     light = rows.groupBy("key").agg(F.min(F.struct("host", "path", "url", "page_id")).alias("at"), F.min("digests").alias("digests")).select("key", "at.*", "digests")
@@ -245,42 +286,39 @@ def shared_lines(rows: DataFrame, scratch: Scratch) -> DataFrame:
     offsets = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(counts, before)] or [(0, 0)], "part long, before long")
     placed = ordered.join(F.broadcast(offsets), "part").withColumn("at", F.col("before") + F.col("nth"))
     group = (F.col("at") / GROUP).cast("long")
-    placed = placed.withColumn("group", F.explode(F.array_distinct(F.array(group, ((F.col("at") + 1) / GROUP).cast("long"), ((F.col("at") - 1) / GROUP).cast("long")))))
+    beside = [((F.col("at") + k) / GROUP).cast("long") for k in range(1, BESIDE + 1)] + [F.floor((F.col("at") - k) / GROUP) for k in range(1, BESIDE + 1)]
+    placed = placed.withColumn("group", F.explode(F.array_distinct(F.array(group, *beside)))).where("group >= 0")
 
     def difference(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
-        own = [[d[i : i + 12] for i in range(0, len(d), 12)] for d in map(bytes, pdf["digests"])]
+        own = [[d[i : i + _LINE] for i in range(0, len(d), _LINE)] for d in map(bytes, pdf["digests"])]
         hosts, paths, ats, groups = (pdf[c].tolist() for c in ("host", "path", "at", "group"))
         keys, out = pdf["key"].tolist(), []
         for i, at in enumerate(ats):
             if at // GROUP != groups[i]:
                 continue
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(ats) and abs(ats[j] - at) == 1 and hosts[j] == hosts[i]]
-            near.sort(key=lambda j: -_nearness(paths[i], paths[j]))
-            if near:
-                out.append((keys[i], common_lines(own[i], own[near[0]])))
+            near = [j for j in range(i - BESIDE, i + BESIDE + 1) if j != i and 0 <= j < len(ats) and abs(ats[j] - at) <= BESIDE and hosts[j] == hosts[i]]
+            near.sort(key=lambda j: (-_nearness(paths[i], paths[j]), abs(j - i), j))
+            out.append((keys[i], template_lines(own[i], [own[j] for j in near])))
         return pd.DataFrame(out, columns=["key", "shared"])
 
     return placed.groupBy("group").applyInPandas(difference, "key binary, shared array<int>")
 
 
 def main_text(lines: list[list], shared: set[int]) -> str:
-    """What is left without the shared lines and what markup says is no content; within an article, if the page has one.
-
-    Lines of the article itself are its own even where the neighbour has them too: quotations and reprints are text.
-    """
+    """What is left without the template's lines and what markup says is no content; if the page has an article, without what is beside it."""
     article = any(inside and not outside for _, inside, outside in lines)
-    return "\n".join(t for i, (t, inside, outside) in enumerate(lines) if not outside and (inside if article else i not in shared))
+    return "\n".join(t for i, (t, inside, outside) in enumerate(lines) if not outside and i not in shared and (inside or not article))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
-    """One row per row of pages: page_id, url, text (lines joined by one line end; empty if none), n_chars, n_shared (lines shared with the neighbour).
+    """One row per row of pages: page_id, url, text (lines joined by one line end; empty if none), n_chars, n_shared (lines that the differencing found to be the template's).
 
     Null html is empty; a null or odd URL is a host of its own spelling; a page alone on its host has no neighbour and loses
     only what markup marks. Repeated rows are one page in the order and each get its text. Other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    rows = parsed_pages(pages, html, url, id_)
+    rows = scratch.write(parsed_pages(pages, html, url, id_), "parsed")
     shared = scratch.write(shared_lines(rows.drop("body"), scratch), "shared")
     scratch.drop("ordered")
 
