@@ -97,6 +97,25 @@ def test_held_out_rows_are_those_of_the_fold(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in got.items())
 
 
+def test_several_labels_of_a_document(spark, docs_module):
+    rows = corpus(200, 3, junk=0.3)
+    frame = docs_module([(i, t) for i, t, _, _ in rows])
+    once = [(i, x, g) for i, _, x, g in rows]
+    twice = once + [(i, 0, 1) for i, _, _, _ in rows[:100]]  # toxic and bad prevail
+    first, second = (spark.createDataFrame(x, "doc_id long, toxic int, quality int") for x in (once, twice))
+    assert np.allclose(toxicity.train(frame, first)[0], toxicity.train(frame, second)[0])
+    a, b = ({r["id"]: r["score"] for r in quality.score(frame, quality.co_train(frame, x)).collect()} for x in (first, second))
+    assert a == pytest.approx(b)
+
+
+def test_no_documents(spark, docs_module):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, toxic int, quality int")
+    none = docs_module([])
+    model = quality.co_train(none, labels)
+    assert quality.score(none, model).count() == 0 and quality.keep_good(none, model).count() == 0
+    assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
+
+
 def test_co_training(spark, docs_module):
     rows = corpus(500, 2, junk=0.3)
     frame = docs_module([(i, t) for i, t, _, _ in rows])
@@ -141,16 +160,16 @@ def texts():
 
 @pytest.mark.parametrize("size", [150, 10**6])
 def test_counts_and_base_scores(docs_module, texts, size):
-    got = pitman_yor.scores(docs_module(texts), size=size, shard=80).collect()
+    got = pitman_yor.scores(docs_module(texts), size=size, words=80, shard=80).collect()
     have = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=repr)
     assert have == sorted(((*x[:5], round(float(x[5]), 6)) for x in brute(texts)), key=repr)
     assert all(r["score"] < 0 and np.isfinite(r["score"]) for r in got)
 
 
-def test_blocks_and_shards_hardly_matter(docs_module, texts):
-    runs = [{(r["doc_id"], r["n_tokens"]): r["score"] for r in pitman_yor.scores(docs_module(texts), size=s, shard=d).collect()} for s, d in ((150, 80), (10**6, 10**6))]
-    for k, score in runs[0].items():
-        assert score == pytest.approx(runs[1][k], rel=0.05, abs=0.2)  # the root's draws differ
+def test_blocks_and_shards_do_not_matter(docs_module, texts):
+    runs = [sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in pitman_yor.scores(docs_module(texts), size=s, words=w, shard=d).collect()) for s, w, d in ((150, 80, 60), (10**6, 10**6, 10**6))]
+    for one, other in zip(*runs):
+        assert one[:2] == other[:2] and one[2] == pytest.approx(other[2], rel=1e-9)
 
 
 def test_repeated_contexts_are_learned(docs_module, texts):
@@ -166,6 +185,44 @@ def test_keys_round_trip():
         assert (pitman_yor.unpack_keys(pitman_yor.pack_keys(keys), n) == keys).all()
 
 
+def table_chances(c, parent, others, d, s):
+    """The exact distribution of the number of tables of c customers of one dish, by generalised Stirling numbers."""
+    row = [0.0, 1.0]
+    for n in range(1, c):
+        row = [0.0] + [row[t - 1] + (row[t] * (n - t * d) if t < len(row) else 0.0) for t in range(1, n + 2)]
+    weights = np.array([row[t] * np.prod([(s + d * (others + j)) * parent for j in range(t)]) for t in range(1, c + 1)])
+    return weights / weights.sum()
+
+
+@pytest.mark.parametrize("c, parent, others, d, s, moves", [(2, 0.2, 0, 0.5, 1.0, 16), (5, 0.3, 4, 0.6, 1.0, 16), (9, 0.05, 30, 0.8, 1.0, 16), (12, 0.4, 2, 0.3, 2.0, 3)])
+def test_gibbs_reaches_the_exact_distribution(c, parent, others, d, s, moves):
+    n = 20_000
+    counts, sizes, tables = np.full(n, c), np.full(n, c), np.ones(n, np.int64)
+    for sweep in range(200 if moves < c else 12):
+        sizes, tables = pitman_yor.gibbs(counts, sizes, tables, np.full(n, parent), np.full(n, others), d, s, pitman_yor.mix(np.arange(n, dtype=np.uint64) + np.uint64(sweep * n)), moves)
+        assert len(sizes) == tables.sum() and sizes.min() >= 1
+        assert (np.bincount(np.repeat(np.arange(n), tables), sizes) == c).all()
+    np.testing.assert_allclose(np.bincount(tables, minlength=c + 1)[1:] / n, table_chances(c, parent, others, d, s), atol=0.015)
+
+
+def test_gibbs_of_dishes_of_many_sizes():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(2, 400, 500)
+    seeds = pitman_yor.mix(np.arange(500, dtype=np.uint64))
+    tables = pitman_yor.seat(counts, np.full(500, 0.1), np.full(500, 20), 0.7, 1.0, seeds)
+    sizes = pitman_yor.start_sizes(counts, tables, 0.7, seeds)
+    for _ in range(3):
+        assert sizes.min() >= 1 and (np.bincount(np.repeat(np.arange(500), tables), sizes) == counts).all()
+        sizes, tables = pitman_yor.gibbs(counts, sizes, tables, np.full(500, 0.1), np.full(500, 20), 0.7, 1.0, seeds)
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(6)
+    c, t, p = rng.integers(0, 9, 50), np.zeros(50, int), rng.dirichlet(np.ones(50))
+    t[c > 0] = rng.integers(1, c[c > 0] + 1)
+    assert pitman_yor.predictive(c, t, pitman_yor.below(t.sum(), p, 0.6), c.sum(), 0.6).sum() == pytest.approx(1)
+
+
 def test_seating_has_the_processs_mean():
     n, p, d, s = 12, 0.3, 0.5, 1.0
     got = pitman_yor.seat(np.full(20_000, n), np.full(20_000, p), np.zeros(20_000), d, s, pitman_yor.mix(np.arange(20_000, dtype=np.uint64)))
