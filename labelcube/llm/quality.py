@@ -45,7 +45,10 @@ def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
-    """A page's facts, without its words: size, layout shares, and hashed language and source. One row per row."""
+    """A page's facts, without its words: size, layout shares, and hashed language and source. One row per row.
+
+    documents has no more page metadata than lang, source and n_chars, so the layout (lines, shares of kinds of characters) is taken from the text.
+    """
     from .common import utf8
 
     data, at = utf8(batch.column("text"))
@@ -149,7 +152,7 @@ def feature_blocks(docs: DataFrame, apart: np.ndarray, text: str, id_: str) -> D
     """(n, keys, counts, sizes, facts): both views of the documents whose ids aren't among the sorted `apart`, a row for some MB of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 21):
+        for batch in slices(batches, "text"):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(~np.isin(ids, apart)))
             if not batch.num_rows:
@@ -163,8 +166,20 @@ def feature_blocks(docs: DataFrame, apart: np.ndarray, text: str, id_: str) -> D
     return _columns(docs, text, id_).where("id is not null").mapInArrow(run, "n long, keys binary, counts binary, sizes binary, facts binary")
 
 
+_CHOSEN = "n long, keys binary, counts binary, sizes binary, facts binary, labels binary"
+
+
+def _unpacked(r: dict) -> tuple[np.ndarray, ...]:
+    """row, slot, share, facts of a block's documents; and the labels that they got, if they were chosen."""
+    keys = unpack_keys(unsqueeze(r["keys"], np.uint8).tobytes(), r["n"]).astype(np.int64)
+    sizes = unsqueeze(r["sizes"], np.int32)
+    row = keys >> 18
+    labels = [unsqueeze(r["labels"], np.int8).reshape(2, -1)] if "labels" in r else []
+    return row, keys & (SLOTS - 1), 5 * unsqueeze(r["counts"], np.int32) / np.maximum(sizes, 1)[row], unsqueeze(r["facts"], np.float32).reshape(len(sizes), -1), *labels
+
+
 def summed(blocks: DataFrame, make: Callable, scratch: Scratch) -> np.ndarray:
-    """The sum over all blocks of the vectors that make(row, slot, share, facts) gives, added up in chunks by partition; the driver gets the sum alone."""
+    """The sum over all blocks of the vectors that make(row, slot, share, facts, labels if any) gives, added up in chunks by partition; the driver gets the sum alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -172,13 +187,9 @@ def summed(blocks: DataFrame, make: Callable, scratch: Scratch) -> np.ndarray:
         total = None
         for batch in batches:
             for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                keys = unpack_keys(unsqueeze(r["keys"], np.uint8).tobytes(), r["n"]).astype(np.int64)
-                sizes = unsqueeze(r["sizes"], np.int32)
-                row = keys >> 18
-                own = make(row, keys & (SLOTS - 1), 5 * unsqueeze(r["counts"], np.int32) / np.maximum(sizes, 1)[row], unsqueeze(r["facts"], np.float32).reshape(len(sizes), -1))
+                own = make(*_unpacked(batch.slice(k, 1).to_pylist()[0]))
                 total = own if total is None else total + own
-                del r, keys, row, own
+                del own
                 release()
         if total is not None:
             at = range(0, len(total), CHUNK)
@@ -188,10 +199,51 @@ def summed(blocks: DataFrame, make: Callable, scratch: Scratch) -> np.ndarray:
         return pd.DataFrame([(key[0], squeeze(sum(unsqueeze(x, np.float64) for x in pdf.sort_values("part")["sums"])))], columns=["at", "sums"])
 
     got = blocks.mapInArrow(run, "at long, part long, sums binary").groupBy("at").applyInPandas(add, "at long, sums binary").collect()
-    scratch.drop()
     return np.concatenate([unsqueeze(r["sums"], np.float64) for r in sorted(got, key=lambda r: r["at"])] or [np.zeros(0)])
 
 
+def chosen(blocks: DataFrame, judged: Callable, cuts: list[int]) -> DataFrame:
+    """Of all blocks the documents that either view is sure of, with the labels that teach the text and the metadata view (-1: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                row, slot, share, facts = _unpacked(r)
+                labels = np.stack([np.where(bins(z) >= cut, z > 0, -1) for z, cut in zip(judged(row, slot, share, facts), cuts)][::-1]).astype(np.int8)
+                stay = (labels >= 0).any(axis=0)
+                if stay.any():
+                    of = stay[row]
+                    keys = ((np.cumsum(stay) - 1)[row[of]] << 18 | slot[of]).astype(np.uint64)
+                    packed = [np.frombuffer(pack_keys(keys), np.uint8), unsqueeze(r["counts"], np.int32)[of], unsqueeze(r["sizes"], np.int32)[stay], facts[stay], labels[:, stay]]
+                    yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), *(pa.array([squeeze(x)], pa.binary()) for x in packed)], names=["n", "keys", "counts", "sizes", "facts", "labels"])
+                del r, row, slot, share, facts
+                release()
+
+    return blocks.mapInArrow(run, _CHOSEN)
+
+
+class Pool:
+    """All unlabelled documents, in blocks of both views' features."""
+
+    def __init__(self, blocks: DataFrame, scratch: Scratch):
+        self.blocks, self.scratch, self.taught, self.turn = blocks, scratch, None, 0
+
+    def count(self, make: Callable) -> np.ndarray:
+        return summed(self.blocks, make, self.scratch)
+
+    def choose(self, judged: Callable, cuts: list[int]) -> None:
+        """Write out who teaches in this round, so that its steps read them alone."""
+        self.turn += 1
+        self.taught = self.scratch.write(chosen(self.blocks, judged, cuts), f"chosen{self.turn}")
+
+    def teach(self, make: Callable) -> np.ndarray:
+        return summed(self.taught, make, self.scratch)
+
+    def end_of_round(self) -> None:
+        self.scratch.drop(f"chosen{self.turn}")
+
+
 def bins(z: np.ndarray) -> np.ndarray:
     return np.minimum(np.abs(z) / _BIN, BINS - 1).astype(np.int64)
 
@@ -199,11 +251,11 @@ def bins(z: np.ndarray) -> np.ndarray:
 class CoTrained:
     """Both views after the rounds, and how their calibrated logits are weighted."""
 
-    def __init__(self, rows: list, x: np.ndarray, y: np.ndarray, total: Callable):
-        """rows and x: the two views of labelled documents (y 0 or 1), a fifth of which calibrates.
+    def __init__(self, rows: list, x: np.ndarray, y: np.ndarray, pool: Pool | None):
+        """rows and x: the two views of labelled documents (y 0 or 1), a fifth of which calibrates; pool: all unlabelled ones.
 
-        total(make): the sum of make(row, slot, share, facts) over all unlabelled ones, empty if there are none. In each round both views
-        score all of them; those of the greatest confidence teach the other view by their summed gradients, on top of the labelled ones.
+        In each round both views score the whole pool; those of the greatest confidence teach the other view by their summed gradients, on
+        top of the labelled ones.
         """
         known = np.arange(len(y))
         apart, own = known[::5], np.setdiff1d(known, known[::5])
@@ -230,7 +282,7 @@ class CoTrained:
             def count(row, slot, share, facts, judged=judged):
                 return np.concatenate([np.bincount(bins(z) + BINS * (z > 0), minlength=2 * BINS) for z in judged(row, slot, share, facts)]).astype(float)
 
-            hist = total(count).reshape(-1, 2, BINS)
+            hist = pool.count(count).reshape(-1, 2, BINS)
             if not hist.size:
                 break
             everything = hist[0].sum()
@@ -239,27 +291,31 @@ class CoTrained:
             given = [hist[k, :, cuts[k] :].sum(axis=1) for k in (0, 1)]  # by the text and by the metadata view, of label 0 and 1
             self.taught.append((int(everything), int(given[1].sum()), int(given[0].sum())))
             weigh = [_weights(truth, given[1]), _weights(truth, given[0])]
+            pool.choose(judged, cuts)
             for step in range(STEPS):
                 now = text.frozen(), MetadataModel()
                 now[1].__dict__.update(meta.__dict__)
 
-                def teach(row, slot, share, facts, judged=judged, now=now, weigh=weigh, cuts=cuts, newton=step < NEWTON):
-                    by_text, by_meta = judged(row, slot, share, facts)
-                    label = (by_meta > 0).astype(int)
-                    grad, g0 = now[0].gradient(row, slot, share, len(facts), label, weigh[0][label] * (bins(by_meta) >= cuts[1]))
-                    out, sure = [grad, [g0]], bins(by_text) >= cuts[0]
+                def teach(row, slot, share, facts, labels, now=now, weigh=weigh, newton=step < NEWTON):
+                    sure = labels >= 0
+                    grad, g0 = now[0].gradient(row, slot, share, len(facts), np.maximum(labels[0], 0), weigh[0][np.maximum(labels[0], 0)] * sure[0])
+                    out = [grad, [g0]]
                     if newton:
-                        label = (by_text[sure] > 0).astype(int)
-                        h, g = now[1].sums(facts[sure], label, weigh[1][label])
+                        label = labels[1][sure[1]]
+                        h, g = now[1].sums(facts[sure[1]], label, weigh[1][label])
                         out += [h.ravel(), g]
                     return np.concatenate(out)
 
-                sums = total(teach)
+                sums = pool.teach(teach)
+                if not len(sums):  # nobody teaches; the labelled ones go on alone
+                    n = len(meta.w)
+                    sums = np.zeros(SLOTS + 1 + (n * n + n if step < NEWTON else 0))
                 grad, g0 = text.gradient(*parts, len(own), truth, weigh[0][truth.astype(int)])
                 text.step(grad + sums[:SLOTS], g0 + sums[SLOTS])
                 if step < NEWTON:
                     h, g = meta.sums(x[own], truth, weigh[1][truth.astype(int)])
                     meta.step(h + sums[SLOTS + 1 : -len(g)].reshape(h.shape), g + sums[-len(g) :])
+            pool.end_of_round()
         z = self.views(self.text.of(aside), x[apart])
         self.joint = platt(z.mean(axis=1), y[apart].astype(float))
 
@@ -272,10 +328,13 @@ class CoTrained:
 
 
 def co_train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", label: str = "quality", most: int = TRAIN_DOCS) -> CoTrained:
-    """Fit on at most `most` labelled documents, whose features come to the driver, and on all other ones, which count as unlabelled, by sums."""
-    known = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").dropDuplicates(["id"])
-    scratch, chosen = Scratch(docs.sparkSession, "quality"), sample(known, most, "id")
-    rows = _columns(docs, text, id_).join(F.broadcast(chosen), "id")
+    """Fit on at most `most` labelled documents, whose features come to the driver, and on all other ones, which count as unlabelled, by sums.
+
+    A document with several labels has the smallest. Labels other than 0 and 1 count as 1 if positive. Without documents, or labels of both kinds, there is no model.
+    """
+    known = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = _columns(docs, text, id_).join(F.broadcast(sample(known, most, "id")), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -290,12 +349,12 @@ def co_train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str =
     got = scratch.write(rows.mapInArrow(run, "id long, y int, slots binary, shares binary, facts binary"), "features").toLocalIterator()  # a partition at a time
     got = sorted(({"id": r["id"], "y": r["y"], "slots": bytes(r["slots"]), "shares": bytes(r["shares"]), "facts": bytes(r["facts"])} for r in got), key=lambda r: (r["id"], r["slots"]))
     x = np.array([np.frombuffer(r["facts"], "<f4") for r in got]).reshape(len(got), LAYOUT + 2 * BUCKETS)
-    y = np.array([r["y"] for r in got], int)
+    y = (np.array([r["y"] for r in got], int) > 0).astype(int)
     views = [(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in got]
     if not {0, 1} <= set(y.tolist()):
-        return CoTrained(views, x, y, lambda make: np.zeros(0))
+        return CoTrained(views, x, y, None)
     blocks = scratch.write(feature_blocks(docs, np.unique(np.array([r["id"] for r in got], np.int64)), text, id_), "blocks")
-    model = CoTrained(views, x, y, lambda make: summed(blocks, make, scratch))
+    model = CoTrained(views, x, y, Pool(blocks, scratch))
     scratch.drop("blocks", "features")
     return model
 
