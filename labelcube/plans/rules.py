@@ -1,173 +1,125 @@
-"""Local rewrites that keep every value, applied until none fits.
+"""Where selections and projections of a plan go: as far to the front as every value stays the same.
 
-Catalyst reorders filters and columns by itself; what these rules add is what it can't see: which chains are impossible,
-how positions of positions compose, and a plan that shows what will run.
+A plan is laid step by step, like cards into a hand: a selection or a projection slides forward past each step that lets it, and is joined
+with its like where they meet. Each step says itself what may pass it (steps.py). Catalyst reorders filters and columns by itself; what
+this adds is what it can't see: which chains are impossible, how positions of positions compose, and a plan that shows what will run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from ..errors import InvalidExpressionError
 from .shape import Shape, fold
 from .specs import classify_chunk, compose, drops, raw_index
-from .steps import (
-    Drop, Elementwise, GroupedReduce, Project, Rechunk, Reduce, Rename, Scan, Select, Step, WeightedReduce, WindowedReduce,
-)
-
-
-@dataclass(frozen=True)
-class Effect:
-    """What a step does to the dimensions of others that would pass it.
-
-    blocks: dimensions that a selection that passes may not index; None lets none pass. needs: dimensions that a
-    projection that passes must leave; None lets none pass. fatal: a blocked selection could never have run.
-    """
-
-    blocks: frozenset | None
-    needs: frozenset | None
-    fatal: bool = False
-
-
-def effect(step: Step, shape: Shape | None) -> Effect:
-    known = shape.dims if shape is not None else None
-    match step:
-        case Reduce(dims=dims, keepdims=keep):
-            if dims.every and known is None:
-                return Effect(None, None)
-            gone = dims.among(known or frozenset())
-            return Effect(gone, gone, fatal=not keep)
-        case Select(index=index):
-            return Effect(None, frozenset(index))
-        case GroupedReduce(group_dim=old, new_dim=new, dims=dims):
-            gone = dims.among(known or frozenset())
-            return Effect(frozenset([old, new]) | gone, frozenset([old]) | gone)
-        case WindowedReduce(window=window):
-            return Effect(frozenset(window), frozenset(window))
-        case WeightedReduce(weight_dims=over, dims=dims):
-            if dims.every:
-                return Effect(None, None if known is None else known | over)
-            return Effect(None, dims.names | over)
-        case Scan(dims=dims):
-            if dims.every and known is None:
-                return Effect(None, None)
-            own = dims.among(known or frozenset())
-            return Effect(own, own)
-        case Elementwise():
-            return Effect(frozenset(), frozenset())
-        case Rename(mapping=mapping):
-            return Effect(frozenset(mapping.values()), None)
-        case Drop():
-            return Effect(frozenset(), None)
-    return Effect(None, None)
-
-
-Rule = Callable[[list[Step], list[Shape | None]], list[Step] | None]
-
-
-def _select(name: str, index: dict) -> Select:
-    return Select(name, (), {d: raw_index(s) for d, s in index.items()}, index=index)
-
-
-def merge_selects(steps: list[Step], _: list[Shape | None]) -> list[Step] | None:
-    for i, (a, b) in enumerate(zip(steps, steps[1:])):
-        if not (isinstance(a, Select) and isinstance(b, Select) and a.name == b.name) or a.options or b.options:
-            continue
-        index = dict(a.index)
-        for d, s in b.index.items():
-            if d in index:
-                s = compose(index[d], s) if a.name == "isel" else None
-                if s is None:
-                    break
-            index[d] = s
+from .steps import Project, Rechunk, Select, Step
+
+
+def joined_selects(first: Select, then: Select) -> Select | None:
+    """One selection for two; None where options, kinds or positions keep them apart."""
+    if first.name != then.name or first.options or then.options:
+        return None
+    index = dict(first.index)
+    for dim, spec in then.index.items():
+        if dim in index:
+            spec = compose(index[dim], spec) if first.name == "isel" else None
+            if spec is None:
+                return None
+        index[dim] = spec
+    return Select(first.name, (), {d: raw_index(s) for d, s in index.items()}, index=index)
+
+
+def joined_projects(first: Project, then: Project, shape: Shape | None) -> Project | None:
+    """The second alone, if the first leaves all that it names, or a coordinate of what it leaves."""
+    if first.single:
+        return None
+    if set(then.names) <= set(first.names):
+        return then
+    if not then.single or shape is None or then.key not in shape.coords:
+        return None
+    spanned = {d for n in first.names for d in shape.variables.get(n, ())}
+    return then if spanned.issuperset(shape.variables[then.key]) else None
+
+
+def joined_rechunks(first: Rechunk, then: Rechunk) -> Rechunk | None:
+    """Chunks of both, the second's where both name a dimension, if these are plain sizes."""
+    for one in (first, then):
+        if one.options or one.uniform is not None or not one.chunks or any(classify_chunk(v).kind not in ("size", "whole", "same") for v in one.chunks.values()):
+            return None
+    chunks = {**first.chunks, **{d: v for d, v in then.chunks.items() if v is not None or d not in first.chunks}}
+    return Rechunk("chunk", (chunks,), {}, chunks=chunks)
+
+
+def after_selection(step: Rechunk, selection: Select) -> list[Step] | None:
+    """What is left of a rechunk behind a selection that has passed it; None if it can't pass."""
+    sizes = [step.uniform] if step.uniform is not None else list(step.chunks.values())
+    if step.options or not sizes or not all(classify_chunk(v).crossable for v in sizes):
+        return None
+    if step.uniform is not None:
+        return [step]
+    gone = {d for d, s in selection.index.items() if drops(s)}
+    chunks = {d: v for d, v in step.chunks.items() if d not in gone}
+    return [Rechunk("chunk", (chunks,), {}, chunks=chunks)] if chunks else []
+
+
+def _place_select(laid: list[Step], selection: Select, shape: Shape | None) -> list[Step]:
+    behind: list[Step] = []
+    while laid:
+        step, before = laid[-1], fold(shape, laid[:-1])[-1]
+        if isinstance(step, Select):
+            one = joined_selects(step, selection)
+            if one is None:
+                break
+            return _place_select(laid[:-1], one, shape) + behind
+        if isinstance(step, Rechunk):
+            rest = after_selection(step, selection)
+            if rest is None:
+                break
+        elif step.yields_to(frozenset(selection.index), before):
+            rest = [step]
         else:
-            return [*steps[:i], _select(a.name, index), *steps[i + 2 :]]
-    return None
-
-
-def merge_projects(steps: list[Step], _: list[Shape | None]) -> list[Step] | None:
-    for i, (a, b) in enumerate(zip(steps, steps[1:])):
-        if isinstance(a, Project) and isinstance(b, Project) and not a.single and set(b.names) <= set(a.names):
-            return [*steps[:i], b, *steps[i + 2 :]]
-    return None
-
-
-def merge_rechunks(steps: list[Step], _: list[Shape | None]) -> list[Step] | None:
-    for i, (a, b) in enumerate(zip(steps, steps[1:])):
-        if not (isinstance(a, Rechunk) and isinstance(b, Rechunk)) or a.options or b.options or a.uniform is not None or b.uniform is not None or not a.chunks or not b.chunks:
-            continue
-        if any(classify_chunk(v).kind not in ("size", "whole", "same") for v in (*a.chunks.values(), *b.chunks.values())):
-            continue
-        chunks = {**a.chunks, **{d: v for d, v in b.chunks.items() if v is not None or d not in a.chunks}}
-        return [*steps[:i], Rechunk("chunk", (chunks,), {}, chunks=chunks), *steps[i + 2 :]]
-    return None
-
-
-def skip_project_before_coordinate(steps: list[Step], shapes: list[Shape | None]) -> list[Step] | None:
-    for i, (a, b) in enumerate(zip(steps, steps[1:])):
-        shape = shapes[i]
-        if shape is None or not (isinstance(a, Project) and isinstance(b, Project) and not a.single and b.single):
-            continue
-        spanned = {d for n in a.names for d in shape.variables.get(n, ())}
-        if b.key in shape.coords and b.key not in a.names and set(shape.variables[b.key]) <= spanned:
-            return [*steps[:i], b, *steps[i + 2 :]]
-    return None
-
-
-def push_selects(steps: list[Step], shapes: list[Shape | None]) -> list[Step] | None:
-    for i, (a, b) in enumerate(zip(steps, steps[1:])):
-        if not isinstance(b, Select) or isinstance(a, Rechunk):
-            continue
-        does = effect(a, shapes[i])
-        if does.blocks is None:
-            continue
-        shared = does.blocks & set(b.index)
-        if not shared:
-            return [*steps[:i], b, a, *steps[i + 2 :]]
-        if does.fatal and b.options.get("missing_dims", "raise") == "raise":
-            raise InvalidExpressionError(f"{b.name}() indexes {sorted(map(str, shared))}, which {a.name}() has already reduced away")
-    return None
-
-
-def push_projects(steps: list[Step], shapes: list[Shape | None]) -> list[Step] | None:
-    for i, (a, b) in enumerate(zip(steps, steps[1:])):
-        shape = shapes[i]
-        if not isinstance(b, Project) or isinstance(a, Project) or shape is None or shape.array:
-            continue
-        needs = effect(a, shape).needs
-        if needs is None or any(n not in shape.variables or n in shape.coords for n in b.names):
-            continue
-        if all(needs <= set(shape.variables[n]) for n in b.names) if isinstance(a, WeightedReduce) else needs <= {d for n in b.names for d in shape.variables[n]}:
-            return [*steps[:i], b, a, *steps[i + 2 :]]
-    return None
-
-
-def push_selects_past_rechunks(steps: list[Step], _: list[Shape | None]) -> list[Step] | None:
-    for i, (a, b) in enumerate(zip(steps, steps[1:])):
-        if not (isinstance(a, Rechunk) and isinstance(b, Select)) or a.options or not a.chunks and a.uniform is None:
-            continue
-        if not all(classify_chunk(v).crossable for v in ([a.uniform] if a.uniform is not None else a.chunks.values())):
+            lost = step.ended(before) & set(selection.index)
+            if lost and selection.options.get("missing_dims", "raise") == "raise":
+                raise InvalidExpressionError(f"{selection.name}() indexes {sorted(map(str, lost))}, which {step.name}() has already reduced away")
+            break
+        laid, behind = laid[:-1], rest + behind
+    return [*laid, selection, *behind]
+
+
+def _place_project(laid: list[Step], projection: Project, shape: Shape | None) -> list[Step]:
+    behind: list[Step] = []
+    while laid:
+        step, before = laid[-1], fold(shape, laid[:-1])[-1]
+        if isinstance(step, Project):
+            one = joined_projects(step, projection, before)
+            if one is None:
+                break
+            laid, projection = laid[:-1], one
             continue
-        if a.uniform is not None:
-            return [*steps[:i], b, a, *steps[i + 2 :]]
-        gone = {d for d, s in b.index.items() if drops(s)}
-        chunks = {d: v for d, v in a.chunks.items() if d not in gone}
-        return [*steps[:i], b, *([Rechunk("chunk", (chunks,), {}, chunks=chunks)] if chunks else []), *steps[i + 2 :]]
-    return None
-
-
-RULES: tuple[Rule, ...] = (merge_selects, merge_projects, merge_rechunks, skip_project_before_coordinate, push_selects, push_projects, push_selects_past_rechunks)
+        if before is None or before.array or any(n not in before.variables or n in before.coords for n in projection.names):
+            break
+        if not step.takes([frozenset(before.variables[n]) for n in projection.names], before):
+            break
+        laid, behind = laid[:-1], [step, *behind]
+    return [*laid, projection, *behind]
+
+
+def _lay(laid: list[Step], step: Step, shape: Shape | None) -> list[Step]:
+    if isinstance(step, Select):
+        return _place_select(laid, step, shape)
+    if isinstance(step, Project):
+        return _place_project(laid, step, shape)
+    if isinstance(step, Rechunk) and laid and isinstance(laid[-1], Rechunk):
+        one = joined_rechunks(laid[-1], step)
+        if one is not None:
+            return [*laid[:-1], one]
+    return [*laid, step]
 
 
 def rewrite(steps: list[Step], shape: Shape | None) -> list[Step]:
-    """Apply the rules until none fits. Each shortens the plan or moves a selection or projection left, so this ends."""
+    """The plan, laid anew until it stays as it is; no step is added, and none but selections and projections moves, forward only."""
     while True:
-        shapes = fold(shape, steps)
-        for rule in RULES:
-            changed = rule(steps, shapes)
-            if changed is not None:
-                steps = changed
-                break
-        else:
-            return steps
+        laid: list[Step] = []
+        for step in steps:
+            laid = _lay(laid, step, shape)
+        if len(laid) == len(steps) and all(a is b for a, b in zip(laid, steps)):
+            return laid
+        steps = laid

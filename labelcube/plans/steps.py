@@ -32,18 +32,58 @@ class Step:
     def with_(self, **changes: Any) -> Step:
         return replace(self, **changes)
 
+    def yields_to(self, index: frozenset, shape: Any) -> bool:
+        """Whether a selection along these dimensions gives the same before this step as after it. shape is the one before it, if known."""
+        return False
+
+    def takes(self, spans: list[frozenset], shape: Any) -> bool:
+        """Whether this step does the same to variables that span these dimensions when all others have been left out before it."""
+        return False
+
+    def ended(self, shape: Any) -> frozenset:
+        """Dimensions that no later step can name."""
+        return frozenset()
+
+
+def _all(spans: list[frozenset]) -> frozenset:
+    return frozenset().union(*spans)
+
+
+class _Along(Step):
+    """A step that works along its dims, cell by cell of all the others."""
+
+    def along(self, shape: Any) -> frozenset | None:
+        """The dimensions, None where they are all that a shape has that isn't known."""
+        if shape is None:
+            return None if self.dims.every else self.dims.names
+        return self.dims.among(shape.dims)
+
+    def yields_to(self, index: frozenset, shape: Any) -> bool:
+        own = self.along(shape)
+        return own is not None and own.isdisjoint(index)
+
+    def takes(self, spans: list[frozenset], shape: Any) -> bool:
+        own = self.along(shape)
+        return own is not None and own <= _all(spans)
+
 
 @dataclass(frozen=True, eq=False)
-class Reduce(Step):
+class Reduce(_Along):
     dims: Dims = EVERY
     keepdims: bool = False
 
+    def ended(self, shape: Any) -> frozenset:
+        return frozenset() if self.keepdims else self.along(shape) or frozenset()
+
 
 @dataclass(frozen=True, eq=False)
 class Select(Step):
     index: Mapping[str, Any] = field(default_factory=dict)
     options: Mapping[str, Any] = field(default_factory=dict)
 
+    def takes(self, spans: list[frozenset], shape: Any) -> bool:
+        return _all(spans).issuperset(self.index)
+
 
 @dataclass(frozen=True, eq=False)
 class Project(Step):
@@ -62,20 +102,30 @@ class Project(Step):
 class Drop(Step):
     names: tuple = ()
 
+    def yields_to(self, index: frozenset, shape: Any) -> bool:
+        return True
+
 
 @dataclass(frozen=True, eq=False)
 class Rename(Step):
     mapping: Mapping[Any, Any] = field(default_factory=dict)
 
+    def yields_to(self, index: frozenset, shape: Any) -> bool:
+        return index.isdisjoint(self.mapping.values())
+
 
 @dataclass(frozen=True, eq=False)
-class Scan(Step):
+class Scan(_Along):
     dims: Dims = EVERY
 
 
 @dataclass(frozen=True, eq=False)
 class Elementwise(Step):
-    pass
+    def yields_to(self, index: frozenset, shape: Any) -> bool:
+        return True
+
+    def takes(self, spans: list[frozenset], shape: Any) -> bool:
+        return True
 
 
 @dataclass(frozen=True, eq=False)
@@ -108,17 +158,39 @@ class GroupedReduce(Paired):
     new_dim: str = ""
     dims: Dims = Dims()
 
+    def reduced(self, shape: Any) -> frozenset:
+        return {self.group_dim} | self.dims.among(frozenset() if shape is None else shape.dims)
+
+    def yields_to(self, index: frozenset, shape: Any) -> bool:
+        return index.isdisjoint({self.new_dim} | self.reduced(shape))
+
+    def takes(self, spans: list[frozenset], shape: Any) -> bool:
+        return self.reduced(shape) <= _all(spans)
+
 
 @dataclass(frozen=True, eq=False)
 class WindowedReduce(Paired):
     window: Mapping[str, int] = field(default_factory=dict)
 
+    def yields_to(self, index: frozenset, shape: Any) -> bool:
+        return index.isdisjoint(self.window)
+
+    def takes(self, spans: list[frozenset], shape: Any) -> bool:
+        return _all(spans).issuperset(self.window)
+
 
 @dataclass(frozen=True, eq=False)
 class WeightedReduce(Paired):
     weight_dims: frozenset = frozenset()
     dims: Dims = EVERY
 
+    def takes(self, spans: list[frozenset], shape: Any) -> bool:
+        """Only if each variable has all dimensions: the weights would otherwise give it what it lacks by another variable's leave."""
+        if self.dims.every and shape is None:
+            return False
+        own = self.weight_dims | (shape.dims if self.dims.every else self.dims.names)
+        return all(own <= span for span in spans)
+
 
 REDUCTIONS = ("count", "all", "any", "max", "min", "mean", "prod", "sum", "std", "var", "median")
 SCANS = ("cumsum", "cumprod", "diff")
@@ -126,7 +198,7 @@ ELEMENTWISE = ("fillna", "astype", "round", "clip", "isnull", "notnull")
 OPENERS = ("groupby", "groupby_bins", "resample", "rolling", "coarsen", "weighted", "rolling_exp", "cumulative")
 SELECT_OPTIONS = ("drop", "missing_dims", "method", "tolerance")
 CHUNK_OPTIONS = ("name_prefix", "token", "lock", "inline_array", "chunked_array_type", "from_array_kwargs")
-WINDOW_OPTIONS = ("center", "min_periods", "boundary", "side", "coord_func")
+WINDOW_OPTIONS = ("center", "min_periods", "boundary", "side", "coord_func", "keep_attrs")
 
 
 def dims_of(value: Any) -> Dims:

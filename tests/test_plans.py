@@ -6,7 +6,7 @@ import pytest
 from labelcube import InvalidExpressionError, SmallArray
 from labelcube.plans.pairing import pair
 from labelcube.plans.render import format_plan
-from labelcube.plans.rules import effect, rewrite
+from labelcube.plans.rules import rewrite
 from labelcube.plans.shape import Shape, fold
 from labelcube.plans.specs import Label, Pointwise, Positions, Scalar, Slice, classify_chunk, classify_index, compose
 from labelcube.plans.steps import (
@@ -215,8 +215,10 @@ def test_weighted_lets_projections_pass_that_keep_its_dimensions():
     ],
 )
 def test_what_may_pass(step, blocks, needs):
-    does = effect(step, SHAPE)
-    assert (does.blocks, does.needs) == (None if blocks is None else frozenset(blocks), None if needs is None else frozenset(needs))
+    for dim in ("time", "lat", "lon", "b"):
+        assert step.yields_to(frozenset([dim]), SHAPE) == (blocks is not None and dim not in blocks)
+    for spans in (["time"], ["lat"], ["time", "lat"], []):
+        assert step.takes([frozenset([d]) for d in spans], SHAPE) == (needs is not None and needs <= set(spans))
 
 
 def test_shapes_through_a_plan():
