@@ -131,8 +131,8 @@ _add("rename", _chain(sales_month, lambda p: p.rename({"month": "shipped", "qty"
 GRID = f"WITH c AS ({HOUR}), g AS (SELECT * FROM (SELECT DISTINCT hour FROM c), (SELECT DISTINCT event_type FROM c)), d AS (SELECT hour, event_type, total, n FROM g LEFT JOIN c USING (hour, event_type))"
 _add("ew_fillna", _chain(activity, lambda p: p[["total"]].fillna(-1.0), "total"), f"{GRID} SELECT hour, event_type, round(coalesce(total, -1), 4) AS total FROM d")
 _add("ew_astype", _chain(activity, lambda p: p[["total"]].astype("int64")), f"WITH c AS ({HOUR}) SELECT hour, event_type, CAST(trunc(total) AS BIGINT) AS total FROM c")
-_add("ew_round", lambda spark, sf_dir: embeddings(spark, sf_dir).plan.isel(vec=slice(0, 50)).drop_vars("label").round(2).to_frame(),
-     "SELECT vec_id AS vec, CAST(k AS BIGINT) AS k, round_even(CAST(embedding[k + 1] AS DOUBLE), 2) AS x FROM embeddings, range(64) AS w(k) WHERE vec_id < 50")
+_add("ew_round", lambda spark, sf_dir: embeddings(spark, sf_dir).plan.drop_vars("label").round(2).to_frame(),
+     "SELECT vec_id AS vec, CAST(k AS BIGINT) AS k, round_even(CAST(embedding[k + 1] AS DOUBLE), 2) + 0.0 AS x FROM embeddings, range(64) AS w(k)")
 _add("ew_clip", _chain(activity, lambda p: p[["total"]].clip(20.0, 100.0), "total"), f"WITH c AS ({HOUR}) SELECT hour, event_type, round(greatest(20, least(100, total)), 4) AS total FROM c")
 _add("ew_isnull", _chain(activity, lambda p: p[["total"]].isnull()), f"{GRID} SELECT hour, event_type, total IS NULL AS total FROM d")
 _add("ew_notnull", _chain(activity, lambda p: p[["total"]].notnull()), f"{GRID} SELECT hour, event_type, total IS NOT NULL AS total FROM d")
@@ -143,8 +143,8 @@ _add("scan_cumsum", _chain(activity, lambda p: p[["total"]].cumsum("hour"), "tot
      f"{GRID} SELECT hour, event_type, round(coalesce(sum(total) OVER (PARTITION BY event_type ORDER BY hour ROWS UNBOUNDED PRECEDING), 0), 3) AS total FROM d")
 _add("scan_cumsum_bare", _chain(activity, lambda p: p[["n"]].cumsum(), "n"),
      f"{GRID}, a AS (SELECT hour, event_type, coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY hour ROWS UNBOUNDED PRECEDING), 0) AS n FROM d) SELECT hour, event_type, round(CAST(sum(n) OVER (PARTITION BY hour ORDER BY event_type ROWS UNBOUNDED PRECEDING) AS DOUBLE), 4) AS n FROM a")
-_add("scan_cumprod", lambda spark, sf_dir: _rounded(activity(spark, sf_dir).plan[["n"]].isel(hour=slice(0, 6)).cumprod("hour").to_frame(), "n"),
-     f"{GRID} SELECT hour, event_type, round(coalesce(CAST(product(n) OVER (PARTITION BY event_type ORDER BY hour ROWS UNBOUNDED PRECEDING) AS DOUBLE), 1.0), 4) AS n FROM d WHERE hour IN (SELECT hour FROM (SELECT DISTINCT hour FROM c) ORDER BY hour LIMIT 6)")
+_add("scan_cumprod", lambda spark, sf_dir: _rounded(activity(spark, sf_dir).plan.assign(rate="1 + (n - 5) / 10000.0")[["rate"]].cumprod("hour").to_frame(), "rate"),
+     f"{GRID} SELECT hour, event_type, round(coalesce(product(1 + (n - 5) / CAST(10000.0 AS DOUBLE)) OVER (PARTITION BY event_type ORDER BY hour ROWS UNBOUNDED PRECEDING), 1.0), 4) AS rate FROM d")
 for _label, _edge in (("upper", "p >= 1"), ("lower", "p < (SELECT max(p) FROM r)")):
     _fn = "qty - lag(qty)" if _label == "upper" else "lead(qty) {w} - qty"
     _w = "OVER (PARTITION BY flag, status ORDER BY month)"
@@ -161,8 +161,8 @@ _add("group_year_all", _chain(sales_day, lambda p: p.groupby("day.year").median(
      f"WITH c AS ({DAY}) SELECT CAST(year(day) AS BIGINT) AS year, round(median(qty), 4) AS qty, round(median(price), 4) AS price FROM c GROUP BY ALL")
 _add("group_dim", _chain(sales_month, lambda p: p.groupby("flag").mean(), "qty", "price"), f"WITH c AS ({MONTH}) SELECT flag, month, status, round(avg(qty), 4) AS qty, round(avg(price), 4) AS price FROM c GROUP BY ALL")
 _add("group_aux", _chain(by_nation, lambda p: p.groupby("region").mean(), "acctbal"), f"WITH c AS ({NATION}) SELECT region, segment, round(avg(acctbal), 4) AS acctbal FROM c GROUP BY ALL")
-_add("group_bins", lambda spark, sf_dir: _rounded(embeddings(spark, sf_dir).plan.groupby_bins("vec", [-1, 99, 249, 499]).mean(["vec", "k"]).to_frame(), "x"),
-     "WITH c AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT CASE WHEN vec_id <= 99 THEN '(-1, 99]' WHEN vec_id <= 249 THEN '(99, 249]' ELSE '(249, 499]' END AS vec_bins, round(avg(x), 4) AS x FROM c WHERE vec_id <= 499 GROUP BY ALL")
+_add("group_bins", lambda spark, sf_dir: _rounded(embeddings(spark, sf_dir).plan.groupby_bins("vec", [-1, 99, 249, 10**9]).mean(["vec", "k"]).to_frame(), "x"),
+     "WITH c AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT CASE WHEN vec_id <= 99 THEN '(-1, 99]' WHEN vec_id <= 249 THEN '(99, 249]' ELSE '(249, 1e+09]' END AS vec_bins, round(avg(x), 4) AS x FROM c GROUP BY ALL")
 _add("group_map", _chain(sales_day, lambda p: p[["qty"]].groupby("day.month").mean("flag"), "qty"), f"WITH c AS ({DAY}) SELECT day, status, round(avg(qty), 4) AS qty FROM c GROUP BY ALL")
 _add("group_first", _chain(sales_day, lambda p: p[["qty"]].groupby("day.year").first(), "qty"),
      f"WITH c AS ({DAY}) SELECT CAST(year(day) AS BIGINT) AS year, flag, status, round(arg_min(qty, day), 4) AS qty FROM c GROUP BY ALL")
@@ -177,6 +177,30 @@ _add("resample_month", _chain(sales_day, lambda p: p[["qty"]].resample(day="MS")
      f"WITH c AS ({DAY}) SELECT CAST(date_trunc('month', day) AS TIMESTAMP) AS day, flag, status, round(max(qty), 4) AS qty FROM c GROUP BY ALL")
 _add("resample_year_end", _chain(sales_day, lambda p: p[["qty"]].resample(day="YE").mean(["day", "flag", "status"]), "qty"),
      f"WITH c AS ({DAY}) SELECT CAST(make_date(CAST(year(day) AS INTEGER), 12, 31) AS TIMESTAMP) AS day, round(avg(qty), 4) AS qty FROM c GROUP BY ALL")
+_add("resample_closed_right", _chain(activity, lambda p: p[["total"]].resample(hour="6h", closed="right", label="right").mean(), "total"),
+     f"WITH c AS ({HOUR}), o AS (SELECT date_trunc('day', min(hour)) AS s FROM c) SELECT CAST(s + INTERVAL 6 HOUR * CAST(ceil(date_diff('hour', s, hour) / 6.0) AS INTEGER) AS TIMESTAMP) AS hour, event_type, round(avg(total), 4) AS total FROM c, o GROUP BY ALL")
+_add("resample_offset", _chain(activity, lambda p: p[["total"]].resample(hour="1D", offset="6h").max(), "total"),
+     f"WITH c AS ({HOUR}) SELECT CAST(date_trunc('day', hour - INTERVAL 6 HOUR) + INTERVAL 6 HOUR AS TIMESTAMP) AS hour, event_type, round(max(total), 4) AS total FROM c GROUP BY ALL")
+_add("resample_week", _chain(activity, lambda p: p[["total"]].resample(hour="W").max(), "total"),
+     f"WITH c AS ({HOUR}) SELECT CAST(date_trunc('week', hour) + INTERVAL 6 DAY AS TIMESTAMP) AS hour, event_type, round(max(total), 4) AS total FROM c GROUP BY ALL")
+_add("group_reduce", _chain(sales_day, lambda p: p[["qty"]].groupby("day.year").reduce(np.nanmax), "qty"),
+     f"WITH c AS ({DAY}) SELECT CAST(year(day) AS BIGINT) AS year, flag, status, round(max(qty), 4) AS qty FROM c GROUP BY ALL")
+_add("group_function", _chain(sales_day, lambda p: p[["qty"]].groupby("day.year").map(lambda cube: cube.plan.max("day")), "qty"),
+     f"WITH c AS ({DAY}) SELECT CAST(year(day) AS BIGINT) AS year, flag, status, round(max(qty), 4) AS qty FROM c GROUP BY ALL")
+_add("group_array", _chain(sales_month, lambda p: p[["qty"]].groupby(SmallArray(["old", "new", "old"], "flag")).mean(), "qty"),
+     f"WITH c AS ({MONTH}) SELECT month, CASE WHEN flag = 'N' THEN 'new' ELSE 'old' END AS \"group\", status, round(avg(qty), 4) AS qty FROM c GROUP BY ALL")
+_add("quantiles", _chain(sales_month, lambda p: p[["qty"]].quantile([0.1, 0.9], "month"), "qty"),
+     f"WITH c AS ({MONTH}), q AS (SELECT flag, status, quantile_cont(qty, 0.1) AS a, quantile_cont(qty, 0.9) AS b FROM c GROUP BY ALL) SELECT CAST(0.1 AS DOUBLE) AS quantile, flag, status, round(a, 4) AS qty FROM q UNION ALL SELECT CAST(0.9 AS DOUBLE), flag, status, round(b, 4) FROM q")
+_add("interp", _chain(embeddings, lambda p: p.drop_vars("label").interp(k=[0.5, 10.25]), "x"),
+     "SELECT vec_id AS vec, CAST(k AS DOUBLE) AS k, round(CASE WHEN k < 1 THEN (CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE)) / 2 ELSE CAST(embedding[11] AS DOUBLE) * 0.75 + CAST(embedding[12] AS DOUBLE) * 0.25 END, 4) AS x FROM embeddings, (VALUES (0.5), (10.25)) AS w(k)")
+_add("stack", lambda spark, sf_dir: _rounded(sales_month(spark, sf_dir).plan[["qty"]].stack(both=("flag", "status")).to_frame().drop("both"), "qty"),
+     f"WITH c AS ({MONTH}) SELECT month, flag, status, round(qty, 4) AS qty FROM c")
+_add("weighted_quantile", _chain(sales_month, lambda p: p[["qty"]].sum("status").weighted(SmallArray([1.0, 1.0, 1.0], "flag", {"flag": ["A", "N", "R"]})).quantile(0.5, "flag"), "qty"),
+     f"WITH c AS ({MONTH}), s AS (SELECT month, flag, sum(qty) AS qty FROM c GROUP BY ALL), g AS (SELECT month, flag, coalesce(qty, 0) AS qty FROM (SELECT * FROM (SELECT DISTINCT month FROM c), (SELECT DISTINCT flag FROM c)) LEFT JOIN s USING (month, flag)) SELECT month, round(median(qty), 4) AS qty FROM g GROUP BY month")
+_add("isel_orthogonal", _chain(sales_month, lambda p: p.isel(month=[0, 4, 7], flag=[0, 2]), "qty", "price"),
+     f"WITH c AS ({MONTH}), f AS (SELECT DISTINCT flag, dense_rank() OVER (ORDER BY flag) - 1 AS i FROM c) SELECT month, flag, status, round(qty, 4) AS qty, round(price, 4) AS price FROM {_ranked('SELECT * FROM c', 'month')} JOIN f USING (flag) WHERE p IN (0, 4, 7) AND i IN (0, 2)")
+_add("chunk_uniform", _chain(sales_month, lambda p: p.chunk(12).isel(month=0), "qty", "price"), f"WITH c AS ({MONTH}) SELECT month, flag, status, round(qty, 4) AS qty, round(price, 4) AS price FROM c WHERE month = (SELECT min(month) FROM c)")
+_add("mean_keepdims", _chain(sales_month, lambda p: p[["qty"]].mean(["flag", "status"], keepdims=True).isel(flag=0, status=0, drop=True), "qty"), f"WITH c AS ({MONTH}) SELECT month, round(avg(qty), 4) AS qty FROM c GROUP BY month")
 
 # Windows; frames are of positions, and a dense grid makes them frames of rows
 FULL = f"WITH c AS ({MONTH}), g AS (SELECT month, flag, status, qty FROM (SELECT * FROM (SELECT DISTINCT month FROM c), (SELECT DISTINCT flag FROM c), (SELECT DISTINCT status FROM c)) LEFT JOIN c USING (month, flag, status))"
@@ -193,8 +217,12 @@ _add("rolling_two_dims", lambda spark, sf_dir: _rounded(sales_month(spark, sf_di
 for _name, _boundary, _keep in (("coarsen_trim", "trim", "WHERE p < 80"), ("coarsen_pad", "pad", "")):
     _add(_name, (lambda boundary: lambda spark, sf_dir: _rounded(sales_month(spark, sf_dir).plan[["qty"]].coarsen(month=4, boundary=boundary, coord_func="min").mean().to_frame(), "qty"))(_boundary),
          f"WITH c AS ({MONTH}), r AS {_ranked('SELECT * FROM c', 'month')}, m AS (SELECT p // 4 AS q, min(month) AS month FROM r GROUP BY 1) SELECT m.month, flag, status, round(avg(qty), 4) AS qty FROM r JOIN m ON p // 4 = q {_keep} GROUP BY ALL")
-_add("cumulative_sum", lambda spark, sf_dir: _rounded(sales_month(spark, sf_dir).plan[["qty"]].cumulative("month").max().to_frame(), "qty").where("qty is not null"),
+_add("cumulative_max", lambda spark, sf_dir: _rounded(sales_month(spark, sf_dir).plan[["qty"]].cumulative("month").max().to_frame(), "qty").where("qty is not null"),
      f"{FULL}, r AS (SELECT month, flag, status, round(max(qty) OVER (PARTITION BY flag, status ORDER BY month ROWS UNBOUNDED PRECEDING), 4) AS qty FROM g) SELECT * FROM r WHERE qty IS NOT NULL")
+_add("cumulative_long", lambda spark, sf_dir: _rounded(sales_day(spark, sf_dir).plan[["qty"]].sum(["flag", "status"]).cumulative("day").sum().to_frame(), "qty", digits=2),
+     f"WITH c AS ({DAY}), t AS (SELECT day, sum(qty) AS qty FROM c GROUP BY day) SELECT day, round(sum(qty) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 2) AS qty FROM t")
+_add("rolling_long", lambda spark, sf_dir: _rounded(sales_day(spark, sf_dir).plan[["qty"]].sum(["flag", "status"]).rolling(day=1000, min_periods=1).mean().to_frame(), "qty"),
+     f"WITH c AS ({DAY}), t AS (SELECT day, sum(qty) AS qty FROM c GROUP BY day) SELECT day, round(avg(qty) OVER (ORDER BY day ROWS 999 PRECEDING), 4) AS qty FROM t")
 _add("rolling_exp", lambda spark, sf_dir: _rounded(sales_month(spark, sf_dir).plan[["qty"]].sum(["flag", "status"]).rolling_exp(month=3).mean().to_frame(), "qty", digits=2),
      f"WITH c AS ({MONTH}), t AS (SELECT month, sum(qty) AS qty FROM c GROUP BY month), r AS (SELECT *, row_number() OVER (ORDER BY month) AS i FROM t) SELECT a.month, round(sum(pow(0.5, a.i - b.i) * b.qty) / sum(pow(0.5, a.i - b.i)), 2) AS qty FROM r a JOIN r b ON b.i <= a.i GROUP BY a.month")
 _add("rolling_construct", lambda spark, sf_dir: _rounded(sales_month(spark, sf_dir).plan[["qty"]].rolling(month=2).construct("lag").mean("lag").to_frame(), "qty"),

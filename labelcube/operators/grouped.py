@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import UnsupportedError
 from ..functions import dates
 from ..functions.aggregates import aggregate, alone
-from ..model import Axis, Cube, Group, key
+from ..model import Axis, Cube, Group, SmallArray, key, spark_type
 from ..plans.steps import GroupedReduce, Step, dims_of
-from .reductions import options, reduced
+from .reductions import by_cells, options, reduced
 
 
 class Grouping:
@@ -29,12 +30,16 @@ def grouping(cube: Cube, opener: Step) -> Grouping:
     """Worked out on the tables of axes (or of the coordinate that groups), never on the cells."""
     args, kwargs = opener.args, opener.kwargs
     if opener.name == "resample":
-        given = {**dict(args[0] if args else {}), **kwargs}
-        dim, code = next((k, v) for k, v in given.items() if isinstance(v, str) and k in cube.axes)
-        return _resampled(cube, dim, code)
+        how = {k: kwargs[k] for k in ("closed", "label", "offset", "origin") if kwargs.get(k) is not None}
+        given = {**dict(args[0] if args else {}), **{k: v for k, v in kwargs.items() if k not in RESAMPLE_OPTIONS}}
+        if len(given) != 1 or not all(isinstance(v, str) and k in cube.axes for k, v in given.items()):
+            raise UnsupportedError(f"resample one dimension by a code such as '1D'; there are {list(cube.axes)}")
+        return _resampled(cube, *next(iter(given.items())), **how)
     by = args[0] if args else kwargs.get("group")
+    if isinstance(by, SmallArray):
+        return _by_array(cube, by, opener)
     if not isinstance(by, str):
-        raise UnsupportedError("group by the name of a coordinate, or by coordinate.part")
+        raise UnsupportedError("group by the name of a coordinate, by coordinate.part, or by an array along a dimension")
     name, _, part = by.partition(".")
     if opener.name == "groupby_bins":
         return _binned(cube, name, args[1] if len(args) > 1 else kwargs["bins"], kwargs)
@@ -44,6 +49,25 @@ def grouping(cube: Cube, opener: Step) -> Grouping:
     return _numbered(dims, new, table.select(*(f"`{key(d)}`" for d in dims), (dates.part(label, part) if part else label).alias(new)))
 
 
+#: What resample() takes besides the dimension; the last three change no value here.
+RESAMPLE_OPTIONS = ("closed", "label", "offset", "origin", "skipna", "keep_attrs", "restore_coord_dims")
+
+
+def _by_array(cube: Cube, by: SmallArray, opener: Step) -> Grouping:
+    """Groups by the values of an array along one dimension, in its order of positions; the new dimension is called group (or group_bins)."""
+    if len(by.dims) != 1 or by.dims[0] not in cube.axes:
+        raise UnsupportedError("an array that groups is along one dimension of the cube")
+    axis = cube.axes[by.dims[0]]
+    order = list(axis.order())
+    if len(order) != len(by.values):
+        raise ValueError(f"{axis.dim!r} has {len(order)} positions, and the array {len(by.values)}")
+    rows = [(int(k), None if isinstance(x, float) and x != x else x) for k, x in zip(order, by.values.tolist())]
+    table = cube.spark.createDataFrame(rows, T.StructType([T.StructField(key(axis.dim), T.LongType()), T.StructField("group", spark_type(by.values))]))
+    if opener.name == "groupby_bins":
+        return _binned(cube, "group", opener.args[1] if len(opener.args) > 1 else opener.kwargs["bins"], opener.kwargs, ((axis.dim,), table))
+    return _numbered((axis.dim,), "group", table)
+
+
 def _coordinate(cube: Cube, name: str) -> tuple[tuple[str, ...], DataFrame]:
     axis = cube.axis_of(name)
     if axis is not None:
@@ -66,9 +90,16 @@ def _numbered(dims: tuple[str, ...], new: str, labelled: DataFrame) -> Grouping:
     return Grouping(dims, new, places, Axis(new, table.withColumnRenamed(f"{key(new)}+", key(new)), (new,)))
 
 
-def _binned(cube: Cube, name: str, bins: Any, kwargs: Any) -> Grouping:
+def edge_names(edges: Sequence[Any], right: bool) -> list[str]:
+    """The bins' names, with as many digits as tell their edges apart."""
+    digits = next((n for n in range(4, 17) if len({f"{e:.{n}g}" for e in edges}) == len(set(edges))), 17)
+    text = [f"{e:.{digits}g}" for e in edges]
+    return [f"({a}, {b}]" if right else f"[{a}, {b})" for a, b in zip(text, text[1:])]
+
+
+def _binned(cube: Cube, name: str, bins: Any, kwargs: Any, source: tuple[tuple[str, ...], DataFrame] | None = None) -> Grouping:
     """Bins (a, b]; a number means as many of equal width, the first a thousandth wider to hold the least label."""
-    dims, table = _coordinate(cube, name)
+    dims, table = source or _coordinate(cube, name)
     right, lowest = kwargs.get("right", True), kwargs.get("include_lowest", False)
     if isinstance(bins, int):
         low, high = table.agg(F.min(f"`{name}`"), F.max(f"`{name}`")).first()
@@ -87,34 +118,77 @@ def _binned(cube: Cube, name: str, bins: Any, kwargs: Any) -> Grouping:
         if lowest and i == 0 and right:
             inside = inside | (c == a)
         where = F.when(inside, F.lit(i).cast("long")).otherwise(where)
-    names = kwargs.get("labels") or [f"({a:.4g}, {b:.4g}]" if right else f"[{a:.4g}, {b:.4g})" for a, b in zip(edges, edges[1:])]
+    names = kwargs.get("labels") or edge_names(edges, right)
     axis = Axis(new, cube.spark.createDataFrame([(i, str(n)) for i, n in enumerate(names)], f"`{key(new)}` long, `{new}` string"), (new,), len(names))
     places = table.select(*(f"`{key(d)}`" for d in dims), where.alias(f"{key(new)}+")).where(f"`{key(new)}+` is not null")
     return Grouping(dims, new, places, axis)
 
 
-def _resampled(cube: Cube, dim: str, code: str) -> Grouping:
-    """Bins from the first label's midnight (or month) to the last label's, the empty ones between included."""
-    axis = cube.axes[dim]
-    n, unit, ends = dates.step(code)
-    frame, label = axis.frame(), F.col(f"`{dim}`")
-    first, last = frame.agg(F.min(label), F.max(label)).first()
+def _resampled(cube: Cube, dim: str, code: str, closed: str | None = None, label: str | None = None, offset: Any = None, origin: Any = "start_day") -> Grouping:
+    """Bins that cover all labels, the empty ones between included, as pandas cuts and names them.
+
+    closed says which end of a bin belongs to it and label which end it is called by: the left one, but for bins that end on a month's, quarter's or
+    year's last day or on a weekday. Bins of a fixed length begin at the origin (the first label's midnight, 'start', 'epoch' or a time) plus offset.
+    """
+    axis, rule = cube.axes[dim], dates.step(code)
+    closed, label = closed or rule.side, label or rule.side
+    if {closed, label} - {"left", "right"}:
+        raise ValueError("closed and label are 'left' or 'right'")
+    if not rule.fixed and (offset is not None or origin != "start_day"):
+        raise UnsupportedError(f"offset and origin with {code!r}, whose bins begin where the calendar has it")
+    frame, at = axis.frame(), F.col(f"`{dim}`").cast("timestamp_ntz")
+    first, last = frame.agg(F.min(at), F.max(at)).first()
     if first is None:
         raise ValueError(f"{dim!r} has no labels to resample")
-    if unit == "SECOND":
-        start = datetime(first.year, first.month, first.day)
-        bin_ = F.floor(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{start:%Y-%m-%d %H:%M:%S}', cast(`{dim}` as timestamp_ntz))") / (n * 1_000_000))
-        size = int((last - start).total_seconds() // n) + 1
-        made = F.expr(f"timestampadd(SECOND, cast(`{key(dim)}` * {n} as int), timestamp_ntz'{start:%Y-%m-%d %H:%M:%S}')") if size * n < 2**31 else F.expr(f"timestamp_ntz'{start:%Y-%m-%d %H:%M:%S}' + make_dt_interval(0, 0, 0, `{key(dim)}` * {n})")
+    number = F.col(f"`{key(dim)}`")
+    if rule.unit == "MONTH":
+        moved = at + F.expr("interval 1 day") if rule.ends and closed == "left" else at - F.expr("interval 1 microsecond") if not rule.ends and closed == "right" else at
+        months = F.year(moved) * 12 + F.month(moved) - 1
+        bin_ = F.floor(months / rule.n) if rule.n in (3, 12) else F.floor((months - frame.agg(F.min(months)).first()[0]) / rule.n)
+        base = 0 if rule.n in (3, 12) else frame.agg(F.min(months)).first()[0]
+
+        def name(k: Column) -> Column:
+            step = (k + F.lit(int(label == "right"))) * rule.n + base
+            day = F.make_date(F.floor(step / 12).cast("int"), (step % 12 + 1).cast("int"), F.lit(1))
+            return (F.date_sub(day, 1) if rule.ends else day).cast("timestamp_ntz")
     else:
-        month = first.month - 1 - (first.month - 1) % n if n in (3, 12) else first.month - 1
-        months = lambda t: (t.year - first.year) * 12 + t.month - 1 - month
-        bin_ = F.floor(((F.year(label) - first.year) * 12 + F.month(label) - 1 - month) / n)
-        size = months(last) // n + 1
-        begin = f"add_months(date'{first.year:04d}-{month + 1:02d}-01', cast(`{key(dim)}` * {n} as int))"
-        made = F.expr(f"cast(date_sub(add_months({begin}, {n}), 1) as timestamp_ntz)" if ends else f"cast({begin} as timestamp_ntz)")
-    table = cube.spark.range(size).select(F.col("id").alias(key(dim))).withColumn(dim, made)
-    return Grouping((dim,), dim, frame.select(f"`{key(dim)}`", bin_.cast("long").alias(f"{key(dim)}+")), Axis(dim, table, (dim,), size))
+        if rule.unit == "WEEK":  # whole days: a bin ends with its weekday
+            start = datetime(1970, 1, 1) + timedelta(days=(rule.weekday - 3) % 7)  # 1970 began on a Thursday
+            at = F.date_trunc("day", at).cast("timestamp_ntz")
+        else:
+            start = _origin(origin, first) + _delta(offset)
+        length = rule.n * 1_000_000
+        since = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{start:%Y-%m-%d %H:%M:%S.%f}', {{}})".format(f"date_trunc('day', cast(`{dim}` as timestamp_ntz))" if rule.unit == "WEEK" else f"cast(`{dim}` as timestamp_ntz)"))
+        bin_ = F.floor(since / length) if closed == "left" else F.ceil(since / length) - 1
+
+        def name(k: Column) -> Column:
+            seconds = (k + F.lit(int(label == "right"))) * rule.n
+            return F.lit(f"{start:%Y-%m-%d %H:%M:%S.%f}").cast("timestamp_ntz") + F.make_dt_interval(F.floor(seconds / 86400).cast("int"), F.lit(0), F.lit(0), (seconds % 86400).cast("decimal(18,6)"))
+    placed = frame.select(f"`{key(dim)}`", bin_.cast("long").alias(f"{key(dim)}+"))
+    low, high = placed.agg(F.min(f"`{key(dim)}+`"), F.max(f"`{key(dim)}+`")).first()
+    table = cube.spark.range(high - low + 1).select(F.col("id").alias(key(dim))).withColumn(dim, name(number + low))
+    return Grouping((dim,), dim, placed.withColumn(f"{key(dim)}+", F.col(f"`{key(dim)}+`") - low), Axis(dim, table, (dim,), high - low + 1))
+
+
+def _origin(origin: Any, first: datetime) -> datetime:
+    if isinstance(origin, datetime):
+        return origin
+    known = {"start_day": datetime(first.year, first.month, first.day), "start": first, "epoch": datetime(1970, 1, 1)}
+    if origin in known:
+        return known[origin]
+    try:
+        return datetime.fromisoformat(origin)
+    except (TypeError, ValueError):
+        raise UnsupportedError(f"origin {origin!r}; there are {sorted(known)} and times") from None
+
+
+def _delta(offset: Any) -> timedelta:
+    if offset is None or isinstance(offset, timedelta):
+        return offset or timedelta()
+    rule = dates.step(str(offset).lstrip("+-"))
+    if not rule.fixed or rule.unit == "WEEK":
+        raise UnsupportedError(f"offset {offset!r}")
+    return timedelta(seconds=rule.n) * (-1 if str(offset).startswith("-") else 1)
 
 
 def run(cube: Cube, step: GroupedReduce) -> Cube:
@@ -133,8 +207,17 @@ def closed(cube: Cube, opener: Step, closer: Step) -> Cube:
     if not dims.every and not set(how.dims) & dims.names and closer.name not in ("first", "last"):
         return mapped(reduced(cube, closer.name, dims.names, **options(closer)), how)
     gone = set(how.dims) | (set() if dims.every else set(dims.names))
+    if closer.name == "map":
+        return map_groups(cube, how, closer.args[0] if closer.args else closer.kwargs["func"], closer)
+    if closer.name == "reduce":
+        over = dims_of(closer.args[1] if len(closer.args) > 1 else closer.kwargs.get("dim"))
+        return reduce_by_function(cube, how, closer.args[0] if closer.args else closer.kwargs["func"], set(how.dims) | (set() if over.every else set(over.names)))
     if closer.name == "quantile":
         q = closer.args[0] if closer.args else closer.kwargs["q"]
+        if hasattr(q, "__iter__"):
+            from .opaque import along_quantiles
+
+            return along_quantiles(cube, [float(x) for x in q], lambda one: closed(cube, opener, Step("quantile", (one,), {k: v for k, v in closer.kwargs.items() if k != "q"})))
         return reduce_groups(cube, how, lambda v, kind: F.percentile(v, F.lit(float(q))), gone, {})
     if closer.name in ("first", "last"):
         order = F.struct(*(f"`{key(d)}`" for d in how.dims))
@@ -172,6 +255,53 @@ def reduce_groups(cube: Cube, how: Grouping, op: str | Callable[[Column, Any], C
     return replace(cube, axes={new: how.axis, **axes}, groups=tuple(groups))
 
 
+def reduce_by_function(cube: Cube, how: Grouping, func: Callable, gone: set[str]) -> Cube:
+    """A function of a numpy array and an axis over the cells of each group; variables without the grouped dimension get the new one."""
+    groups, new = [], how.new
+    for g in cube.groups:
+        own = tuple(v for v in g.vars if v not in cube.coords)
+        shared = [d for d in how.dims if d in g.dims]
+        if not own:
+            if not gone & set(g.dims):
+                groups.append(g)
+            continue
+        full = replace(cube.densify(g), vars=own)
+        cells = full.df.join(how.places, [key(d) for d in shared]) if shared else how.axis.frame().select(F.col(f"`{key(new)}`").alias(f"{key(new)}+")).crossJoin(full.df)  # repeated along the groups
+        left = tuple(d for d in g.dims if d not in gone)
+        wide = cells.select(F.col(f"`{key(new)}+`").alias(key(f"{new}+")), *(f"`{k}`" for k in g.keys()), *(f"`{v}`" for v in own))
+        one = by_cells(Group(wide, (f"{new}+", *g.dims), own, True), func, gone & set(g.dims), (f"{new}+", *left))
+        groups.append(Group(one.df.withColumnRenamed(key(f"{new}+"), key(new)), (new, *left), own))
+    return replace(cube, axes={new: how.axis, **{d: a for d, a in cube.axes.items() if d not in gone}}, groups=tuple(groups))
+
+
+def map_groups(cube: Cube, how: Grouping, func: Callable, closer: Step) -> Cube:
+    """A function of each group's cube, as a cube of the same dimension: where it keeps the positions the parts are put back, where it reduces them they lie along the groups.
+
+    Each group is a part of the plan, so this is for a number of groups that a driver can list.
+    """
+    args = closer.args[1:] or closer.kwargs.get("args", ())
+    extra = {k: v for k, v in closer.kwargs.items() if k not in ("func", "args", "shortcut")}
+    names = [r[0] for r in how.axis.frame().orderBy(f"`{key(how.new)}`").select(f"`{how.new}`").collect()]
+    parts = []
+    for name in names:
+        out = func(pick(cube, how, name), *args, **extra)
+        parts.append(out if isinstance(out, Cube) else out.collect())
+    kept = set(how.dims) <= set(parts[0].axes)
+    groups = []
+    for same in zip(*(p.groups for p in parts)):
+        df = None
+        for i, g in enumerate(same):
+            own = g.df if kept else g.df.withColumn(key(how.new), F.lit(i).cast("long"))
+            df = own if df is None else df.unionByName(own)
+        dims = same[0].dims if kept else (how.new, *same[0].dims)
+        groups.append(Group(df if not kept or set(how.dims) & set(dims) else same[0].df, dims, same[0].vars))
+    if kept:
+        return replace(cube, groups=tuple(groups))
+    table = how.axis.frame().orderBy(f"`{key(how.new)}`").collect()
+    axis = Axis(how.new, cube.spark.createDataFrame([(i, r[how.new]) for i, r in enumerate(table)], T.StructType([T.StructField(key(how.new), T.LongType()), how.axis.frame().schema[how.new]])), (how.new,), len(table))
+    return replace(parts[0], axes={how.new: axis, **parts[0].axes}, groups=tuple(groups))
+
+
 def mapped(cube: Cube, how: Grouping) -> Cube:
     """What is left of a map over groups that reduced other dimensions only: the grouped one stays, on every variable."""
     groups = []

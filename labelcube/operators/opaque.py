@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError
 from ..model import Cube, Group, SmallArray, key
 from ..plans.steps import OPENERS, Elementwise, Opaque, Step, step_of
-from . import grouped, selection, weighted, windowed
+from . import grouped, scans, selection, weighted, windowed
 from .elementwise import run as elementwise
 
 
@@ -29,8 +31,6 @@ def run(cube: Cube, step: Opaque, following: Step | None) -> tuple[Cube, int]:
 
 def _closed(cube: Cube, opener: Step, closer: Step) -> Cube:
     if opener.name in ("groupby", "groupby_bins", "resample"):
-        if closer.name == "map":
-            raise UnsupportedError("map over groups; use reduce(function, dimension) or pipe")
         return grouped.closed(cube, opener, closer)
     if opener.name == "weighted":
         return weighted.closed(cube, opener, closer)
@@ -39,7 +39,7 @@ def _closed(cube: Cube, opener: Step, closer: Step) -> Cube:
         dims = [dims] if isinstance(dims, str) else list(dims)
         least = opener.kwargs.get("min_periods") or 1
         for d in dims:
-            cube = windowed.rolling(cube, closer.name, {d: cube.axes[d].n()}, False, least)
+            cube = windowed.cumulative(cube, closer.name, d, least, closer.kwargs.get("ddof", 0))
         return cube
     if opener.name == "rolling":
         from ..plans.pairing import window_of
@@ -47,6 +47,8 @@ def _closed(cube: Cube, opener: Step, closer: Step) -> Cube:
         window = window_of(opener) or {}
         if closer.name == "construct" and len(window) == 1:
             return construct(cube, *next(iter(window.items())), opener.kwargs, closer)
+        if closer.name == "reduce":
+            return windowed_function(cube, window, opener.kwargs, closer)
         if closer.name in ("all", "any"):
             (d, _), = window.items()
             flags = replace(cube, groups=tuple(g.select({v: F.col(f"`{v}`") if v in cube.coords else F.coalesce(F.col(f"`{v}`").cast("boolean"), F.lit(True)).cast("long") for v in g.vars}) if d in g.dims else g for g in map(cube.densify, cube.groups)))
@@ -55,9 +57,38 @@ def _closed(cube: Cube, opener: Step, closer: Step) -> Cube:
     if opener.name == "rolling_exp" and closer.name in ("mean", "sum"):
         (d, size), = {k: v for k, v in {**dict(opener.args[0] if opener.args else {}), **opener.kwargs}.items() if k in cube.axes}.items()
         return exponential(cube, d, float(size), opener.kwargs.get("window_type", "span"), closer.name)
+    if opener.name == "coarsen" and closer.name == "reduce":
+        from ..plans.pairing import window_of
+
+        return windowed.coarsen(cube, closer.args[0] if closer.args else closer.kwargs["func"], window_of(opener) or {}, opener.kwargs, {})
     raise UnsupportedError(f"{opener.name}(...).{closer.name}()")
 
 
+def windowed_function(cube: Cube, window: dict[str, int], said: Any, closer: Step) -> Cube:
+    """A function of a numpy array over each window, missing cells as NaN; null where fewer than min_periods are present."""
+    from . import reductions
+
+    least = said.get("min_periods")
+    if least is None:
+        least = 1
+        for w in window.values():
+            least *= w
+    func = closer.args[0] if closer.args else closer.kwargs["func"]
+    center = said.get("center", False)
+    wide = cube
+    for d, size in window.items():
+        wide = construct(wide, d, size, {"center": center.get(d, False) if isinstance(center, dict) else center}, Step("construct", ({d: f"{d}+window"},)))
+    extra = {f"{d}+window" for d in window}
+    held = replace(wide, groups=tuple(g for g in wide.groups if extra & set(g.dims)))
+    made = reductions.by_function(held, func, extra)
+    counts = reductions.reduced(held, "count", extra)
+    groups = [g for g in cube.groups if not set(window) & set(g.dims)]
+    for g, n in zip(made.groups, counts.groups):
+        both = g.df.join(n.df.select(*(f"`{k}`" for k in n.keys()), *(F.col(f"`{v}`").alias(f"#{v}") for v in n.vars)), n.keys())
+        groups.append(replace(g, df=both.select(*(f"`{k}`" for k in g.keys()), *(F.when(F.col(f"`#{v}`") >= least, F.col(f"`{v}`")).alias(v) for v in g.vars))))
+    return replace(cube, axes=made.axes, groups=tuple(groups))
+
+
 def construct(cube: Cube, dim: str, size: int, said: Any, closer: Step) -> Cube:
     """A new dimension with the cells of each window."""
     from ..model import Axis
@@ -91,7 +122,9 @@ def exponential(cube: Cube, dim: str, size: float, kind: str, op: str) -> Cube:
             g = cube.densify(g)
             others = [f"`{x}`" for x in g.keys([dim])]
             k = f"`{key(dim)}`"
-            w = (Window.partitionBy(*others) if others else Window.partitionBy(F.lit(0))).orderBy(k).rangeBetween(-reach, 0)
+            if not others:
+                g = replace(g, df=windowed.in_blocks(g.df, k, max(windowed.BLOCK, reach), reach, 0))
+            w = Window.partitionBy(*(others or ["@block"])).orderBy(k).rangeBetween(-reach, 0)
 
             def value(v: str, k: str = k, w: Any = w) -> Column:
                 cells = F.collect_list(F.when(F.col(f"`{v}`").isNotNull(), F.struct(F.col(k).alias("k"), F.col(f"`{v}`").cast("double").alias("x")))).over(w)
@@ -99,7 +132,8 @@ def exponential(cube: Cube, dim: str, size: float, kind: str, op: str) -> Cube:
                 total = F.aggregate(cells, F.lit(0.0), lambda a, p: a + weight(p) * p["x"])
                 return total if op == "sum" else F.try_divide(total, F.aggregate(cells, F.lit(0.0), lambda a, p: a + weight(p)))
 
-            g = g.select({v: F.col(f"`{v}`") if v in cube.coords else value(v) for v in g.vars})
+            made = g.df.select(*(f"`{x}`" for x in g.keys()), *((F.col(f"`{v}`") if v in cube.coords else value(v)).alias(v) for v in g.vars), *([] if others else ["@own", "@block"]))
+            g = replace(g, df=made if others else made.where("`@own` = `@block`").drop("@own", "@block"))
         groups.append(g)
     return replace(cube, groups=tuple(groups))
 
@@ -119,7 +153,7 @@ def where(cube: Cube, cond: Any, other: Any = None, drop: bool = False) -> Cube:
         df, added = full.df, []
         for d in g.dims:
             axis = cube.axes[d]
-            if names := [c for c in axis.coords if c in text and c not in g.vars]:
+            if names := [c for c in axis.coords if c not in g.vars and re.search(rf"(?<![\w.])`?{re.escape(c)}`?(?!\w)", text)]:
                 df = df.join(axis.frame().select(f"`{key(d)}`", *(f"`{c}`" for c in names)), key(d))
                 added += names
         value = lambda v: F.when(cond, F.col(f"`{v}`")) if other is None else F.when(cond, F.col(f"`{v}`")).otherwise(F.lit(other))
@@ -139,7 +173,7 @@ def assign(cube: Cube, variables: Any = None, **named: Any) -> Cube:
             try:
                 df = g.df.select("*", c.alias("@new")) if name in g.vars else g.df.withColumn(name, c)
                 df.schema  # noqa: B018  resolves now, or not here
-            except Exception:  # noqa: BLE001, S112
+            except AnalysisException:  # it names what this set of dimensions lacks
                 continue
             df = df.drop(name).withColumnRenamed("@new", name) if name in g.vars else df
             groups[i] = Group(df, g.dims, tuple(dict.fromkeys((*g.vars, name))), g.dense)
@@ -264,7 +298,10 @@ def end(cube: Cube, dim: str | None = None, *, last: bool = False) -> Cube:
     return replace(cube, axes={d: a for d, a in cube.axes.items() if d not in dims}, groups=tuple(groups))
 
 
-def quantile(cube: Cube, q: float, dim: Any = None, **_: Any) -> Cube:
+def quantile(cube: Cube, q: Any, dim: Any = None, **_: Any) -> Cube:
+    """One quantile, or several along a new dimension that is called quantile."""
+    if hasattr(q, "__iter__"):
+        return along_quantiles(cube, [float(x) for x in q], lambda one: quantile(cube, one, dim))
     gone = set(cube.dims if dim is None else [dim] if isinstance(dim, str) else dim)
     groups = []
     for g in cube.groups:
@@ -277,6 +314,27 @@ def quantile(cube: Cube, q: float, dim: Any = None, **_: Any) -> Cube:
     return replace(cube, axes={d: a for d, a in cube.axes.items() if d not in gone}, groups=tuple(groups))
 
 
+def along_quantiles(cube: Cube, qs: list[float], one: Any) -> Cube:
+    """The results for all quantiles, each at its position of a new dimension."""
+    from ..model import Axis
+
+    parts = [one(q) for q in qs]
+    k = key("quantile")
+    axis = Axis("quantile", cube.spark.createDataFrame(list(enumerate(qs)), f"`{k}` long, `quantile` double"), ("quantile",), len(qs))
+    groups = []
+    for same in zip(*(p.groups for p in parts)):
+        g = same[0]
+        if not any(v not in cube.coords for v in g.vars):
+            groups.append(g)
+            continue
+        df = None
+        for i, h in enumerate(same):
+            own = h.df.withColumn(k, F.lit(i).cast("long"))
+            df = own if df is None else df.unionByName(own)
+        groups.append(Group(df, ("quantile", *g.dims), g.vars, g.dense))
+    return replace(parts[0], axes={"quantile": axis, **parts[0].axes}, groups=tuple(groups))
+
+
 def interpolate_na(cube: Cube, dim: str, method: str = "linear", **_: Any) -> Cube:
     """Missing cells between present ones along a dimension, on a straight line over its labels or positions."""
     groups = []
@@ -287,22 +345,113 @@ def interpolate_na(cube: Cube, dim: str, method: str = "linear", **_: Any) -> Cu
             axis, df, x = cube.axes[dim], g.df, F.col(f"`{key(dim)}`").cast("double")
             if dim in axis.coords and axis.table.schema[dim].dataType.typeName() in ("long", "integer", "double"):
                 df, x = df.join(axis.frame().select(f"`{key(dim)}`", F.col(f"`{dim}`").cast("double").alias("@x")), key(dim)), F.col("@x")
-            others = [f"`{k}`" for k in g.keys([dim])]
-            w = (Window.partitionBy(*others) if others else Window.partitionBy(F.lit(0))).orderBy(f"`{key(dim)}`")
+            others, data = [f"`{k}`" for k in g.keys([dim])], [v for v in g.vars if v not in cube.coords]
+            known = {v: F.when(F.col(f"`{v}`").isNotNull(), F.struct(x.alias("x"), F.col(f"`{v}`").alias("y"))) for v in data}
+            if not others:  # blocks, with the nearest present cells of those before and after
+                block, k = F.floor(F.col(f"`{key(dim)}`") / scans.BLOCK), F.col(f"`{key(dim)}`")
+                df = df.withColumn("@block", block)
+                ends = df.groupBy("@block").agg(*[e for v in data for e in (F.max_by(known[v], F.when(F.col(f"`{v}`").isNotNull(), k)).alias(f"@last {v}"), F.min_by(known[v], F.when(F.col(f"`{v}`").isNotNull(), k)).alias(f"@first {v}"))])
+                past, next_ = Window.orderBy("@block").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("@block").rowsBetween(1, Window.unboundedFollowing)  # a row a block
+                ends = ends.select("@block", *[e for v in data for e in (F.last(f"@last {v}", True).over(past).alias(f"@back {v}"), F.first(f"@first {v}", True).over(next_).alias(f"@ahead {v}"))])
+                df = df.join(ends, "@block")
+            w = Window.partitionBy(*(others or ["@block"])).orderBy(f"`{key(dim)}`")
             back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
 
-            def value(v: str, x: Column = x, back: Any = back, ahead: Any = ahead) -> Column:
-                c = F.col(f"`{v}`")
-                place = F.when(c.isNotNull(), x)
-                x0, x1 = F.last(place, True).over(back), F.first(place, True).over(ahead)
-                y0, y1 = F.last(c, True).over(back), F.first(c, True).over(ahead)
-                return F.coalesce(c, y0 + (y1 - y0) * F.try_divide(x - x0, x1 - x0))
+            def value(v: str, x: Column = x, back: Any = back, ahead: Any = ahead, known: dict = known, alone: bool = not others) -> Column:
+                c, low, high = F.col(f"`{v}`"), F.last(known[v], True).over(back), F.first(known[v], True).over(ahead)
+                if alone:
+                    low, high = F.coalesce(low, F.col(f"`@back {v}`")), F.coalesce(high, F.col(f"`@ahead {v}`"))
+                return F.coalesce(c, low["y"] + (high["y"] - low["y"]) * F.try_divide(x - low["x"], high["x"] - low["x"]))
 
             g = replace(g, df=df.select(*(f"`{k}`" for k in g.keys()), *(F.col(f"`{v}`") if v in cube.coords else value(v).alias(v) for v in g.vars)))
         groups.append(g)
     return replace(cube, groups=tuple(groups))
 
 
+def interp(cube: Cube, coords: Any = None, method: str = "linear", **named: Any) -> Cube:
+    """Values at new labels of dimensions, on straight lines between the labels on either side; missing beyond them, and beside missing cells.
+
+    The new labels come from the driver, as do the labels next to them, found by one aggregation over the axis.
+    """
+    from ..model import Axis
+
+    if method not in ("linear", "nearest"):
+        raise UnsupportedError(f"interp by {method!r}")
+    for d, wanted in {**dict(coords or {}), **{k: v for k, v in named.items() if k in cube.axes}}.items():
+        axis, single = cube.axes[d], not hasattr(wanted, "__iter__") or isinstance(wanted, str)
+        own = selection.Labels(axis)
+        values = [own.like(x) for x in ([wanted] if single else list(wanted))]
+        weights = []
+        for i, x in enumerate(values):
+            found = own.beside(x)
+            if found is None:
+                continue
+            (x0, k0), (x1, k1) = found
+            share = 0.0 if x1 == x0 else (x - x0) / (x1 - x0)
+            if method == "nearest":
+                share = float(share > 0.5)
+            weights += [(k0, i, 1 - share)] * (share < 1) + [(k1, i, share)] * (share > 0)
+        k, new = key(d), f"{key(d)}+"
+        table = cube.spark.createDataFrame(weights, f"`{k}` long, `{new}` long, `@w` double")
+        needed = table.groupBy(new).agg(F.count("*").alias("@n"))
+        groups = []
+        for g in cube.groups:
+            data = [v for v in g.vars if v not in cube.coords]
+            if d not in g.dims:
+                groups.append(g)
+            elif data:
+                cells = g.df.join(F.broadcast(table), k).join(F.broadcast(needed), new)  # both came from the driver
+                left = [f"`{x}`" for x in g.keys([d])]
+                made = [F.when(F.count(F.col(f"`{v}`")) == F.max("@n"), F.sum(F.col(f"`{v}`") * F.col("@w"))).alias(v) for v in data]
+                df = cells.groupBy(f"`{new}`", *left).agg(*made).withColumnRenamed(new, k)
+                groups.append(Group(df, g.dims, tuple(data)))
+        typed = cube.spark.createDataFrame([(i, float(x) if isinstance(x, (int, float)) else x) for i, x in enumerate(values)], f"`{k}` long, `{d}` {'timestamp_ntz' if own.dated else 'double'}")
+        cube = replace(cube, axes={**cube.axes, d: Axis(d, typed, (d,), len(values))}, groups=tuple(groups))
+        if single:
+            cube = selection.one(cube, cube.axes[d], 0)
+    return cube
+
+
+def stack(cube: Cube, dim: Any = None, **named: Any) -> Cube:
+    """Several dimensions as one, the last of them fastest; their labels stay as coordinates along it."""
+    from ..model import Axis
+
+    for new, dims in {**dict(dim or {}), **{k: v for k, v in named.items() if k not in ("create_index", "index_cls")}}.items():
+        dims = list(cube.dims if dims is Ellipsis or Ellipsis in dims else dims)
+        for d in dims:
+            cube = windowed.in_place(cube, d)
+        sizes = [cube.axes[d].n() for d in dims]
+
+        def merged(df: Any, dims: list = dims, sizes: list = sizes, new: str = new) -> Any:
+            at = F.lit(0).cast("long")
+            for d, n in zip(dims, sizes):
+                at = at * n + F.col(f"`{key(d)}`")
+            return df.withColumn(key(new), at)
+
+        groups, names = [], []
+        for g in cube.groups:
+            if set(dims) & set(g.dims):
+                missing = [d for d in dims if d not in g.dims]
+                df = cube.grid(missing).crossJoin(g.df) if missing else g.df  # repeated along what it lacks, as the result is
+                g = Group(merged(df).drop(*(key(d) for d in dims)), (*(d for d in g.dims if d not in dims), new), g.vars, g.dense)
+            groups.append(g)
+        table = merged(cube.grid(dims))
+        for d in dims:
+            axis = cube.axes[d]
+            if axis.table is not None and axis.coords:
+                table = table.join(axis.frame().select(f"`{key(d)}`", *(f"`{c}`" for c in axis.coords)), key(d))
+                names += axis.coords
+            else:
+                table, names = table.withColumn(d, F.col(f"`{key(d)}`")), [*names, d]
+        table = table.select(f"`{key(new)}`", *(f"`{c}`" for c in names))
+        total = 1
+        for n in sizes:
+            total *= n
+        axes = {d: a for d, a in cube.axes.items() if d not in dims}
+        cube = replace(cube, axes={**axes, new: Axis(new, table, tuple(names), total)}, groups=tuple(groups))
+    return cube
+
+
 def to_dataset(cube: Cube, **_: Any) -> Cube:
     return replace(cube, array=False)
 
@@ -312,7 +461,7 @@ def get(cube: Cube, name: str, default: Any = None) -> Cube:
 
 
 _CALLS = {
-    "where": where, "assign": assign, "fillna": fillna, "__getitem__": getitem, "transpose": transpose, "quantile": quantile, "interpolate_na": interpolate_na, "to_dataset": to_dataset, "get": get,
+    "where": where, "assign": assign, "fillna": fillna, "__getitem__": getitem, "transpose": transpose, "quantile": quantile, "interpolate_na": interpolate_na, "interp": interp, "stack": stack, "to_dataset": to_dataset, "get": get,
     "pipe": lambda cube, f, *a, **k: f(cube, *a, **k),
     "map": lambda cube, f, *a, **k: replace(cube, groups=tuple(g.select({v: F.col(f"`{v}`") if v in cube.coords else f(F.col(f"`{v}`"), *a, **k) for v in g.vars}) for g in cube.groups)),
     "first": lambda cube, dim=None, **_: end(cube, dim), "last": lambda cube, dim=None, **_: end(cube, dim, last=True),

@@ -87,6 +87,24 @@ def filled(cube: Cube, g: Group, op: str, **how: Any) -> Group:
     return full.select({v: F.coalesce(F.col(f"`{v}`"), F.lit(none).cast(g.df.schema[v].dataType)) for v in g.vars})
 
 
+def by_cells(g: Group, func: Callable, gone: set[str], left: tuple[str, ...]) -> Group:
+    """A function over the cells of a dense set."""
+    return _by_function(None, g, func, gone, left)
+
+
+def by_function(cube: Cube, func: Callable, gone: set[str]) -> Cube:
+    """The function over the dimensions that go, for each variable that has one of them."""
+    groups = []
+    for g in cube.groups:
+        own = set(g.dims) & gone
+        data = replace(g, df=g.df.select(*(f"`{k}`" for k in g.keys()), *(f"`{v}`" for v in g.vars if v not in cube.coords)), vars=tuple(v for v in g.vars if v not in cube.coords))
+        if not own:
+            groups.append(g)
+        elif data.vars:
+            groups.append(_by_function(cube, data, func, own, tuple(d for d in g.dims if d not in own)))
+    return replace(cube, axes={d: a for d, a in cube.axes.items() if d not in gone}, groups=tuple(groups))
+
+
 def _by_function(cube: Cube, g: Group, func: Callable, gone: set[str], left: tuple[str, ...]) -> Group:
     """A function of a numpy array and an axis, applied to the cells of each result cell at once."""
     out = T.StructType([*(T.StructField(key(d), T.LongType()) for d in left), *(T.StructField(v, T.DoubleType()) for v in g.vars)])
@@ -104,6 +122,6 @@ def _by_function(cube: Cube, g: Group, func: Callable, gone: set[str], left: tup
                 made[v] = float(func(values))
         return pd.DataFrame([{**row, **{v: None if x != x else x for v, x in made.items()}}])
 
-    source = cube.densify(g)
+    source = g if g.dense else cube.densify(g)
     df = source.df if keys else source.df.withColumn("@all", F.lit(0))
     return Group(df.groupBy(*(f"`{k}`" for k in keys or ["@all"])).applyInPandas(apply, out), left, g.vars, source.dense)

@@ -13,6 +13,7 @@ from ..model import Cube, Group, key
 from ..plans.specs import Slice
 from ..plans.steps import Scan
 from .selection import positions
+from .windowed import in_blocks
 
 #: Positions of a block, where a dimension alone would put all its cells on one task.
 BLOCK = 65536
@@ -62,11 +63,17 @@ def diff(cube: Cube, dim: str, n: int = 1, label: str = "upper") -> Cube:
             g = cube.densify(g)
             own = [v for v in g.vars if v not in cube.coords]
             others = [f"`{x}`" for x in g.keys([dim])]
-            w = Window.partitionBy(*others).orderBy(f"`{key(dim)}`") if others else Window.orderBy(f"`{key(dim)}`")
+            k = f"`{key(dim)}`"
+            if not others:  # blocks, with the n cells that a step reaches beyond them
+                before, after = (n, 0) if label == "upper" else (0, n)
+                g = replace(g, df=in_blocks(g.df, k, max(BLOCK, n), before, after), vars=(*g.vars, "@own", "@block"))
+            w = Window.partitionBy(*(others or ["@block"])).orderBy(k)
             for _ in range(n):
                 g = g.select({v: number(F.col(f"`{v}`"), g.type_of(v)) - F.lag(number(F.col(f"`{v}`"), g.type_of(v))).over(w) if v in own else F.col(f"`{v}`") for v in g.vars})
             if label == "lower":
                 g = g.select({v: F.lead(F.col(f"`{v}`"), n).over(w) if v in own else F.col(f"`{v}`") for v in g.vars})
+            if not others:
+                g = replace(g, df=g.df.where("`@own` = `@block`").drop("@own", "@block"), vars=tuple(v for v in g.vars if not v.startswith("@")))
         groups.append(g)
     size = cube.axes[dim].n()
     kept = Slice(min(n, size), None) if label == "upper" else Slice(0, max(0, size - n))

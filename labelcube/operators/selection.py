@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import math
 from dataclasses import replace
 from datetime import date, datetime, timedelta
 from typing import Any
@@ -42,18 +42,30 @@ def positions(cube: Cube, dim: str, spec: Any, drop: bool = False) -> Cube:
         order = tuple(whole[i] for i in spec.values)
     else:
         raise TypeError(f"{dim!r} can't be indexed by position with {spec.value!r}")
+    if isinstance(order, range):  # stays one, however long
+        if order.step < 0 and len(order) > 1:
+            return turned(cube, axis, order)
+        return on_axis(cube, replace(axis, at=order if order.step > 0 else range(order[0], order[0] + 1) if len(order) else range(0), size=len(order)))
     steps = np.diff(np.asarray(order, np.int64))
-    if len(order) > 1 and (steps <= 0).any():
+    if (steps <= 0).any():
         return reordered(cube, axis, tuple(order))
-    if len(order) > 1 and (steps == steps[0]).all():
-        order = range(order[0], order[-1] + 1, int(steps[0]))
-    elif len(order) == 1:
-        order = range(order[0], order[0] + 1)
-    elif not len(order):
+    if not len(order):
         order = range(0)
+    elif (steps == (steps[0] if len(steps) else 1)).all():
+        order = range(order[0], order[-1] + 1, int(steps[0]) if len(steps) else 1)
     return on_axis(cube, replace(axis, at=order, size=len(order)))
 
 
+def turned(cube: Cube, axis: Axis, order: range) -> Cube:
+    """Positions that go back evenly: cells are numbered anew by arithmetic."""
+    k = key(axis.dim)
+    kept = replace(axis, at=order[::-1], size=len(order))
+    moved = lambda df: kept.keep(df).withColumn(k, ((F.col(f"`{k}`") - order[0]) / order.step).cast("long"))
+    groups = tuple(replace(g, df=moved(g.df)) if axis.dim in g.dims else g for g in cube.groups)
+    own = replace(axis, table=moved(axis.table) if axis.table is not None else None, at=None, size=len(order))
+    return replace(cube, axes={**cube.axes, axis.dim: own}, groups=groups)
+
+
 def on_axis(cube: Cube, axis: Axis) -> Cube:
     """The cube with a narrower axis: a predicate for every DataFrame over it."""
     groups = tuple(replace(g, df=axis.keep(g.df)) if axis.dim in g.dims else g for g in cube.groups)
@@ -91,7 +103,7 @@ def reordered(cube: Cube, axis: Axis, order: tuple[int, ...]) -> Cube:
 
 
 def labels(axis: Axis) -> list:
-    """The labels in order; reads the axis's table alone."""
+    """The labels in order; reads the axis's table alone, to the driver."""
     if axis.dim not in axis.coords:
         return list(range(axis.n()))
     return [r[0] for r in axis.frame().orderBy(f"`{key(axis.dim)}`").select(f"`{axis.dim}`").collect()]
@@ -125,47 +137,101 @@ def span(text: str) -> tuple[datetime, datetime]:
     return first, after - timedelta(microseconds=1)
 
 
-def precision(own: list[datetime]) -> timedelta:
-    """The span of the finest unit that the labels use."""
-    for unit, length in (("microsecond", timedelta(0)), ("second", timedelta(seconds=1)), ("minute", timedelta(minutes=1)), ("hour", timedelta(hours=1))):
-        if any(getattr(x, unit) for x in own):
-            return length
-    return timedelta(days=1)
+class Labels:
+    """An axis's labels, in order along it, asked by aggregations over its table; or its positions, where it has no labels."""
+
+    def __init__(self, axis: Axis):
+        self.axis, self.named = axis, axis.dim in axis.coords
+        if self.named:
+            self.frame, self.kind = axis.frame(), axis.table.schema[axis.dim].dataType
+            self.label, self.key = F.col(f"`{axis.dim}`"), F.col(f"`{key(axis.dim)}`")
+
+    @property
+    def dated(self) -> bool:
+        return self.named and self.kind.typeName().startswith(("timestamp", "date"))
+
+    def like(self, value: Any, end: bool = False) -> Any:
+        return _like(value, datetime.min if self.dated else None, end)
+
+    def _lit(self, value: Any) -> Any:
+        return F.lit(value.isoformat(" ")).cast(self.kind) if self.dated and isinstance(value, datetime) else F.lit(value)
+
+    def place(self, base: int) -> int:
+        """The position along the axis of a key of its table."""
+        at = self.axis.at
+        return base if at is None else at.index(base)
+
+    def below(self, value: Any, too: bool) -> int:
+        """How many labels lie below a value, or are it, if too."""
+        if not self.named:
+            n = self.axis.n()
+            return min(max(math.floor(value) + 1 if too else math.ceil(value), 0), n)
+        return self.frame.where(self.label <= self._lit(value) if too else self.label < self._lit(value)).count()
+
+    def find(self, values: list) -> list[int]:
+        """The positions of labels; each has to be one."""
+        if not self.named:
+            found = {v: int(v) for v in values if v == int(v) and 0 <= v < self.axis.n()}
+        else:
+            rows = self.frame.where(self.label.isin(*map(self._lit, values))).groupBy(self.label.alias("x")).agg(F.min(self.key).alias("k")).collect() if values else []
+            found = {r["x"]: self.place(r["k"]) for r in rows}  # a row for each label that was asked for
+            found |= {datetime(x.year, x.month, x.day): k for x, k in list(found.items()) if isinstance(x, date) and not isinstance(x, datetime)}
+        for v in values:
+            if v not in found:
+                raise KeyError(f"{v!r} is not a label of {self.axis.dim!r}")
+        return [found[v] for v in values]
+
+    def near(self, value: Any, method: str, tolerance: Any) -> int:
+        if method not in ("ffill", "pad", "bfill", "backfill", "nearest"):
+            raise ValueError(f"no method is called {method!r}")
+        if self.named:
+            pair = F.struct(self.label.alias("x"), self.key.alias("k"))
+            low, high = self.frame.agg(F.max(F.when(self.label <= self._lit(value), pair)), F.min(F.when(self.label >= self._lit(value), pair))).first()
+            low, high = (None if r is None else (r["x"], r["k"]) for r in (low, high))
+        else:
+            n = self.axis.n()
+            low, high = ((k, k) if 0 <= k < n else None for k in (min(math.floor(value), n - 1), max(math.ceil(value), 0)))
+        if method == "nearest":
+            both = [r for r in (high, low) if r is not None]
+            found = min(both, key=lambda r: abs(r[0] - value), default=None)
+        else:
+            found = low if method in ("ffill", "pad") else high
+        if found is None or (tolerance is not None and abs(found[0] - value) > tolerance):
+            raise KeyError(f"no label of {self.axis.dim!r} is near {value!r}")
+        return self.place(found[1]) if self.named else found[1]
+
+    def beside(self, value: Any) -> tuple | None:
+        """The labels on either side of a value, or the one that it is, each with its key; None beyond the ends."""
+        if not self.named:
+            low, high, n = math.floor(value), math.ceil(value), self.axis.n()
+            order = self.axis.order()
+            return ((low, order[low]), (high, order[high])) if 0 <= low and high < n else None
+        pair = F.struct(self.label.alias("x"), self.key.alias("k"))
+        low, high = self.frame.agg(F.max(F.when(self.label <= self._lit(value), pair)), F.min(F.when(self.label >= self._lit(value), pair))).first()
+        return None if low is None or high is None else ((low["x"], low["k"]), (high["x"], high["k"]))
+
+    def precision(self) -> timedelta:
+        """The span of the finest unit that the labels use."""
+        at, units = self.label.cast("timestamp_ntz"), (timedelta(0), timedelta(seconds=1), timedelta(minutes=1), timedelta(hours=1))
+        uses = [F.max(at != F.date_trunc(unit, at).cast("timestamp_ntz")) for unit in ("second", "minute", "hour", "day")]
+        return next((u for u, x in zip(units, self.frame.agg(*uses).first()) if x), timedelta(days=1))
 
 
 def by_label(axis: Axis, value: Any, method: str | None = None, tolerance: Any = None) -> Any:
-    """The positional index that a label index means on this axis."""
-    own = labels(axis)
-    first = own[0] if own else None
+    """The positional index that a label index means on this axis. The driver sees counts, and a row for each label in a list."""
+    own = Labels(axis)
     if isinstance(value, slice):
-        lo, hi = (None if x is None else _like(x, first, end) for x, end in ((value.start, False), (value.stop, True)))
-        return Slice(0 if lo is None else bisect_left(own, lo), len(own) if hi is None else bisect_right(own, hi), value.step)
+        lo, hi = (None if x is None else own.like(x, end) for x, end in ((value.start, False), (value.stop, True)))
+        return Slice(0 if lo is None else own.below(lo, False), None if hi is None else own.below(hi, True), value.step)
     if isinstance(value, (list, tuple)):
-        return Positions(tuple(_find(axis, own, _like(x, first), method, tolerance) for x in value))
-    if isinstance(first, datetime) and isinstance(value, str) and method is None:
+        wanted = [own.like(x) for x in value]
+        return Positions(tuple(own.find(wanted) if method is None else [own.near(x, method, tolerance) for x in wanted]))
+    if own.dated and isinstance(value, str) and method is None:
         lo, hi = span(value)
-        if hi - lo > precision(own):  # a part of a date, coarser than the labels, means all that fall in it
-            found = Slice(bisect_left(own, lo), bisect_right(own, hi))
+        if hi - lo > own.precision():  # a part of a date, coarser than the labels, means all that fall in it
+            found = Slice(own.below(lo, False), own.below(hi, True))
             if found.start == found.stop:
                 raise KeyError(f"no label of {axis.dim!r} is in {value!r}")
             return found
-    return Scalar(_find(axis, own, _like(value, first), method, tolerance))
-
-
-def _find(axis: Axis, own: list, wanted: Any, method: str | None, tolerance: Any) -> int:
-    if method is None:
-        try:
-            return own.index(wanted)
-        except ValueError:
-            raise KeyError(f"{wanted!r} is not a label of {axis.dim!r}") from None
-    if method in ("ffill", "pad"):
-        at = bisect_right(own, wanted) - 1
-    elif method in ("bfill", "backfill"):
-        at = bisect_left(own, wanted)
-    elif method == "nearest":
-        at = min(range(len(own)), key=lambda i: (abs(own[i] - wanted), -i), default=-1)
-    else:
-        raise ValueError(f"no method is called {method!r}")
-    if not 0 <= at < len(own) or (tolerance is not None and abs(own[at] - wanted) > tolerance):
-        raise KeyError(f"no label of {axis.dim!r} is near {wanted!r}")
-    return at
+    wanted = own.like(value)
+    return Scalar(own.find([wanted])[0] if method is None else own.near(wanted, method, tolerance))

@@ -6,13 +6,13 @@ from collections.abc import Mapping
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import aggregate, windowed
+from ..functions.aggregates import aggregate, number, windowed
 from ..model import Axis, Cube, Group, key
 from ..plans.steps import WindowedReduce
-from .reductions import filled, options
+from .reductions import by_cells, filled, options
 from .selection import positions
 from ..plans.specs import Slice
 
@@ -45,6 +45,12 @@ def in_place(cube: Cube, dim: str) -> Cube:
     return replace(cube, axes={**cube.axes, dim: own}, groups=groups)
 
 
+def in_blocks(df: DataFrame, k: str, length: int, before: int, after: int) -> DataFrame:
+    """Blocks of one dimension's positions, each with the cells before and after it that its windows reach: @own is a cell's block, @block the one it is sent to."""
+    near = F.sequence(F.greatest(F.floor((F.col(k) - after) / length), F.lit(0)), F.floor((F.col(k) + before) / length))
+    return df.withColumn("@own", F.floor(F.col(k) / length)).withColumn("@block", F.explode(near))
+
+
 def rolling(cube: Cube, op: str, window: Mapping[str, int], center: Any = False, min_periods: int | None = None, ddof: int = 0) -> Cube:
     """Each cell over the window that ends on it, or around it. Absent cells count as missing: frames are of positions, not rows."""
     for d in window:
@@ -80,15 +86,54 @@ def _one(cube: Cube, g: Group, dim: str, op: str, size: int, before: int, least:
     value = lambda w: {v: F.col(f"`{v}`") if v in cube.coords else windowed(op, F.col(f"`{v}`"), g.type_of(v), w, least, ddof) for v in g.vars}
     if others:
         return g.select(value(Window.partitionBy(*others).orderBy(k).rangeBetween(-before, size - 1 - before)))
-    # Blocks of the one dimension, each with the cells around it that its windows reach.
-    block = F.floor(F.col(k) / BLOCK)
-    near = F.array_distinct(F.array(block, F.floor((F.col(k) + before) / BLOCK), F.floor((F.col(k) - (size - 1 - before)) / BLOCK)))
-    wide = g.df.withColumn("@own", block).withColumn("@block", F.explode(near))
+    wide = in_blocks(g.df, k, max(BLOCK, size), before, size - 1 - before)
     w = Window.partitionBy("@block").orderBy(k).rangeBetween(-before, size - 1 - before)
     df = wide.select(k, "@own", "@block", *(c.alias(v) for v, c in value(w).items())).where("`@own` = `@block`").drop("@own", "@block")
     return replace(g, df=df)
 
 
+def cumulative(cube: Cube, op: str, dim: str, least: int, ddof: int = 0) -> Cube:
+    """Each cell over all up to it. Along a variable's one dimension, blocks are reduced first, and what they give is carried on."""
+    cube, n = in_place(cube, dim), cube.axes[dim].n()
+    groups = []
+    for g in cube.groups:
+        own = [v for v in g.vars if v not in cube.coords]
+        if dim not in g.dims or not own:
+            groups.append(g)
+            continue
+        g = cube.densify(g)
+        groups.append(_carried(cube, g, dim, op, least) if len(g.dims) == 1 and op in _CARRIED else _one(cube, g, dim, op, n, n - 1, least, ddof))
+    return replace(cube, groups=tuple(groups))
+
+
+#: How what blocks give is joined: by adding, multiplying, or taking the least or greatest.
+_CARRIED = {"sum": "sum", "count": "sum", "mean": "sum", "prod": "prod", "min": "min", "max": "max"}
+
+
+def _carried(cube: Cube, g: Group, dim: str, op: str, least: int) -> Group:
+    k, own = f"`{key(dim)}`", [v for v in g.vars if v not in cube.coords]
+    reduce_ = {"sum": F.sum, "prod": lambda c: F.product(c.cast("double")), "min": F.min, "max": F.max}[_CARRIED[op]]
+    join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "prod": lambda a, b: F.coalesce(a * b, a, b), "min": F.least, "max": F.greatest}[_CARRIED[op]]
+    value = {v: number(F.col(f"`{v}`"), g.type_of(v)) for v in own}
+    block = F.floor(F.col(k) / BLOCK)
+    parts = [x for v in own for x in (reduce_(value[v]).alias(f"@{v}"), F.count(F.col(f"`{v}`")).alias(f"#{v}"))]
+    earlier = Window.orderBy("@block").rowsBetween(Window.unboundedPreceding, -1)  # a row for 65536 positions
+    whole = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max}[_CARRIED[op]]
+    sums = g.df.groupBy(block.alias("@block")).agg(*parts)
+    sums = sums.select("@block", *[x for v in own for x in (whole(F.col(f"`@{v}`")).over(earlier).alias(f"@{v}"), F.sum(F.col(f"`#{v}`")).over(earlier).alias(f"#{v}"))])
+    w = Window.partitionBy("@block").orderBy(k).rowsBetween(Window.unboundedPreceding, 0)
+    df = g.df.withColumn("@block", block).join(sums, "@block")
+
+    def made(v: str) -> Column:
+        present = F.count(F.col(f"`{v}`")).over(w) + F.coalesce(F.col(f"`#{v}`"), F.lit(0))
+        if op == "count":
+            return present if least <= 0 else F.when(present >= least, present)
+        found = join(reduce_(value[v]).over(w), F.col(f"`@{v}`"))
+        return F.when(present >= least, F.try_divide(found, present) if op == "mean" else found)
+
+    return replace(g, df=df.select(k, *(made(v).alias(v) if v in own else F.col(f"`{v}`") for v in g.vars)))
+
+
 def _several(cube: Cube, g: Group, dims: list[str], op: str, window: Mapping[str, int], before: Mapping[str, int], least: int, ddof: int) -> Group:
     """Every cell is sent to the windows that hold it, which are added up as any groups are."""
     df = g.df
@@ -102,7 +147,7 @@ def _several(cube: Cube, g: Group, dims: list[str], op: str, window: Mapping[str
     return Group(df.groupBy(*keys).agg(*made), g.dims, tuple(own), g.dense)
 
 
-def coarsen(cube: Cube, op: str, window: Mapping[str, int], said: Mapping[str, Any], how: dict) -> Cube:
+def coarsen(cube: Cube, op: Any, window: Mapping[str, int], said: Mapping[str, Any], how: dict) -> Cube:
     """Blocks of positions become one; boundary says what becomes of an uneven end, coord_func how labels are joined."""
     boundary, side, coord_func = said.get("boundary", "exact"), said.get("side", "left"), said.get("coord_func", "mean")
     shift: dict[str, int] = {}
@@ -135,6 +180,12 @@ def coarsen(cube: Cube, op: str, window: Mapping[str, int], said: Mapping[str, A
             if not dims:
                 groups.append(g)
             continue
+        if callable(op):
+            inner = [F.pmod(F.col(f"`{key(d)}`") + shift[d], F.lit(window[d])).alias(key(f"{d}+window")) for d in dims]
+            keys = [place(d).alias(key(d)) if d in dims else F.col(f"`{key(d)}`") for d in g.dims]
+            cells = Group(cube.densify(g).df.select(*keys, *inner, *(f"`{v}`" for v in own)), (*g.dims, *(f"{d}+window" for d in dims)), tuple(own), True)
+            groups.append(by_cells(cells, op, {f"{d}+window" for d in dims}, g.dims))
+            continue
         full = cube.densify(g) if op in ("any", "all") else g
         keys = [place(d).alias(key(d)) if d in dims else F.col(f"`{key(d)}`") for d in g.dims]
         cells = F.lit(_product(window, dims)) if boundary == "pad" or op == "any" else None
