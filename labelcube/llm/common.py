@@ -51,6 +51,20 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/labelcube-{label}-{uuid.uuid4().hex}"
 
+    @classmethod
+    def at(cls, spark: SparkSession, root: str) -> Scratch:
+        """A folder of one's own, such as one that an earlier run has left."""
+        own = cls.__new__(cls)
+        own.spark, own.root = spark, root.rstrip("/")
+        return own
+
+    def names(self) -> list[str]:
+        """The tables in the folder."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from .common import Scratch, documents, mix, slices, span_hashes, texts, utf8, w
 #: Words of a window, and of the pieces of it of which the one of smallest hash is the window's fingerprint.
 WINDOW, PIECE = 35, 8
 #: Batches that the query adds one after the other, and runs that are merged into one.
-BATCHES, FANOUT = 2, 4
+BATCHES, FANOUT = 4, 2
 _TEXT = "id long, mark long"
 
 
@@ -66,7 +67,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFr
 
 
 class FingerprintIndex:
-    """Sorted, immutable runs of the anchors of all batches so far.
+    """Sorted, immutable runs of the anchors of all batches so far, in a folder that a later session can open().
 
     Each batch becomes a run, which is merge-joined with the runs before it; `fanout` runs of a level are merged
     into one of the next. repeated() has the hashes found more than once so far, occurrences() all their places.
@@ -77,51 +78,62 @@ class FingerprintIndex:
         self.runs: list[tuple[int, str, DataFrame]] = []
         self.found: list[DataFrame] = []
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fanout: int = FANOUT) -> FingerprintIndex:
+        """The index that lies in a folder; an empty one if there is none."""
+        index = cls(Scratch.at(spark, folder), fanout)
+        names = index.scratch.names()
+        for name in names:
+            if m := re.fullmatch(r"run(\d+)-(\d+)|found(\d+)", name):
+                index.made = max(index.made, int(m[1] or m[3]))
+                table = spark.read.parquet(f"{index.scratch.root}/{name}")
+                if m[1]:
+                    index.runs.append((int(m[2]), name, table))
+                else:
+                    index.found.append(table)
+        return index
+
     def _run(self, rows: DataFrame, level: int) -> DataFrame:
         self.made += 1
-        name = f"run{self.made}"
+        name = f"run{self.made}-{level}"
         run = self.scratch.write(rows.sortWithinPartitions("hash"), name)  # sorted files; a frequent hash lies in as many as it comes from
         self.runs.append((level, name, run))
         return run
 
+    @staticmethod
+    def _all(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for more in tables[1:]:
+            out = out.unionByName(more)
+        return out
+
     def add(self, rows: DataFrame) -> DataFrame:
-        """Index a batch of anchors; the hashes that it repeats, from itself or from any run before."""
+        """Index a batch of anchors; the hashes that it repeats, from itself or from any run before.
+
+        Both sides of the join are counted or made distinct where they lie first, so a frequent hash is a row a partition.
+        """
         before = [run for _, _, run in self.runs]
         run = self._run(rows, 0)
         counted = run.groupBy("hash").agg(F.count("*").alias("n"))
         found = counted.where("n > 1").select("hash")
         if before:
-            old = before[0]
-            for more in before[1:]:
-                old = old.unionByName(more)
-            found = found.unionByName(counted.where("n = 1").select("hash").hint("merge").join(old.select("hash"), "hash", "left_semi"))
+            found = found.unionByName(counted.where("n = 1").select("hash").hint("merge").join(self._all(before).select("hash").distinct(), "hash", "left_semi"))
         self.found.append(self.scratch.write(found, f"found{self.made}"))
         self.compact()
         return self.found[-1]
 
     def compact(self) -> None:
-        for level in sorted({x for x, _, _ in self.runs}):
-            full = [r for r in self.runs if r[0] == level]
-            if len(full) >= self.fanout:
-                rows = full[0][2]
-                for _, _, more in full[1:]:
-                    rows = rows.unionByName(more)
-                self.runs = [r for r in self.runs if r[0] != level]
-                self._run(rows, level + 1)
-                self.scratch.drop(*(name for _, name, _ in full))
+        while full := next((same for x in sorted({x for x, _, _ in self.runs}) if len(same := [r for r in self.runs if r[0] == x]) >= self.fanout), None):
+            self.runs = [r for r in self.runs if r[0] != full[0][0]]
+            self._run(self._all([run for _, _, run in full]), full[0][0] + 1)
+            self.scratch.drop(*(name for _, name, _ in full), collect=False)
 
     def repeated(self) -> DataFrame:
-        found = self.found[0]
-        for more in self.found[1:]:
-            found = found.unionByName(more)
-        return found.distinct()
+        return self._all(self.found).distinct()
 
     def occurrences(self) -> DataFrame:
-        rows = self.runs[0][2]
-        for _, _, more in self.runs[1:]:
-            rows = rows.unionByName(more)
         hashes = self.scratch.write(self.repeated(), f"repeated{self.made}")  # a plain side, so that a frequent hash can be split at run time
-        return rows.join(hashes, "hash", "left_semi")
+        return self._all([run for _, _, run in self.runs]).join(hashes, "hash", "left_semi")
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:

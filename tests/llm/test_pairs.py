@@ -166,3 +166,14 @@ def test_an_index_grows_by_batches(spark):
     assert found == [[2], [1], [], [3]]
     assert sorted(r[0] for r in index.repeated().collect()) == [1, 2, 3]
     assert len(index.runs) == 1 and index.occurrences().count() == 6
+
+
+def test_an_index_is_taken_up_again(spark):
+    batch = lambda *hashes: spark.createDataFrame([(h, i, i, 0) for i, h in enumerate(hashes)], "hash long, id long, mark long, at int")
+    folder = Scratch(spark, "test-index").root
+    for hashes, want in (((1, 2, 2), [2]), ((1, 3), [1]), ((4,), []), ((3, 5, 5), [3, 5]), ((2, 6), [2])):
+        index = substring.FingerprintIndex.open(spark, folder, fanout=2)
+        assert sorted(r[0] for r in index.add(batch(*hashes)).collect()) == want
+    again = substring.FingerprintIndex.open(spark, folder, fanout=2)
+    assert sorted(r[0] for r in again.repeated().collect()) == [1, 2, 3, 5]
+    assert sorted(level for level, _, _ in again.runs) == [0, 2] and again.occurrences().count() == 9
