@@ -122,10 +122,15 @@ class Image:
 
 
 def parse(data: bytes) -> list[Image]:
-    """The images that follow each other in data. Raises ValueError for what is not baseline JPEG."""
+    """The images that follow each other in data; bytes after them that begin no image are passed over.
+
+    Raises ValueError for what is not baseline JPEG, and for images of several scans: all components have to be in one.
+    """
     images, at = [], 0
     while at < len(data):
         if data[at : at + 2] != b"\xff\xd8":
+            if images:
+                break
             raise ValueError("no image begins here")
         image, at = Image(), at + 2
         while True:
@@ -313,7 +318,7 @@ def media_features(rows: DataFrame, media: str = "media", keep: tuple[str, ...]
     """The columns keep, and what reading the media column back gives: width, height, images, thumbnail and media figures.
 
     thumbnail (binary) has the images' thumbnails in turn, row by row; feature is WIDTHxHEIGHT, the first image's
-    thumbnail hash and XXH64 of the thumbnail. For null media or what is no baseline JPEG, all are null but media_bytes
+    thumbnail hash and XXH64 of the thumbnail. For null media or what is no baseline JPEG of one scan, all are null but media_bytes
     and media_sha256 of a value that isn't null.
     """
     names = ["width", "height", "images", "thumbnail", "feature", "media_bytes", "media_sha256"]

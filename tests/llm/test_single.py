@@ -163,6 +163,7 @@ def test_any_bytes_round_trip():
     assert [b"".join(t.tobytes() for _, _, t in images) for images in back] == payloads
     assert [len(images) for images in back][3:5] == [1, 2]
     good = media.encode_payloads([payloads[0]])[0]
+    assert media.thumbnails([good + b"more\0"])[0][0][2].tobytes() == payloads[0]
     assert media.thumbnails([b"", b"no image", good[:-30], good, good[:200] + good[204:]])[:3] == [None] * 3
 
 
