@@ -97,6 +97,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_key(id_, digest):
+    """One string for an id, null or not, and a digest: rows that share it are equal in both."""
+    return F.concat(digest.cast("string"), F.lit(":"), F.coalesce(id_.cast("string"), F.lit("null")))
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker lives on between tasks, next to others."""
     pa.default_memory_pool().release_unused()

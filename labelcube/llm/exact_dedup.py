@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, SPACE, Scratch, documents, fresh, salted
+from .common import SALTS, SPACE, Scratch, documents, fresh, row_key, salted
 
 
 def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", salts: int = SALTS) -> DataFrame:
@@ -40,14 +40,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> Dat
     rows meet the list of what stays by id and digest; of equal ones one is taken where they have met already.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    name, sha, own = fresh(docs, "id", "sha", "own")
+    (own,) = fresh(docs, "own")
     leads = F.col(id_).eqNullSafe(F.col("keep_id"))
-    kept = exact_groups(docs, text, id_).where(leads).select(F.col(id_).alias(name), F.col("text_sha256").alias(sha)).distinct()
+    kept = exact_groups(docs, text, id_).where(leads).select(row_key(F.col(id_), F.col("text_sha256")).alias(own)).distinct()
     kept = scratch.write(kept, "kept")
     scratch.drop()  # the groups' texts need not lie on disk any longer
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " "), 256)
-    met = docs.withColumn(own, digest).join(kept, F.col(id_).eqNullSafe(F.col(name)) & (F.col(own) == F.col(sha)), "left_semi")
-    return met.dropDuplicates([id_, own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = docs.withColumn(own, row_key(F.col(id_), digest)).join(kept, own, "left_semi")
+    return met.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

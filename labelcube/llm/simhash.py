@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, documents, fresh, salted, slices, texts
+from .common import Scratch, components, documents, fresh, row_key, salted, slices, texts
 
 RADIUS = 3
 #: Fingerprints in a block, the unit that is sent around, and in a tile, the unit that is compared or skipped.
@@ -199,12 +199,12 @@ def one_per_group(docs: DataFrame, text: str = "text", id_: str = "doc_id", radi
     Of rows that repeat an id and its text, one.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    name, hashed, own = fresh(docs, "id", "mark", "own")
+    (own,) = fresh(docs, "own")
     stay = _labelled(docs, text, id_, radius).where(F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("mark") == F.col("lead.mark")))
-    stay = scratch.write(stay.select(F.col("id").alias(name), F.col("mark").alias(hashed)).distinct(), "stay")
+    stay = scratch.write(stay.select(row_key(F.col("id"), F.col("mark")).alias(own)).distinct(), "stay")
     scratch.drop()
-    met = docs.withColumn(own, F.xxhash64(F.col(text).cast("string"))).join(stay, F.col(id_).cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(hashed)), "left_semi")
-    return met.dropDuplicates([id_, own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = docs.withColumn(own, row_key(F.col(id_).cast("long"), F.xxhash64(F.col(text).cast("string")))).join(stay, own, "left_semi")
+    return met.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
