@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices
 
 #: Pages of a host-and-path order that one group holds, and neighbours on either side that a page is compared with.
-GROUP, BESIDE = 64, 2
+GROUP, BESIDE = 64, 3
 #: A neighbour that shares more of a page's article is a reprint of it; one that shares more of all its lines, a copy.
 REPRINT, COPY = 0.5, 0.9
-#: Neighbours that have to share a line at an end of an article before it counts as the template's.
-AGREE = 2
+#: Neighbours, reprints aside, that there have to be, and all share a line at an end of an article, before it counts as the template's.
+AGREE = 3
 #: Cells of one table of an alignment; longer pages are split until their tables are as small.
 CELLS = 1 << 20
 
@@ -236,20 +236,21 @@ def template_lines(own: list[bytes], near: list[list[bytes]]) -> list[int]:
     """Positions of a page's lines that are the template's, from its neighbours' lines, the nearest first.
 
     A page that shares nearly all lines is a copy and tells nothing unless there are only such. Of the others, the nearest one's common subsequence
-    with the page is the template. Within an article, where a line may be a quotation, more is asked: that AGREE neighbours
-    that are no reprints share the line, and all lines between it and the article's beginning or end.
+    with the page is the template. Within an article, where a line may be a quotation, more is asked: that all neighbours that are
+    no reprints, AGREE at least, share the line and those between it and the article's beginning or end.
     """
     if not near:
         return []
     article = [i for i, x in enumerate(own) if x[-1]]
     place = {i: k for k, i in enumerate(article)}
-    text, found, votes = [x[:-1] for x in own], None, np.zeros(len(own), int)
+    text, found, votes, asked = [x[:-1] for x in own], None, np.zeros(len(own), int), 0
     for other in near:
         common = common_lines(text, [x[:-1] for x in other])
         if len(common) <= COPY * len(own) and found is None:
             found = common
         if not article or sum(i in place for i in common) > REPRINT * len(article):
             continue
+        asked += 1
         theirs = [x[:-1] for x in other if x[-1]]
         mine = [text[i] for i in article]
         top, low = _alike(mine, theirs), _alike(mine[::-1], theirs[::-1])
@@ -257,7 +258,7 @@ def template_lines(own: list[bytes], near: list[list[bytes]]) -> list[int]:
             if i in place and (place[i] < top or place[i] >= len(article) - low):
                 votes[i] += 1
     found = common_lines(text, [x[:-1] for x in near[0]]) if found is None else found
-    return sorted({i for i in found if i not in place} | {i for i in article if votes[i] >= AGREE})
+    return sorted({i for i in found if i not in place} | {i for i in article if votes[i] == asked >= AGREE})
 
 
 def shared_lines(rows: DataFrame, scratch: Scratch) -> DataFrame:

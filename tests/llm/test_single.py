@@ -283,13 +283,14 @@ def test_template_lines_against_a_plain_version():
         found = next((c for c in shared if len(c) <= html.COPY * len(own)), shared[0] if shared else [])
         out = {i for i in found if i not in inside}
         for k, i in enumerate(inside):
-            votes = 0
+            votes, asked = 0, 0
             for c, other in zip(shared, near):
                 theirs = [x[:-1] for x in other if x[-1]]
+                asked += sum(x in inside for x in c) <= html.REPRINT * len(inside)
                 if sum(x in inside for x in c) <= html.REPRINT * len(inside) and i in c:
                     mine = [own[x][:-1] for x in inside]
                     votes += mine[: k + 1] == theirs[: k + 1] or mine[k:] == theirs[len(theirs) - len(mine[k:]) :] and len(theirs) >= len(mine[k:])
-            if votes >= html.AGREE:
+            if votes == asked >= html.AGREE:
                 out.add(i)
         return sorted(out)
 
