@@ -77,6 +77,28 @@ def test_every_offending_sentence_is_located(docs_module):
     assert got[2]["score"] >= 0.3 > max(x["probability"] for x in got[2]["offending"])
 
 
+def test_scores_of_documents_against_a_plain_version(toxic, docs_module):
+    (weights, shift), rng = toxic[2], random.Random(11)
+    texts = [t for _, t, _, _ in toxic[0][:40]] + ["vile! vile vile.\nnobody", "a.b? c", "", "x" * 50 + " VILE person."]
+
+    def plain(text):
+        left, sentence, ended = 1.0, set(), False
+        for word in [*text.split(), None]:
+            if word is None or ended:
+                if sentence:
+                    left *= 1 - 1 / (1 + np.exp(-(shift + sum(float(weights[k]) for k in sentence))))
+                sentence, ended = set(), False
+            if word is not None:
+                sentence |= set(toxicity.word_features(pa.array([word]), fold=True)[3][0].tolist())
+                ended = any(c in word for c in ".!?")
+        return 1 - left
+
+    texts = [t.replace("\n", ". ") for t in texts]
+    got = {r["id"]: r["score"] for r in toxicity.score(docs_module(list(enumerate(texts))), (weights, shift)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(plain(t), abs=1e-6), t
+
+
 def test_noisy_or_is_one_minus_the_product():
     logits, rows = np.array([-1.0, 2.0, 0.5]), np.array([0, 0, 2])
     p = 1 / (1 + np.exp(-logits))
@@ -97,6 +119,21 @@ def test_held_out_rows_are_those_of_the_fold(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in got.items())
 
 
+def test_gradients_of_both_views_against_plain_ones():
+    rng = np.random.default_rng(12)
+    row, slot, share = np.repeat(np.arange(6), 4), rng.integers(0, 50, 24), rng.random(24)
+    y, weigh = np.array([0, 1, 1, 0, 1, 0]), rng.random(6)
+    model = quality.TextModel()
+    model.w, model.b = rng.normal(size=quality.SLOTS), 0.3
+    grad, g0 = model.gradient(row, slot, share, 6, y, weigh)
+    loss = lambda w, b: sum(weigh[i] * np.logaddexp(0, (1 - 2 * y[i]) * (b + sum(w[slot[k]] * share[k] for k in range(24) if row[k] == i))) for i in range(6))
+    for k in slot[:5]:
+        step = np.zeros(quality.SLOTS)
+        step[k] = 1e-6
+        assert grad[k] == pytest.approx((loss(model.w + step, 0.3) - loss(model.w - step, 0.3)) / 2e-6, rel=1e-4, abs=1e-7)
+    assert g0 == pytest.approx((loss(model.w, 0.3 + 1e-6) - loss(model.w, 0.3 - 1e-6)) / 2e-6, rel=1e-4)
+
+
 def test_several_labels_of_a_document(spark, docs_module):
     rows = corpus(200, 3, junk=0.3)
     frame = docs_module([(i, t) for i, t, _, _ in rows])

@@ -43,12 +43,12 @@ def test_exact_copies_go(stages):
 def test_near_copies_go(stages):
     rows = sorted((r["doc_id"], simhash.fingerprint(r["text"].encode())) for r in stages[2].collect())
     label = {i: i for i, _ in rows}
-    for _ in rows:
-        for i, a in rows:
-            for j, b in rows:
-                if (a ^ b).bit_count() <= 3:
-                    label[i] = label[j] = min(label[i], label[j])
-        break
+    linked = [(i, j) for i, a in rows for j, b in rows if i < j and (a ^ b).bit_count() <= 3]
+    before = None
+    while before != label:  # until every document has the least of its component
+        before = dict(label)
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
     assert {r["doc_id"] for r in stages[3].collect()} == {i for i in label if label[i] == i}
 
 
