@@ -45,11 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 
-    A table that the returned DataFrame reads lives as long as the folder; the others go with drop().
+    A table that the returned DataFrame reads lives as long as the folder, or until clear() once that has been written; the others go with drop().
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/labelcube-{label}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> Scratch:
@@ -65,6 +68,13 @@ class Scratch:
         files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
 
+    @classmethod
+    def clear(cls, since: int) -> None:
+        """Delete the folders made since so many of them were; for when nothing reads them any longer."""
+        while len(cls.made) > since:
+            own = cls.made.pop()
+            own.drop("", collect=False)
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, release, slices
+from .common import Scratch, documents, fresh, release, slices
 from .learning import SLOTS, platt, sample, sigmoid, word_features
 from .pitman_yor import pack_keys, squeeze, unpack_keys, unsqueeze
 
@@ -199,6 +199,7 @@ def summed(blocks: DataFrame, make: Callable, scratch: Scratch) -> np.ndarray:
         return pd.DataFrame([(key[0], squeeze(sum(unsqueeze(x, np.float64) for x in pdf.sort_values("part")["sums"])))], columns=["at", "sums"])
 
     got = blocks.mapInArrow(run, "at long, part long, sums binary").groupBy("at").applyInPandas(add, "at long, sums binary").collect()
+    scratch.drop()
     return np.concatenate([unsqueeze(r["sums"], np.float64) for r in sorted(got, key=lambda r: r["at"])] or [np.zeros(0)])
 
 
@@ -387,7 +388,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, model: CoTrained, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """The rows of docs, with all their columns, that the model keeps. Nothing is shuffled."""
     facts = _columns(docs, text, id_)
-    names = {c: f"__quality_{c}" for c in facts.columns}
+    names = dict(zip(facts.columns, fresh(docs, *(f"quality_{c}" for c in facts.columns))))
     whole = docs.withColumns({names["text"]: F.col(text).cast("string")})
     columns, has = docs.columns, {c.lower() for c in docs.columns}
     for c in ("lang", "source"):

@@ -176,7 +176,7 @@ def _labelled(docs: DataFrame, text: str, id_: str, radius: int) -> DataFrame:
     named = scratch.write(named, "named")
     smallest = scratch.write(named.groupBy("root").agg(F.min("lead").alias("lead")), "smallest")
     labels = named.drop("lead").join(smallest, "root").select("fp", F.explode("salts").alias("salt"), "lead")
-    scratch.drop("blocks", "edges", "nodes")
+    scratch.drop("blocks", "edges", "nodes", *(name for name in scratch.names() if name.startswith("stars")))
     return rows.join(labels, ["fp", "salt"]).select("id", "mark", "fp", "lead")
 
 

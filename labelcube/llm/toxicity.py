@@ -107,8 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "do
             out = [(slots[a:b].astype("<i4").tobytes(), (sentence[a:b] - starts[i]).astype("<i4").tobytes()) for i, (a, b) in enumerate(zip(words, words[1:]))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(pa.array(c, pa.binary()) for c in zip(*out))], names=["id", "y", "slots", "sentence"])
 
-    got = Scratch(docs.sparkSession, "toxicity").write(rows.mapInArrow(run, "id long, y int, slots binary, sentence binary"), "features").toLocalIterator()  # a partition at a time
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    got = scratch.write(rows.mapInArrow(run, "id long, y int, slots binary, sentence binary"), "features").toLocalIterator()  # a partition at a time
     bags = sorted(((r["id"], r["y"], bytes(r["slots"]), bytes(r["sentence"])) for r in got), key=lambda b: (b[0], b[2]))
+    scratch.drop("features", collect=False)
     return fit([(y, np.frombuffer(slots, "<i4").reshape(-1, 4), np.frombuffer(sentence, "<i4")) for _, y, slots, sentence in bags])
 
 
