@@ -43,7 +43,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents."""
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
+        known = len(Scratch.made)
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        Scratch.clear(known)  # what the stage wrote on its way
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs
