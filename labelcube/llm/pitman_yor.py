@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Callable, Iterator
 
@@ -18,12 +19,14 @@ from .common import Scratch, documents, lower_ascii, mix, release, slices, span_
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a block, words of a word shard, and pairs of a pair shard, about.
 BLOCK_TOKENS, SHARD_WORDS, SHARD_PAIRS = 1_000_000, 1_000_000, 1_000_000
-#: Sweeps of the sampler that are left out, the first of which draws the start state, and sweeps that are averaged.
+#: Sweeps of the sampler that are left out, the first of which starts from one table a pair, and sweeps that are averaged.
 BURN_IN, SAMPLES = 3, 4
 STRENGTH = 1.0
-#: Customers of each pair that a sweep takes from their tables and seats again, drawn anew in each sweep.
-MOVES = 16
-#: For the start state: customers of a dish that are seated one by one; further ones by a draw for groups of a sixteenth of those seated.
+#: Customers of a dish up to which the chances of its numbers of tables come by the recurrence; of more, by an integral. Both are exact.
+RECURRED = 2048
+#: Numbers handled at once where chances are worked out.
+CELLS = 1 << 18
+#: For seat(): customers of a dish that are seated one by one; further ones by a draw for groups of a sixteenth of those seated.
 ONE_BY_ONE, PART = 64, 16
 #: Stand for the end of a text and for what is before its first word.
 END, START = np.uint64(0x9A1B5C2D7E3F4081), np.uint64(0x1C6E9B3A5D7F2048)
@@ -122,13 +125,14 @@ def start_sizes(counts: np.ndarray, tables: np.ndarray, discount: float, seeds:
     return 1 + np.maximum(upto - low, 0)
 
 
-def gibbs(counts: np.ndarray, sizes: np.ndarray, tables: np.ndarray, parent: np.ndarray, others: np.ndarray, discount: float, strength: float, seeds: np.ndarray, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
-    """A sweep of Gibbs sampling: table sizes and numbers of tables after it.
+def gibbs(counts: np.ndarray, sizes: np.ndarray, tables: np.ndarray, parent: np.ndarray, others: np.ndarray, discount: float, strength: float, seeds: np.ndarray, moves: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A sweep of Gibbs sampling a customer at a time, which reseat() does at once: table sizes and numbers of tables after it.
 
-    `moves` times, or as often as the dish has customers, one customer of each dish, any of them alike, leaves its table and takes a seat by the conditional
+    `moves` times, or as often as the dish has customers, which is also the default, one customer of each dish, any of them alike, leaves its table and takes a seat by the conditional
     distribution given all others: a table of its dish by its customers less the discount, a new one by (strength + discount * tables of the
     restaurant) * parent. sizes holds the dishes' tables in a row; parent and others are as in seat().
     """
+    moves = int(counts.max(initial=0)) if moves is None else moves
     order = np.argsort(-counts, kind="stable")
     c, t, p, o, s = counts[order], tables[order].astype(np.int64), parent[order], others[order], seeds[order]
     room = np.minimum(c, t + moves)
@@ -172,6 +176,111 @@ def gibbs(counts: np.ndarray, sizes: np.ndarray, tables: np.ndarray, parent: np.
     return out, out_t
 
 
+def saddle(c: int, discount: float, under: Callable) -> float:
+    """The log of 1 - z up to which under(t, f) holds, where z is the saddle point of f ** t / z ** (c + 1) and f is 1 - (1 - z) ** discount."""
+    low, high = -700.0, -1e-12
+    for _ in range(60):
+        x = (low + high) / 2
+        f = -math.expm1(discount * x)
+        low, high = (x, high) if under((c + 1) * math.exp((1 - discount) * x) * f / (discount * -math.expm1(x)), f) else (low, x)
+    return x
+
+
+def coefficients(c: int, t: int, discount: float) -> tuple[int, np.ndarray]:
+    """(first, logs): logs of the coefficients of z ** c in (1 - (1 - z) ** discount) ** k, for k = first, first + 1 ... around t.
+
+    By the trapezoidal rule, which converges geometrically here, around 0 through the saddle point or next to it: on a circle unless that
+    is very near the branch point 1, else on a parabola around the cut beyond 1.
+    """
+    x = saddle(c, discount, lambda at, f: at < t)
+    if x > math.log(0.05):
+        z0 = max(-math.expm1(x), 0.5 / c)
+        f = -math.expm1(discount * math.log1p(-z0))
+        m, q = z0 * discount * (1 - z0) ** (discount - 1) / f, z0 * z0 * discount * (1 - discount) * (1 - z0) ** (discount - 2) / f
+        wide = math.sqrt(max(t * (m + q - m * m), 0))
+        n = 2 * int(7 * wide - 20 / math.log(z0) + 20)
+        angle = np.arange(n // 2 + 1) * (2 * math.pi / n)
+        inside = -np.expm1(discount * np.log1p(-z0 * np.exp(1j * angle)))
+        logs, times = -c * 1j * angle, np.where(np.arange(n // 2 + 1) % (n // 2) == 0, 1.0, 2.0)
+        whole = -c * math.log(z0) - math.log(n)
+    else:
+        w0 = max(math.exp(x), 4 / c)
+        f = 1 - w0**discount
+        bend = t * discount * w0 ** (discount - 2) * ((1 - discount) * f - discount * w0**discount) / f**2 + (c + 1) / (1 - w0) ** 2
+        wide = 1 / (2 * w0 * math.sqrt(bend)) if bend > 0 else 1.0
+        step = min(0.05, wide / 2)
+        v = np.arange(int(max(10 * wide, 5) / step)) * step
+        w = w0 * (1 + 1j * v) ** 2
+        inside = 1 - w**discount
+        logs, times = -(c + 1) * (np.log1p(-w) - math.log1p(-w0)), (1 + 1j * v) * np.where(v == 0, 1.0, 2.0)
+        whole = -(c + 1) * math.log1p(-w0) + math.log(w0 * step / math.pi)
+    r = np.log(inside) - math.log(f)
+    logs = logs + t * r
+    near = logs.real > -45
+    g, r = (times * np.exp(logs))[near], r[near]
+    y = saddle(c, discount, lambda at, _: at < (t + 1 if t < c else t - 1))
+    reach = min(max(int(2 / math.sqrt(max(abs(math.log(math.expm1(discount * x) / math.expm1(discount * y))), 1e-12))), 1), 16 + t // 8, 256)  # at its ends the sum is a few orders below its terms
+    k = np.arange(max(t - reach, 1), min(t + reach, c) + 1)
+    rows = max(CELLS // len(g), 1)
+    sums = np.concatenate([(np.exp(np.multiply.outer(k[i : i + rows] - t, r)) @ g).real for i in range(0, len(k), rows)])
+    return int(k[0]), whole + k * math.log(f) + np.log(np.maximum(sums, 1e-300))
+
+
+def many_tables(c: int, a: float, parent: float, discount: float) -> tuple[int, np.ndarray]:
+    """(first, chances): of first, first + 1 ... tables of a dish of c customers, up to a factor, for as long as they are over 1e-12 of the greatest.
+
+    The chance of t tables is in proportion to S(c, t) * parent ** t * a * (a + discount) * ... * (a + discount * (t - 1)), a being the strength and the
+    discounts of the restaurant's other tables, and S(c, t) to the coefficient of z ** c in (1 - (1 - z) ** discount) ** t over t! * discount ** t.
+    """
+    x = saddle(c, discount, lambda t, f: (a + discount * t) * parent * f > (t + 1) * discount)  # where neighbours have the same chance
+    t = (c + 1) * math.exp((1 - discount) * x) * math.expm1(discount * x) / (discount * math.expm1(x))
+    first, logs = coefficients(c, min(max(round(t), 1), c), discount)
+    while True:
+        t = np.arange(first, first + len(logs))
+        whole = logs + np.concatenate([[0.0], np.cumsum(np.log((a + discount * t[:-1]) * parent / ((t[:-1] + 1) * discount)))])
+        open_ = whole[[0, -1]] > whole.max() - 28
+        if not (open_[0] and first > 1 or open_[1] and t[-1] < c):
+            return first, np.exp(whole - whole.max())
+        if open_[1] and t[-1] < c:
+            at, more = coefficients(c, int(t[-1]) + 1, discount)
+            logs = np.concatenate([logs, more[t[-1] + 1 - at :]])
+        if open_[0] and first > 1:
+            at, more = coefficients(c, first - 1, discount)
+            first, logs = at, np.concatenate([more[: first - at], logs])
+
+
+def reseat(counts: np.ndarray, parent: np.ndarray, others: np.ndarray, discount: float, strength: float, seeds: np.ndarray) -> np.ndarray:
+    """Tables of each dish after all its customers, however many, have left and taken seats by the conditional distribution given all other dishes.
+
+    That is a Gibbs move of the whole dish: given the number of tables their sizes don't matter to other dishes or to a prediction, so they are summed out and
+    the number is drawn from its distribution, as in many_tables(). S(n, t) are generalised Stirling numbers, S(n + 1, t) = S(n, t - 1) + (n - discount * t) *
+    S(n, t); what is carried on from n to n + 1 are their ratios at t and t - 1. parent and others are as in seat().
+    """
+    order = np.argsort(counts, kind="stable")
+    c, p, a, u = counts[order].astype(np.int64), parent[order], strength + discount * others[order], chances(seeds, 1)[order]
+    t, ratio = np.minimum(c, 1), np.zeros(0)
+    short = int(np.searchsorted(c, RECURRED, "right"))
+    top = int(c[short - 1]) if short else 0
+    cuts = np.searchsorted(c, np.arange(top + 2))
+    for n in range(2, top + 1):
+        k = np.arange(1, n)
+        ratio = (1 + (n - 1 - discount * (k + 1)) * np.append(ratio, 0)) / (np.concatenate([[0], 1 / ratio]) + (n - 1 - discount * k))
+        step = max(CELLS // n, 1)
+        for i in range(cuts[n], cuts[n + 1], step):
+            j = min(i + step, cuts[n + 1])
+            logs = np.zeros((j - i, n))
+            np.cumsum(np.log(ratio * p[i:j, None] * (a[i:j, None] + discount * k)), axis=1, out=logs[:, 1:])
+            upto = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+            t[i:j] = 1 + (upto[:, :-1] <= u[i:j, None] * upto[:, -1:]).sum(axis=1)
+    for i in range(short, len(c)):
+        first, own = many_tables(int(c[i]), float(a[i]), float(p[i]), discount)
+        upto = np.cumsum(own)
+        t[i] = first + min(int(np.searchsorted(upto, u[i] * upto[-1], "right")), len(own) - 1)
+    tables = np.empty_like(t)
+    tables[order] = t
+    return tables
+
+
 def below(tables: np.ndarray, parent: np.ndarray, discount: float, strength: float = STRENGTH) -> np.ndarray:
     """What a restaurant of so many tables leaves to its parent's probability of a dish."""
     return (strength + discount * tables) * parent
@@ -307,11 +416,11 @@ def pair_shards(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
     return (mix(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % shards
 
 
-_STATE = "block long, u binary, w binary, c binary, t binary, sizes binary, kept binary"
+_STATE = "block long, u binary, w binary, c binary, t binary, kept binary"
 
 
 def _state(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(unplanes(row[x]) for x in ("u", "w", "c", "t", "sizes", "kept"))
+    return tuple(unplanes(row[x]) for x in ("u", "w", "c", "t", "kept"))
 
 
 def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int = BLOCK_TOKENS, words: int = SHARD_WORDS, shard: int = SHARD_PAIRS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
@@ -322,9 +431,9 @@ def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int =
     sends a customer to the one unigram restaurant that all share, whose base gives each of V + 1 words alike. Discounts come from the counts of counts.
 
     Words are numbered in the order of their hashes, over ranges of hashes; a word's 64-bit hash stands for it. Each pair that training
-    holds twice or more lies in one row of one shard, with the sizes of its tables; a pair seen once has one table at all times. In a sweep shards send their
-    tables by word to the word shards, which seat the root, and get the sums and the parent's counts back; then customers are
-    taken from their tables and seated again by gibbs(). The first reseating, from one table a pair, is by seat(). Shards see each other's tables as of the
+    holds twice or more lies in one row of one shard, with the number of its tables; a pair seen once has one table at all times. In a sweep shards send their
+    tables by word to the word shards, which seat the root, and get the sums and the parent's counts back; then all customers of each
+    pair are seated again by reseat(). Shards see each other's tables as of the
     sweep before. Draws follow from the words alone, so blocks and shards don't change them. The predictive probabilities of the sweeps after the burn-in
     are averaged; score is the log10 of their product, perplexity 10 to the power of minus its mean a token.
 
@@ -423,14 +532,14 @@ def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int =
     def begin(row: dict) -> Iterator[tuple]:
         c = unplanes(row["c"])
         one = planes(np.ones(len(c)))
-        yield row["block"], row["a"], row["b"], row["c"], one, row["c"], planes(np.zeros(len(c)))
+        yield row["block"], row["a"], row["b"], row["c"], one, planes(np.zeros(len(c)))
 
     state = scratch.write(_rows(paired.where("kind = 'state'"), begin, _STATE), "state0")
     scratch.drop()
     last, taken = types, []  # tables in the root: one a word, before any is sampled
 
     def partial(row: dict) -> Iterator[tuple]:
-        u, w, _, t, _, _ = _state(row)
+        u, w, _, t, _ = _state(row)
         keys, n, _ = _totals([u, w], [np.stack([t, 0 * t]), np.stack([0 * t, t])])
         return by_range(row, keys, *n)
 
@@ -440,7 +549,7 @@ def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int =
             for r in rows:
                 sums[:, slice(None) if r["block"] < 0 else unpack_ids(r["keys"])] += unplanes(r["values"]).reshape(2, -1)
             name = (np.arange(size_of[k]) + offset[k]).astype(np.uint64)
-            t = seat(sums[1], np.full(len(name), base), np.full(len(name), max(last - 1, 0)), root, STRENGTH, mix(name + np.uint64((sweep + 1) << 48)))
+            t = reseat(sums[1], np.full(len(name), base), np.full(len(name), max(last - 1, 0)), root, STRENGTH, mix(name + np.uint64((sweep + 1) << 48)))
             whole = np.concatenate([sums, t[None]])
             for r in rows:
                 yield int(r["block"]), k, planes((whole if r["block"] < 0 else whole[:, unpack_ids(r["keys"])]).ravel()), [float(sums[1].sum()), float(t.sum())] if r["block"] < 0 else None
@@ -451,7 +560,7 @@ def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int =
             taken.append((customers, last))
 
         def update(row: dict, sweep: int = sweep, customers: float = customers, total: float = last) -> Iterator[tuple]:
-            u, w, c, t, sizes, kept = _state(row)
+            u, w, c, t, kept = _state(row)
             if sweep > burn_in:  # what was seated under these sums is a sample
                 kept = kept + t
             if sweep < burn_in + samples and len(u):
@@ -460,12 +569,8 @@ def scores(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int =
                 parent = predictive(cw, tw, below(total, base, root), customers, root)[np.searchsorted(keys, w)]
                 others = tu[np.searchsorted(keys, u)] - t
                 seeds = mix(mix(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)) + np.uint64(sweep))
-                if sweep == 0:
-                    t = seat(c, parent, others, leaf, STRENGTH, seeds)
-                    sizes = start_sizes(c, t, leaf, seeds)
-                else:
-                    sizes, t = gibbs(c, sizes, t, parent, others, leaf, STRENGTH, seeds)
-            yield row["block"], row["u"], row["w"], row["c"], planes(t), planes(sizes), planes(kept)
+                t = reseat(c, parent, others, leaf, STRENGTH, seeds)
+            yield row["block"], row["u"], row["w"], row["c"], planes(t), planes(kept)
 
         state = scratch.write(_rows(state.join(_parts(done, "parts"), "block", "left"), update, _STATE), f"state{sweep + 1}")
         scratch.drop(f"state{sweep}", *([] if sweep > burn_in else [f"sweep{sweep}"]))

@@ -253,6 +253,26 @@ def test_gibbs_of_dishes_of_many_sizes():
         sizes, tables = pitman_yor.gibbs(counts, sizes, tables, np.full(500, 0.1), np.full(500, 20), 0.7, 1.0, seeds)
 
 
+@pytest.mark.parametrize("c, parent, others, d, s", [(2, 0.2, 0, 0.5, 1.0), (9, 0.05, 30, 0.8, 1.0), (60, 0.1, 40, 0.7, 1.0), (120, 0.02, 2000, 0.8, 1.0)])
+def test_one_sweep_seats_all_customers_anew(c, parent, others, d, s):
+    n = 20_000
+    got = pitman_yor.reseat(np.full(n, c), np.full(n, parent), np.full(n, others), d, s, pitman_yor.mix(np.arange(n, dtype=np.uint64)))
+    np.testing.assert_allclose(np.bincount(got, minlength=c + 1)[1:] / n, table_chances(c, parent, others, d, s), atol=0.015)
+
+
+def test_dishes_of_many_customers_are_seated_as_by_the_recurrence(monkeypatch):
+    rng = np.random.default_rng(8)
+    counts = np.concatenate([[0, 1, 2, 3], rng.integers(2049, 3500, 120)])
+    parent, others, seeds = 10 ** rng.uniform(-6, -0.01, 124), (10 ** rng.uniform(0, 7, 124)).astype(int), pitman_yor.mix(np.arange(124, dtype=np.uint64))
+    for d in (0.05, 0.5, 0.8, 0.95):
+        got = pitman_yor.reseat(counts, parent, others, d, 1.0, seeds)
+        monkeypatch.setattr(pitman_yor, "RECURRED", 4000)
+        np.testing.assert_array_equal(got, pitman_yor.reseat(counts, parent, others, d, 1.0, seeds))
+        monkeypatch.undo()
+    huge = pitman_yor.reseat(np.full(3, 10**8), np.array([1e-7, 1e-3, 0.5]), np.array([0, 10**6, 10**7]), 0.8, 1.0, seeds[:3])
+    assert huge[0] == 1 and 1 < huge[1] < 10**4 and huge[2] < 10**8
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(6)
     c, t, p = rng.integers(0, 9, 50), np.zeros(50, int), rng.dirichlet(np.ones(50))
