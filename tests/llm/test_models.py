@@ -222,6 +222,43 @@ def test_keys_round_trip():
         assert (pitman_yor.unpack_keys(pitman_yor.pack_keys(keys), n) == keys).all()
 
 
+def test_words_are_held_of_those_who_teach_the_text_view_alone(docs, words):
+    frame = docs([(i, words(30 + i, i)) for i in range(12)])
+    held = quality.feature_blocks(frame, np.array([3, 7]), "text", "doc_id").collect()
+    sure = lambda row, slot, share, facts: [np.where(np.arange(len(facts)) % 3 == 0, 9.0, 0.0), np.where(np.arange(len(facts)) % 3 == 1, -9.0, 0.0)]
+    taught = quality.chosen(quality.feature_blocks(frame, np.array([3, 7]), "text", "doc_id"), sure, [100, 100]).collect()
+    model = quality.TextModel()
+    model.w, model.b = np.random.default_rng(2).normal(size=quality.SLOTS), 0.1
+    want, got, met = np.zeros(quality.SLOTS), np.zeros(quality.SLOTS), [0, 0]
+    for r in held:
+        row, slot, share, facts = quality._unpacked(r.asDict())
+        np.testing.assert_allclose(np.bincount(row, share, len(facts)), 5)
+        want += model.gradient(row, slot, share, len(facts), np.zeros(len(facts)), np.arange(len(facts)) % 3 == 1)[0]
+    for r in taught:
+        row, slot, share, facts, labels = quality._unpacked(r.asDict())
+        met = [m + (x >= 0).sum() for m, x in zip(met, labels)]
+        assert (labels[0][row] >= 0).all()  # no words of those who teach the metadata view alone
+        got += model.gradient(row, slot, share, len(facts), np.maximum(labels[0], 0), labels[0] >= 0)[0]
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    assert sum(met) > 0 and sum(len(quality._unpacked(r.asDict())[3]) for r in held) == 10
+
+
+def test_a_fit_needs_little_memory_beside_its_features():
+    import tracemalloc
+
+    rng, n = np.random.default_rng(1), 3_000_000
+    row, slot, share = np.sort(rng.integers(0, 4000, n)).astype(np.int32), rng.integers(0, quality.SLOTS, n).astype(np.int32), rng.random(n).astype(np.float32)
+    model = quality.TextModel()
+    model.w, model.b = rng.normal(size=quality.SLOTS), 0.2
+    tracemalloc.start()
+    grad, _ = model.gradient(row, slot, share, 4000, np.zeros(4000), np.ones(4000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    g = quality.sigmoid(model.b + np.bincount(row, model.w[slot] * share, 4000))
+    np.testing.assert_allclose(grad, np.bincount(slot, g[row] * share, quality.SLOTS), rtol=1e-9, atol=1e-9)
+    assert most < 20e6
+
+
 def table_chances(c, parent, others, d, s):
     """The exact distribution of the number of tables of c customers of one dish, by generalised Stirling numbers."""
     row = [0.0, 1.0]
