@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import bz2
 import hashlib
-import json
-import zlib
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -205,10 +204,13 @@ def _nearness(a: str, b: str) -> int:
 
 
 def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
-    """(key, page_id, url, host, path, digests, body): lines as packed digests, each with whether it is the article's, and their texts compressed. key is a hash of host and lines."""
+    """(key, page_id, url, host, path, digests, may, body): lines as packed digests, each with whether it is the article's, and the texts of those that may stay compressed.
+
+    key is a hash of host and lines; may has a bit a line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "page_id", "url", "host", "path", "digests", "body"]
+        names = ["key", "page_id", "url", "host", "path", "digests", "may", "body"]
         for batch in slices(batches, "html", 1 << 20):
             out: list[tuple] = []
             for id_, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
@@ -216,12 +218,13 @@ def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url", id_: st
                 host, path = _address(url or "")
                 digests = b"".join(_digest(x.text) + (b"\1" if x.inside and not x.outside else b"\0") for x in lines)
                 key = hashlib.blake2b(host.encode("utf-8", "replace") + b"\0" + digests, digest_size=16).digest()
-                body = json.dumps([[x.text, x.inside, x.outside] for x in lines], ensure_ascii=False).encode("utf-8", "replace")
-                out.append((key, id_, url, host, path, digests, zlib.compress(body, 6)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()))], names=names)
+                may = may_stay([[x.text, x.inside, x.outside] for x in lines])
+                body = "\n".join(x.text for x, m in zip(lines, may) if m).encode("utf-8", "replace")
+                out.append((key, id_, url, host, path, digests, np.packbits(np.array(may, bool)).tobytes(), bz2.compress(body, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=names)
 
     rows = pages.select(F.col(id_).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return rows.mapInArrow(run, "key binary, page_id long, url string, host string, path string, digests binary, body binary")
+    return rows.mapInArrow(run, "key binary, page_id long, url string, host string, path string, digests binary, may binary, body binary")
 
 
 _LINE = 13
@@ -266,11 +269,11 @@ def shared_lines(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     Pages of the same lines on a host are one, under the first of their paths: a copy tells nothing about the template. They are
     numbered in order of host, path and URL: by range, then by the ranges' counts. 64 in turn and BESIDE neighbours at
-    either end make a group, so a host of any size is spread. Of its neighbours a page takes those with more
+    either end make a group, so a host of any size is spread. Lines join the numbered pages last, so that they are shuffled twice only. Of its neighbours a page takes those with more
     leading path segments in common first, then the closer ones, then the earlier.
     """
     spark = rows.sparkSession
-    light = rows.groupBy("key").agg(F.min(F.struct("host", "path", "url", "page_id")).alias("at"), F.min("digests").alias("digests")).select("key", "at.*", "digests")
+    light = rows.groupBy("key").agg(F.min(F.struct("host", "path", "url", "page_id")).alias("at")).select("key", "at.*")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -280,12 +283,14 @@ def shared_lines(rows: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int64)), pa.array(np.arange(n, n + batch.num_rows))], names=[*batch.schema.names, "part", "nth"])
             n += batch.num_rows
 
-    ordered = light.repartitionByRange("host", "path", "url", "page_id", "key").sortWithinPartitions("host", "path", "url", "page_id", "key").select("key", "host", "path", "digests")
-    ordered = scratch.write(ordered.mapInArrow(number, "key binary, host string, path string, digests binary, part long, nth long"), "ordered")
+    ordered = light.repartitionByRange("host", "path", "url", "page_id", "key").sortWithinPartitions("host", "path", "url", "page_id", "key").select("key", "host", "path")
+    ordered = scratch.write(ordered.mapInArrow(number, "key binary, host string, path string, part long, nth long"), "ordered")
+    scratch.drop()
     counts = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a range
     before = np.concatenate([[0], np.cumsum([n for _, n in counts])])[:-1].tolist() if counts else []
     offsets = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(counts, before)] or [(0, 0)], "part long, before long")
     placed = ordered.join(F.broadcast(offsets), "part").withColumn("at", F.col("before") + F.col("nth"))
+    placed = placed.join(rows.groupBy("key").agg(F.min("digests").alias("digests")), "key")
     group = (F.col("at") / GROUP).cast("long")
     beside = [((F.col("at") + k) / GROUP).cast("long") for k in range(1, BESIDE + 1)] + [F.floor((F.col("at") - k) / GROUP) for k in range(1, BESIDE + 1)]
     placed = placed.withColumn("group", F.explode(F.array_distinct(F.array(group, *beside)))).where("group >= 0")
@@ -306,10 +311,21 @@ def shared_lines(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return placed.groupBy("group").applyInPandas(difference, "key binary, shared array<int>")
 
 
-def main_text(lines: list[list], shared: set[int]) -> str:
-    """What is left without the template's lines and what markup says is no content; if the page has an article, without what is beside it."""
+def may_stay(lines: list[list]) -> list[bool]:
+    """Whether a line is left without what markup says is no content and, if the page has an article, without what is beside it."""
     article = any(inside and not outside for _, inside, outside in lines)
-    return "\n".join(t for i, (t, inside, outside) in enumerate(lines) if not outside and i not in shared and (inside or not article))
+    return [not outside and (inside or not article) for _, inside, outside in lines]
+
+
+def main_text(lines: list[list], shared: set[int]) -> str:
+    """The lines that may stay, without the template's."""
+    return "\n".join(t for i, ((t, _, _), may) in enumerate(zip(lines, may_stay(lines))) if may and i not in shared)
+
+
+def stored_text(may: bytes, body: bytes, shared: set[int]) -> str:
+    """main_text() of a page as parsed_pages() holds it."""
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(may, np.uint8))).tolist()
+    return "\n".join(t for i, t in zip(at, bz2.decompress(body).decode().split("\n")) if i not in shared)
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
@@ -320,16 +336,16 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "
     """
     scratch = Scratch(pages.sparkSession, "html")
     rows = scratch.write(parsed_pages(pages, html, url, id_), "parsed")
-    shared = scratch.write(shared_lines(rows.drop("body"), scratch), "shared")
+    shared = scratch.write(shared_lines(rows.drop("may", "body"), scratch), "shared")
     scratch.drop("ordered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", 1 << 20):
-            found = [main_text(json.loads(zlib.decompress(b)), set(s or ())) for b, s in zip(batch.column("body").to_pylist(), batch.column("shared").to_pylist())]
+            found = [stored_text(m, b, set(s or ())) for m, b, s in zip(*(batch.column(c).to_pylist() for c in ("may", "body", "shared")))]
             n = [len(s or ()) for s in batch.column("shared").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64()), pa.array(n, pa.int32())], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
-    joined = rows.select("key", "page_id", "url", "body").join(shared, "key", "left").select("page_id", "url", "body", "shared")
+    joined = rows.select("key", "page_id", "url", "may", "body").join(shared, "key", "left").select("page_id", "url", "may", "body", "shared")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared int")
 
 

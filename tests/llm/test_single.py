@@ -269,6 +269,33 @@ def test_templates_go_and_articles_stay(spark, article):
         assert all(set(got[k].split("\n")) | {"a sentence that many quote"} == set(pages[k][2].split("\n")) | {"a sentence that many quote"} for k in range(len(pages)) if k not in (4, 5))
 
 
+def test_pages_are_held_as_what_may_stay_of_them(spark):
+    pages = ["", None, "<nav>" + "menu " * 500 + "</nav>", "<nav>home</nav><p>a &#233;</p><div class=ad>buy</div><p>b\n c</p>", "".join(f"<p>{k}</p>" for k in range(300)), "<p>beside</p><article><p>x</p><p>y</p></article>"]
+    frame = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for r in html.parsed_pages(frame).collect():
+        lines = [[x.text, x.inside, x.outside] for x in html.page_lines(pages[r["page_id"]] or "")]
+        assert len(r["digests"]) == html._LINE * len(lines)
+        for shared in (set(), {0, 1}, {len(lines) - 1}, set(range(len(lines)))):
+            assert html.stored_text(r["may"], r["body"], shared) == html.main_text(lines, shared)
+        if r["page_id"] == 2:
+            assert html.stored_text(r["may"], r["body"], set()) == "" and len(r["body"]) < 20  # nothing of what markup drops
+
+
+def test_pages_are_ordered_without_their_lines(spark, monkeypatch):
+    rows = [(i, f"http://h/{i % 40:02}", f"<p>top</p><p>line {i % 40}</p>") for i in [*range(90), 3]]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    written, write = {}, html.Scratch.write
+
+    def noted(self, df, name):
+        written[name] = write(self, df, name)
+        return written[name]
+
+    monkeypatch.setattr(html.Scratch, "write", noted)
+    got = html.extract(frame).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted((i, f"line {i % 40}") for i, _, _ in rows)
+    assert "digests" in written["parsed"].columns and "digests" not in written["ordered"].columns
+
+
 def test_template_lines_against_a_plain_version():
     def plain(own, near):
         def lcs(a, b):
