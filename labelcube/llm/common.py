@@ -90,6 +90,8 @@ class Scratch:
             gc.collect()
             jvm.System.gc()
             time.sleep(pause)
+        if collect:
+            release()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
