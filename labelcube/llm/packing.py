@@ -23,6 +23,8 @@ REMEMBERED = 800_000
 BAND, GRAIN = 2 / 3, 1 / 128
 #: Pieces and gaps that one range of a sweep holds, about.
 RANGE_ROWS = 400_000
+#: Bits of a sequence's hash by which those are chosen that offer slots, where there are more slots than pieces.
+HASH_BITS = 10
 
 
 def tokenizer_path() -> str:
@@ -277,11 +279,33 @@ def numbered(swept: DataFrame, pairs: list[tuple[int, int, int, int, int]]) -> D
     return swept.mapInArrow(run, f"{_SWEPT}, pair long")
 
 
+def offers(sequences: DataFrame, gaps: dict[int, int], least: int, longest: int, pieces: int) -> tuple[DataFrame, int]:
+    """(kind, size, key) of the slots that gaps of least or more offer to so many pieces of up to longest, and about how many they are.
+
+    A gap offers itself, or as many slots of longest as fit into it, the last of which has what is left over. gaps: how many there are of each size.
+    Pieces that find no smaller gap take slots of longest, those of the sequences of the largest hashes first, as a sweep sorts them. Where there
+    are more than pieces, the sequences of smaller hashes would not be reached, and of those only the gaps smaller than longest are offered.
+    """
+    there = sequences.where(F.col("gap") >= least).withColumn("more", F.greatest(F.floor(F.col("gap") / longest) - 1, F.lit(0)).cast("long"))
+    offered, full = there.withColumn("n", F.least("more", F.lit(pieces))), sum(k * max(n // longest - 1, 0) for n, k in gaps.items())
+    if full > pieces:
+        top = F.expr(f"shiftright(xxhash64(seq), {64 - HASH_BITS})")
+        enough, reached = 0, None
+        for reached, n in sorted(offered.where("n > 0").groupBy(top.alias("top")).agg(F.sum("n")).collect(), reverse=True):
+            enough += n
+            if enough >= pieces:
+                break
+        offered = offered.where((F.col("gap") < longest) | (top >= reached))
+    offered = offered.withColumn("k", F.explode(F.expr("sequence(0, n)")))
+    rows = offered.select(F.lit(0).alias("kind"), F.expr(f"if(k > 0, {longest}L, gap - more * {longest}L)").alias("size"), F.col("seq").alias("key"))
+    return rows, min(full, pieces) + sum(gaps.values())
+
+
 def assign(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
     """(key, seq, offset) for pieces (key, length up to capacity): best fit, the longest first, in rounds.
 
     A round takes the pieces of about BAND of the longest length left or more, and those that found no place before. A sequence offers its gap, or as many slots as such pieces
-    fit into it. Pieces and slots are sorted by size into ranges, each of which matches its own; what ranges leave is matched by their counts,
+    fit into it, but all sequences no more slots than the pieces can reach (offers). Pieces and slots are sorted by size into ranges, each of which matches its own; what ranges leave is matched by their counts,
     one row a range on the driver, and meets in a join by the number of the pair. Where several lengths want a gap, the longest has it, and
     the others meet the next larger one. Then gaps shrink, and the next round begins. Where no gap holds the longest piece, as many sequences
     are opened as the pieces need that fit nowhere: one for each over half the capacity, or their sum by the capacity, if that is more.
@@ -305,15 +329,13 @@ def assign(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> Dat
             sequences = fresh if sequences is None else sequences.unionByName(fresh)
             gaps[capacity] = gaps.get(capacity, 0) + need
             opened += need
-        slots = F.greatest(F.floor(F.col("gap") / longest), F.lit(1)).cast("int")
         lowest, before = min(lowest, least), lowest
-        offered = sequences.where(F.col("gap") >= min([lowest, *tried])).withColumn("n", slots).withColumn("k", F.explode(F.expr("sequence(1, n)")))
-        offered = offered.select(F.lit(0).alias("kind"), F.expr(f"if(k < n, {longest}L, gap - (n - 1) * {longest}L)").alias("size"), F.col("seq").alias("key"))
+        taking = sum(k for n, k in total.items() if n >= lowest or n in tried)
+        offered, slots = offers(sequences, gaps, min([lowest, *tried]), longest, taking)
         wanted = pieces.where((F.col("length") >= lowest) & (F.col("length") < before)).select(F.lit(1).alias("kind"), F.col("length").alias("size"), "key")
         if rest is not None:
             wanted = wanted.unionByName(rest.select(F.lit(1).alias("kind"), "size", "key"))
-        count = sum(k for n, k in total.items() if n >= lowest or n in tried) + sum(k * max(n // longest, 1) for n, k in gaps.items())
-        sorted_ = wanted.unionByName(offered).repartitionByRange(int(count // RANGE_ROWS) + 1, F.desc("size"), "kind", F.xxhash64("key"))
+        sorted_ = wanted.unionByName(offered).repartitionByRange(int((taking + slots) // RANGE_ROWS) + 1, F.desc("size"), "kind", F.xxhash64("key"))
         swept = scratch.write(sweep(sorted_.sortWithinPartitions(F.desc("size"), "kind", F.xxhash64("key"))), f"swept{turn}")
         left: dict[int, list[int]] = {}
         for r in swept.where(F.col("what") != PLACED).groupBy("range", "what").agg(F.count("*").alias("n")).collect():

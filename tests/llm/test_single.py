@@ -113,6 +113,24 @@ def test_packing_needs_hardly_more_sequences_than_best_fit(spark, seed, monkeypa
     assert packing.pack(pieces.limit(0), packing.Scratch(spark, "test"), 100).count() == 0
 
 
+def test_gaps_offer_no_more_slots_than_pieces_reach(spark, monkeypatch):
+    sweep, offers, seen = packing.sweep, getattr(packing, "offers", None), []
+    monkeypatch.setattr(packing, "sweep", lambda items: seen.append({r["kind"]: r["count"] for r in items.groupBy("kind").count().collect()}) or sweep(items))
+    pieces = spark.createDataFrame([(k, 60 if k < 300 else 2) for k in range(305)], "key long, length long")
+    got = packing.assign(pieces, packing.Scratch(spark, "test"), 100).toPandas()
+    assert sorted(got.key) == list(range(305)) and got.seq.nunique() == 300
+    assert [x[1] for x in seen] == [300, 5] and max(x[0] for x in seen) <= 305  # 20 slots each of 300 gaps before
+    monkeypatch.setattr(packing, "offers", lambda sequences, gaps, least, longest, pieces: offers(sequences, gaps, least, longest, 10**9))
+    rng = random.Random(0)
+    lengths = [rng.choice([rng.randint(50, 90), rng.randint(1, 100), rng.randint(1, 9)][: rng.choice([1, 1, 2, 3])]) for _ in range(400)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "key long, length long").repartition(3)
+    every = packing.assign(pieces, packing.Scratch(spark, "test"), 100).toPandas()
+    assert sum(x.get(0, 0) for x in seen[2:]) > 2 * len(lengths)
+    monkeypatch.setattr(packing, "offers", offers)
+    some = packing.assign(pieces, packing.Scratch(spark, "test"), 100).toPandas()
+    pd.testing.assert_frame_equal(*(x.sort_values("key").reset_index(drop=True) for x in (some, every)))
+
+
 def test_mixing_matches_sql(docs, words):
     rng = random.Random(3)
     table = [(i, words(rng.randint(0, 40), i)) for i in range(300)] + [(1000, None)]
